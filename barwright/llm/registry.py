@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe, packing
+from barwright.llm import bpe, langid, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_output": packing.op3_token_output,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_language_id": langid.op8_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
