@@ -28,7 +28,8 @@ END_ID = 0
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool = False, end_id: int = END_ID) -> DataFrame:
     """A document's ids and end_id after them, uncut up to the capacity, else in pieces of it, of which the first may be shorter.
 
-    doc_id, piece, start, length, ids_crc32, and part and nth: the task and the number of the piece among its task's of that length. With keep_ids also ids, as little-endian 32-bit integers."""
+    doc_id, piece, start, length, ids_crc32, and part and nth: the task and the number of the piece among its task's of that length. With keep_ids also ids, as little-endian integers of id_type(tokenizer)."""
+    narrow = id_type(tokenizer)
 
     def make():
         encode, part, seen = library_cache(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
@@ -52,7 +53,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool
             a = (np.cumsum(n) - n)[doc] + start
             raw = [flat[x:y].tobytes() for x, y in zip(a.tolist(), (a + length).tolist(), strict=True)]
             columns = {"doc_id": batch.column(0).take(pa.array(doc)), "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": pa.array(map(zlib.crc32, raw), pa.int64()), "part": np.full(len(doc), part, dtype=np.int32), "nth": nth}
-            return pa.table(columns | ({"ids": pa.array(raw, pa.binary())} if keep_ids else {}))
+            return pa.table(columns | ({"ids": pa.array([np.frombuffer(x, dtype="<u4").astype(narrow).tobytes() for x in raw], pa.binary())} if keep_ids else {}))
 
         return work
 
@@ -60,6 +61,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(per_batch(make), schema)
 
 
+def id_type(tokenizer: str) -> str:
+    """Two bytes an id where the vocabulary fits in them, so that half as much moves."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 # ---- plans
 
 
@@ -223,7 +231,7 @@ def packed(pieces: DataFrame, capacity: int, planner=large_item_matching) -> Dat
     return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint").drop("part", "nth")
 
 
-def packed_matrix(placed: DataFrame, capacity: int, pad_id: int = END_ID, partitions: int | None = None) -> DataFrame:
+def packed_matrix(placed: DataFrame, capacity: int, narrow: str, pad_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """A row for each sequence: ids (capacity little-endian 32-bit integers, padded), cu_seqlens (where segments start, and the last ends), positions (which start anew in every segment, 32-bit), and each segment's doc_id and piece."""
     n = partitions or int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.select("sequence_id", "offset", "doc_id", "piece", "length", "ids").repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
@@ -249,7 +257,7 @@ def packed_matrix(placed: DataFrame, capacity: int, pad_id: int = END_ID, partit
         for s, end in zip(segments, ends.tolist(), strict=True):
             positions[end - s["length"] : end] = np.arange(s["length"])
         pad = np.full(capacity - n_tokens, pad_id, dtype="<u4").tobytes()
-        return {"sequence_id": segments[0]["sequence_id"], "n_tokens": n_tokens, "doc_ids": [s["doc_id"] for s in segments], "pieces": [s["piece"] for s in segments], "cu_seqlens": [0, *ends.tolist()], "ids": b"".join(s["ids"] for s in segments) + pad, "positions": positions.tobytes()}
+        return {"sequence_id": segments[0]["sequence_id"], "n_tokens": n_tokens, "doc_ids": [s["doc_id"] for s in segments], "pieces": [s["piece"] for s in segments], "cu_seqlens": [0, *ends.tolist()], "ids": np.frombuffer(b"".join(s["ids"] for s in segments), dtype=narrow).astype("<u4").tobytes() + pad, "positions": positions.tobytes()}
 
     return ordered.mapInArrow(rows, "sequence_id bigint, n_tokens bigint, doc_ids array<bigint>, pieces array<int>, cu_seqlens array<int>, ids binary, positions binary")
 
@@ -275,8 +283,9 @@ def best_fit_packing(docs: DataFrame, capacity: int = 2048, tokenizer: str | Non
 
 def token_output(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
     """Best-fit-decreasing packing with the ids themselves: the rows of packed_matrix."""
-    pieces = stored(token_pieces(docs, tokenizer or default_tokenizer(), capacity, keep_ids=True), "pieces")
-    return packed_matrix(packed(pieces, capacity, best_fit_decreasing), capacity)
+    tokenizer = tokenizer or default_tokenizer()
+    pieces = stored(token_pieces(docs, tokenizer, capacity, keep_ids=True), "pieces")
+    return packed_matrix(packed(pieces, capacity, best_fit_decreasing), capacity, id_type(tokenizer))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
