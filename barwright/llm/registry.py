@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bitsliced, bpe, forest, langid, packing, secrets, toxicity
+from barwright.llm import bitsliced, bpe, forest, langid, packing, secrets, setjoin, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": setjoin.op1_ngram_jaccard,
         "op2_exact_top_k": bitsliced.op2_exact_top_k,
         "op3_token_output": packing.op3_token_output,
         "op4_nearest": forest.op4_nearest,
