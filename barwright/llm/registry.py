@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bitsliced, bpe, forest, langid, packing, secrets, setjoin, toxicity
+from barwright.llm import bitsliced, bpe, forest, langid, packing, passages, secrets, setjoin, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_language_id": langid.op8_language_id,
+        "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
