@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barwright.llm import textcodes
 from barwright.llm.common import per_batch, stored, table, texts_of
 
-SAMPLE = 30_000
+SAMPLE = 20_000
 FEATURES = 4_096
 THRESHOLD = 0.3
 #: Letters of the word beginnings that are features beside the words themselves.
@@ -123,30 +123,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
             hashes, owner, first = features(texts_of(batch))
             feature, sentence = hits(keys, sieve, hashes, owner)
             doc = np.searchsorted(first, sentence, side="right") - 1
-            at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            rows = [{"toxic": y, "sentences": s, "feature": feature[a:b].tolist(), "sentence": sentence[a:b].tolist()} for y, s, a, b in zip(batch.column(1).to_pylist(), np.diff(first).tolist(), at.tolist(), at[1:].tolist(), strict=False)]
-            return pa.Table.from_pylist(rows, schema=pa.schema([("toxic", pa.int32()), ("sentences", pa.int64()), ("feature", pa.list_(pa.int64())), ("sentence", pa.list_(pa.int64()))]))
+            at = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+            return pa.table({"toxic": batch.column(1), "sentences": np.diff(first).astype(np.int32), "feature": pa.ListArray.from_arrays(at, pa.array(feature.astype(np.int32))), "sentence": pa.ListArray.from_arrays(at, pa.array((sentence - first[doc]).astype(np.int32)))})
 
         return work
 
-    rows = train.mapInArrow(per_batch(make), "toxic int, sentences bigint, feature array<bigint>, sentence array<bigint>").collect()  # `sample` rows at most, of selected features alone
-    return descend(keys, rows)
-
-
-def descend(keys: np.ndarray, rows: list, steps: int = 600, rate: float = 0.05, penalty: float = 2e-5) -> Model:
-    """Ascent of the penalised likelihood (Adam) over documents' noisy-or. Sentences without features share one score and need only be counted."""
-    feature, sentence, doc, empty, y = [], [], [], [], []
-    for r in rows:
-        _, local = np.unique(np.array(r["sentence"], dtype=np.int64), return_inverse=True)
-        base = len(doc)
-        feature.extend(r["feature"])
-        sentence.extend((base + local).tolist())
-        some = int(local.max()) + 1 if len(local) else 0
-        doc.extend([len(y)] * some)
-        empty.append(r["sentences"] - some)
-        y.append(r["toxic"])
-    feature, sentence, doc = (np.array(x, dtype=np.int64) for x in (feature, sentence, doc))
-    empty, y = np.array(empty, dtype=float), np.array(y, dtype=float)
+    return descend(keys, train.mapInArrow(per_batch(make), "toxic int, sentences int, feature array<int>, sentence array<int>").toArrow())  # `sample` rows at most, of selected features alone
+
+
+def descend(keys: np.ndarray, rows: pa.Table, steps: int = 600, rate: float = 0.05, penalty: float = 2e-5) -> Model:
+    """Ascent of the penalised likelihood (Adam) over documents' noisy-or; rows: toxic, sentences (how many), and each feature's number and sentence. Sentences without features share one score and need only be counted."""
+    y, sentences = (rows.column(c).to_numpy().astype(float) for c in ("toxic", "sentences"))
+    lists = rows.column("feature").combine_chunks()
+    feature = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    local = rows.column("sentence").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    span = int(local.max(initial=0)) + 1
+    some, sentence = np.unique(owner * span + local, return_inverse=True)
+    doc = some // span
+    empty = sentences - np.bincount(doc, minlength=len(y))
     n_docs, n_features = len(y), len(keys)
     w = np.zeros(n_features + 1)
     w[-1] = -6.0
