@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block; (1 / 3) ** -BLOCK, the largest weight there is, is still a double.
+BLOCK = 400
 
-def with_ema(df: DataFrame, x: str, n: int, out: str, keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """df with the exponential average of x: y = a x + (1 - a) y', a = 2 / (n + 1), from the first value on; bars without an x repeat y'.
-
-    Inside blocks of a few hundred bars the recurrence is a weighted running sum; a fold over each series' block ends carries it on, so what a fold holds is one number a block."""
-    a = 2 / (n + 1)
-    keep = 1 - a
-    if keep <= 0:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.last(F.col(x), ignorenulls=True).over(w))
-    size = max(1, min(512, int(200 / -math.log10(keep))))
+
+def with_emas(df: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """df with, by name, the exponential average of a column x: y = a x + (1 - a) y', a = 2 / (n + 1), from the first value on; bars without an x repeat y'.
+
+    Inside a block of rows the recurrence is a weighted running sum; a fold over each series' block ends carries all averages on at once, so a fold holds some numbers a block, and df is read twice however many averages there are."""
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = df.withColumn("_i", F.count(x).over(upto))  # 1 at the first value
-    numbered = numbered.withColumn("_b", F.floor(F.greatest(F.col("_i") - 1, F.lit(0)) / size)).withColumn("_j", F.greatest(F.col("_i") - 1, F.lit(0)) % size)
-    weight = F.when(F.col("_i") == 1, F.lit(1.0)).otherwise(F.lit(a))
+    plain = {out: x for out, (x, n) in specs.items() if n <= 1}
+    df = df.withColumns({out: F.last(x, ignorenulls=True).over(upto) for out, x in plain.items()}) if plain else df
+    specs = {out: s for out, s in specs.items() if out not in plain}
+    if not specs:
+        return df
     block = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = F.sum(weight * F.col(x) * F.pow(F.lit(1 / keep), F.col("_j"))).over(block) * F.pow(F.lit(keep), F.col("_j"))
-    inside = numbered.withColumn("_local", local)
-    ends = inside.where(F.col(x).isNotNull()).groupBy(*keys, "_b").agg(F.max_by("_local", "_j").alias("end"), F.max("_j").alias("top"))
+    values = {x: i for i, x in enumerate(dict.fromkeys(x for x, _ in specs.values()))}
+    rows = df.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_rn") / BLOCK))
+    rows = rows.withColumns({f"_seen{i}": F.count(x).over(upto) for x, i in values.items()} | {f"_j{i}": F.count(x).over(block) for x, i in values.items()})
+    keep = {out: 1 - 2 / (n + 1) for out, (_, n) in specs.items()}
+    local = {}
+    for k, (out, (x, n)) in enumerate(specs.items()):
+        i = values[x]
+        weight = F.when(F.col(f"_seen{i}") == 1, F.lit(1.0)).otherwise(F.lit(2 / (n + 1)))
+        local[f"_y{k}"] = F.coalesce(F.sum(weight * F.col(x) * F.pow(F.lit(1 / keep[out]), F.col(f"_j{i}"))).over(block) * F.pow(F.lit(keep[out]), F.col(f"_j{i}")), F.lit(0.0))
+    rows = rows.withColumns(local)
+    n_values, n_specs = len(values), len(specs)
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by(F.array(*(F.col(f"_y{k}") for k in range(n_specs))), "_rn").alias("end"), F.max_by(F.array(*(F.col(f"_j{i}") for i in range(n_values))), "_rn").alias("top"))
     blocks = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "end", "top"))).alias("blocks"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("before"))
-    folded = F.aggregate("blocks", start, lambda acc, b: F.struct((b["end"] + F.pow(F.lit(keep), b["top"] + 1) * acc["y"]).alias("y"), F.concat(acc["before"], F.array(acc["y"])).alias("before")), lambda acc: acc["before"])
-    before = blocks.select(*keys, F.posexplode(folded).alias("_b", "_carry")).withColumn("_b", F.col("_b").cast("bigint"))
-    joined = inside.join(before, [*keys, "_b"], "left")
-    value = F.when(F.col("_i") > 0, F.col("_local") + F.pow(F.lit(keep), F.col("_j") + 1) * F.coalesce("_carry", F.lit(0.0)))
-    return joined.withColumn(out, value).drop("_i", "_b", "_j", "_local", "_carry")
+    decay = [(keep[out], values[x]) for out, (x, _) in specs.items()]
+    start = F.struct(F.array(*(F.lit(0.0) for _ in decay)).alias("y"), F.array().cast("array<array<double>>").alias("before"))
+
+    def step(acc, b):
+        y = F.array(*(b["end"][k] + F.pow(F.lit(c), b["top"][i]) * acc["y"][k] for k, (c, i) in enumerate(decay)))
+        return F.struct(y.alias("y"), F.concat(acc["before"], F.array(acc["y"])).alias("before"))
+
+    carried = blocks.select(*keys, F.posexplode(F.aggregate("blocks", start, step, lambda acc: acc["before"])).alias("_b", "_carry")).withColumn("_b", F.col("_b").cast("bigint"))
+    joined = rows.join(carried, [*keys, "_b"])
+    made = {out: F.when(F.col(f"_seen{i}") > 0, F.col(f"_y{k}") + F.pow(F.lit(c), F.col(f"_j{i}")) * F.col("_carry")[k]) for k, (out, (c, i)) in enumerate(zip(specs, decay, strict=True))}
+    return joined.select(*df.columns, *(v.alias(k) for k, v in made.items()))
+
+
+def with_ema(df: DataFrame, x: str, n: int, out: str, keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    return with_emas(df, {out: (x, n)}, keys, order)

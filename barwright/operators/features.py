@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from barwright.functions import rolling as R
-from barwright.functions.ema import with_ema
+from barwright.functions.ema import with_emas
 from barwright.sources.bars import OHLCV, require
 
 #: Windows, and the pairs of fast and slow ones.
@@ -116,8 +116,7 @@ def add_features(bars: DataFrame, plan: FeaturePlan | None = None) -> DataFrame:
     emas = {(x, n) for x in plan.variables for n in plan.windows} if 1 in plan.levels else set()
     emas |= {("close", 20)} if 3 in plan.levels else set()
     emas |= {("close", n) for pair in FAST_SLOW for n in pair} if 4 in plan.levels else set()
-    for x, n in sorted(emas):
-        df = with_ema(df, x, n, f"ema_{n}__{x}", plan.keys, plan.order)
+    df = with_emas(df, {f"ema_{n}__{x}": (x, n) for x, n in sorted(emas)}, plan.keys, plan.order) if emas else df
     first: dict[str, Column] = {}
     if 1 in plan.levels:
         first |= {feature_name(op, n, x): R.WINDOWED[op](F.col(x), n, w) for x in plan.variables for op in plan.operators for n in plan.windows}

@@ -31,13 +31,14 @@ def threshold(name: Column, ic: Column) -> Column:
 
 def pattern(name: Column, ic: Column) -> Column:
     """What kind of effect a feature's name and sign suggest; the first that fits."""
-    low = F.lower(name)
-    out = F.when((low.contains("pos") | low.contains("z")) & (ic <= 0), "mean reversion")
-    out = out.when((low.contains("r") | low.contains("delta")) & (ic > 0), "momentum")
-    out = out.when(low.contains("sigma") | low.contains("atr") | low.contains("vol"), "volatility")
-    out = out.when(low.contains("hour") | low.contains("day"), "seasonality")
-    out = out.when(low.contains("minus") | low.contains("diff"), "difference of scales")
-    return out.when(low.contains("div") | low.contains("/") | low.contains("ratio"), "relative level").otherwise("complex")
+    # Parts of names, and the sign of ic that an effect needs.
+    kinds = [(("pos", "z", "rank"), ic <= 0, "mean reversion"), (("r", "delta"), ic > 0, "momentum"), (("sigma", "σ"), None, "volatility"), (("hour", "day", "month"), None, "seasonality"), (("minus", "-", "diff"), None, "difference of scales"), (("div", "/", "ratio"), None, "relative level")]
+    out = None
+    for parts, sign, kind in kinds:
+        hit = F.lower(name).rlike("|".join(parts))
+        hit = hit if sign is None else hit & sign
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+    return out.otherwise("complex")
 
 
 def period(name: Column) -> Column:
