@@ -18,8 +18,8 @@ def assembled(df: DataFrame, features: list[str], y: str | None = None) -> DataF
 
 def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
     """x standardised by the first table's means and deviations."""
-    model = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(train)
-    return [model.transform(d).drop("x").withColumnRenamed("z", "x") for d in (train, *others)]
+    model = StandardScaler(inputCol="x", outputCol="_scaled", withMean=True).fit(train)
+    return [model.transform(d).drop("x").withColumnRenamed("_scaled", "x") for d in (train, *others)]
 
 
 def linear(train: DataFrame, test: DataFrame, kind: str = "ols", alpha: float = 1.0):

@@ -32,7 +32,7 @@ def jumps(df: DataFrame, x: str = "close", threshold: float = 3.0) -> DataFrame:
     r = log_returns(df, x)
     w = Window.partitionBy("series")
     far = r.withColumn("m", F.avg("r").over(w)).withColumn("s", F.stddev_pop("r").over(w)).withColumn("is_jump", F.abs(F.col("r") - F.col("m")) > threshold * F.col("s"))
-    return far.groupBy("series").agg(F.count_if("is_jump").alias("n_jumps"), F.count_if(F.col("is_jump") & (F.col("r") > 0)).alias("n_up"), F.count_if(F.col("is_jump") & (F.col("r") < 0)).alias("n_down"), (F.count_if("is_jump") / F.count(F.lit(1))).alias("share"), F.avg(F.when("is_jump", F.abs("r"))).alias("mean_size"))
+    return far.groupBy("series").agg(F.count_if(F.col("is_jump")).alias("n_jumps"), F.count_if(F.col("is_jump") & (F.col("r") > 0)).alias("n_up"), F.count_if(F.col("is_jump") & (F.col("r") < 0)).alias("n_down"), (F.count_if(F.col("is_jump")) / F.count(F.lit(1))).alias("share"), F.avg(F.when(F.col("is_jump"), F.abs("r"))).alias("mean_size"))
 
 
 def random_walk(df: DataFrame, x: str = "close", k: int = 5, lags: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -1 +1,468 @@
-QUERIES: dict = {}
+"""Queries of the statistics, consensus, cost, rule, backtest and model operators over derived bars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barwright.functions import rolling as R
+from barwright.operators import align, backtest, consensus, costs, features, learning, metrics, processes, regimes, resampling, rules, stats
+from barwright.plans.bar_queries import ADX_CTE, BARS, DAILY, N, ROW, Query, W, bars, bars_sql, daily, full, over, pos_sql, r9, s9, z_sql
+
+NAMES = ["mean_ratio", "z", "pos", "ret"]
+
+
+def screened(df: DataFrame, keep: list[str]) -> DataFrame:
+    """feature, value, target rows: four features and the next bar's return."""
+    x, w = F.col("close"), W()
+    df = df.withColumns({"mean_ratio": F.try_divide(R.mean(x, 5, w), R.mean(x, N, w)), "z": R.zscore(x, N, w), "pos": R.position(x, N, w), "ret": R.ret(x, 5, w), "target": features.target(x, 1, "return", w)})
+    return stats.long(df, NAMES, [*keep, "target"])
+
+
+FEATURES = {"mean_ratio": f"({full(5, f'avg(close) {over(5)}')}) / ({full(N, f'avg(close) {over(N)}')})", "z": z_sql("close", N), "pos": pos_sql("close", N), "ret": f"close / lag(close, 5) {ROW} - 1"}
+# rounded where ranks compare them, so that both engines see the same ties
+WIDE = f"w AS (SELECT *, {', '.join(f'{v} AS f_{k}' for k, v in FEATURES.items())}, lead(close, 1) {ROW} / close - 1 AS target FROM {{0}})"
+
+
+def long_sql(source: str, keep: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT {keep}, '{k}' AS feature, f_{k} AS value, target FROM w" for k in FEATURES)
+    return f"{WIDE.format(source)}, l AS (SELECT * FROM ({rows}) WHERE value IS NOT NULL AND target IS NOT NULL)"
+
+
+PEARSON = "covar_samp(value, target) / nullif(stddev_samp(value) * stddev_samp(target), 0)"
+
+
+def ic(by: list[str], keep: list[str], method: str, source=bars, least: int = 10):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = screened(source(spark, sf_dir).withColumn("year", F.year("ts").cast("bigint")), keep)
+        if method == "spearman":
+            rows = rows.withColumns({"value": r9("value"), "target": r9("target")})
+        return stats.information_coefficient(rows, by, method, least).select(*by, "n", r9("ic").alias("ic"))
+
+    return query
+
+
+def ic_sql(by: list[str], keep: str, method: str, ctes: str = BARS, source: str = "bars") -> str:
+    names = ", ".join(by)
+    rows = long_sql(source, keep)
+    if method == "spearman":
+        part = f"PARTITION BY {names}"
+        rows += f", k AS (SELECT {names}, round(value, 9) + 0 AS v, round(target, 9) + 0 AS t FROM l), rk AS (SELECT {names}, rank() OVER ({part} ORDER BY v) + (count(*) OVER ({part}, v) - 1) / 2.0 AS value, rank() OVER ({part} ORDER BY t) + (count(*) OVER ({part}, t) - 1) / 2.0 AS target FROM k)"
+        return f"WITH {ctes}, {rows} SELECT {names}, count(*) AS n, {s9(f'CASE WHEN count(*) >= 10 THEN {PEARSON} END')} AS ic FROM rk GROUP BY {names}"
+    return f"WITH {ctes}, {rows} SELECT {names}, count(*) AS n, {s9(f'CASE WHEN count(*) >= 10 THEN {PEARSON} END')} AS ic FROM l GROUP BY {names}"
+
+
+DAILY_Y = f"{DAILY}, dy AS (SELECT *, year(ts) AS year FROM daily)"
+
+
+def ic_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By fifths of the whole time span."""
+    df = daily(spark, sf_dir)
+    span = df.agg(F.min(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("b"))
+    df = df.join(F.broadcast(span)).withColumn("period", F.least(F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.col("a")) / ((F.col("b") - F.col("a")) / 5)), F.lit(4)).cast("bigint"))  # span is one row
+    return stats.information_coefficient(screened(df, ["period"]), ["feature", "period"], "pearson", 30).select("feature", "period", "n", r9("ic").alias("ic"))
+
+
+IC_PERIOD = f"""WITH {DAILY}, s AS (SELECT min(epoch(ts)) AS a, max(epoch(ts)) AS b FROM daily), p AS (SELECT d.*, CAST(least(floor((epoch(ts) - a) / ((b - a) / 5)), 4) AS BIGINT) AS period FROM daily d, s), {long_sql("p", "period")}
+SELECT feature, period, count(*) AS n, {s9(f"CASE WHEN count(*) >= 30 THEN {PEARSON} END")} AS ic FROM l GROUP BY 1, 2"""
+
+
+def ic_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = regimes.with_regimes(bars(spark, sf_dir), W())
+    flags = ["is_trending", "is_ranging", "is_high_vol", "is_low_vol"]
+    rows = screened(df, flags)
+    rows = rows.withColumn("regime", F.explode(F.array_compact(F.array(*(F.when(F.col(f), F.lit(f)) for f in flags)))))
+    return stats.information_coefficient(rows, ["feature", "regime"]).select("feature", "regime", "n", r9("ic").alias("ic"))
+
+
+IC_REGIME = f"""WITH {ADX_CTE}, p AS (SELECT *, atr / nullif(close, 0) * 100 AS atr_pct FROM adx), q AS (SELECT series, quantile_cont(atr_pct, 0.75) AS hi, quantile_cont(atr_pct, 0.25) AS lo FROM p GROUP BY 1),
+g AS (SELECT p.series, p.ts, p.open, p.high, p.low, p.close, p.volume, coalesce(adx > 25, false) AS is_trending, coalesce(adx < 20, false) AS is_ranging, coalesce(atr_pct > hi, false) AS is_high_vol, coalesce(atr_pct < lo, false) AS is_low_vol FROM p JOIN q USING (series)),
+{long_sql("g", "is_trending, is_ranging, is_high_vol, is_low_vol")},
+r AS ({" UNION ALL ".join(f"SELECT feature, '{f}' AS regime, value, target FROM l WHERE {f}" for f in ("is_trending", "is_ranging", "is_high_vol", "is_low_vol"))})
+SELECT feature, regime, count(*) AS n, {s9(f"CASE WHEN count(*) >= 10 THEN {PEARSON} END")} AS ic FROM r GROUP BY 1, 2"""
+
+
+def ic_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.information_coefficient(screened(daily(spark, sf_dir).withColumn("year", F.year("ts")), ["year"]), ["feature", "year"])
+    return stats.stability(found, ["feature"]).select("feature", "n_groups", *(r9(c).alias(c) for c in ("ic_mean", "ic_sd", "ic_min", "ic_max")), F.col("is_robust").cast("int").alias("is_robust"))
+
+
+IC_STABILITY = f"""WITH {DAILY_Y}, {long_sql("dy", "year")}, i AS (SELECT feature, year, CASE WHEN count(*) >= 10 THEN {PEARSON} END AS ic FROM l GROUP BY 1, 2)
+SELECT feature, count(ic) AS n_groups, {s9("avg(ic)")} AS ic_mean, {s9("stddev_pop(ic)")} AS ic_sd, {s9("min(ic)")} AS ic_min, {s9("max(ic)")} AS ic_max, CAST(stddev_pop(ic) < 0.02 AND min(ic) > 0 AS INTEGER) AS is_robust FROM i GROUP BY 1"""
+
+
+def ic_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t, p and its correction; the p-value is of the normal tail."""
+    found = stats.significance(stats.information_coefficient(screened(bars(spark, sf_dir), []), ["feature"]))
+    return found.select("feature", "n", *(r9(c).alias(c) for c in ("ic", "t_stat", "p_value", "p_value_corrected", "abs_ic")))
+
+
+_Z = "abs(t_stat)"
+_K = f"(1 / (1 + 0.2316419 * {_Z}))"
+_TAIL = f"exp(-{_Z} * {_Z} / 2) / 2.5066282746310002 * {_K} * (0.319381530 + {_K} * (-0.356563782 + {_K} * (1.781477937 + {_K} * (-1.821255978 + {_K} * 1.330274429))))"
+IC_SIGNIFICANCE = f"""WITH {BARS}, {long_sql("bars", "series")}, i AS (SELECT feature, count(*) AS n, {PEARSON} AS ic FROM l GROUP BY 1), t AS (SELECT *, ic * sqrt(n) AS t_stat FROM i), p AS (SELECT *, least(2 * {_TAIL}, 1) AS p_value FROM t)
+SELECT feature, n, {s9("ic")} AS ic, {s9("t_stat")} AS t_stat, {s9("p_value")} AS p_value, {s9("least(p_value * count(*) OVER (), 1)")} AS p_value_corrected, {s9("abs(ic)")} AS abs_ic FROM p"""
+
+
+def binned_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = screened(bars(spark, sf_dir), [])
+    return stats.binned_mutual_information(rows.withColumns({"value": r9("value"), "target": r9("target")}), ["feature"]).select("feature", r9("mi").alias("mi"))
+
+
+def mi_sql(rows: str, by: str) -> str:
+    b = lambda x, lo, hi: f"CAST(least(floor(coalesce(({x} - {lo}) * 10 / nullif({hi} - {lo}, 0), 0)) + 1, 10) AS BIGINT)"
+    return f"""{rows}, v AS (SELECT {by}, round(value, 9) + 0 AS value, round(target, 9) + 0 AS target FROM l), e AS (SELECT {by}, min(value) AS a, max(value) AS b, min(target) AS c, max(target) AS d, count(*) AS n FROM v GROUP BY ALL),
+g AS (SELECT {by}, n, {b("value", "a", "b")} AS i, {b("target", "c", "d")} AS j FROM v JOIN e USING ({by})), j AS (SELECT {by}, n, i, j, count(*) AS nij FROM g GROUP BY ALL),
+k AS (SELECT *, sum(nij) OVER (PARTITION BY {by}, i) AS ni, sum(nij) OVER (PARTITION BY {by}, j) AS nj FROM j)
+SELECT {by}, {s9("sum(nij / n * ln(nij * n / (ni * nj)))")} AS mi FROM k GROUP BY {by}"""
+
+
+def lagged_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependence of each series' return on the volume three bars before."""
+    w = W()
+    df = bars(spark, sf_dir).select("series", F.lag("volume", 3).over(w).alias("value"), r9(R.ret(F.col("close"), 1, w)).alias("target"))
+    return stats.binned_mutual_information(df, ["series"]).select("series", r9("mi").alias("mi"))
+
+
+LAGGED = f"WITH {BARS}, l AS (SELECT * FROM (SELECT series, lag(volume, 3) {ROW} AS value, close / lag(close, 1) {ROW} - 1 AS target FROM bars) WHERE value IS NOT NULL AND target IS NOT NULL)"
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, w = F.col("close"), W()
+    df = bars(spark, sf_dir)
+    return df.withColumns({"mean_ratio": F.try_divide(R.mean(x, 5, w), R.mean(x, N, w)), "z": R.zscore(x, N, w), "pos": R.position(x, N, w), "ret": R.ret(x, 5, w), "d1": R.d1(x, w), "target": features.target(x, 1, "return", w)})
+
+
+PAIRS = [(a, b) for i, a in enumerate(["mean_ratio", "z", "pos", "ret", "volume"]) for b in ["mean_ratio", "z", "pos", "ret", "volume"][i + 1 :]]
+
+
+def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.correlation_pairs(wide(spark, sf_dir), ["mean_ratio", "z", "pos", "ret", "volume"]).select("a", "b", r9("r").alias("r"))
+
+
+COMPLETE = f"{WIDE.format('bars')}, c AS (SELECT f_mean_ratio AS mean_ratio, f_z AS z, f_pos AS pos, f_ret AS ret, volume FROM w WHERE f_mean_ratio IS NOT NULL AND f_z IS NOT NULL AND f_pos IS NOT NULL AND f_ret IS NOT NULL)"
+PAIR_ROWS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0) AS r FROM c" for a, b in PAIRS)
+
+
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.network(stats.correlation_pairs(wide(spark, sf_dir), ["mean_ratio", "z", "pos", "ret", "volume"]), 0.5)
+    return found.select("node", "degree", r9("degree_centrality").alias("degree_centrality"), "triangles", r9("clustering").alias("clustering"))
+
+
+NETWORK = f"""WITH {BARS}, {COMPLETE}, p AS ({PAIR_ROWS}), u AS (SELECT a, b FROM p WHERE abs(r) > 0.5), e AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), n AS (SELECT DISTINCT a AS node FROM p UNION SELECT b FROM p),
+d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY 1), t AS (SELECT x.a AS node, count(*) AS triangles FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b GROUP BY 1)
+SELECT node, coalesce(degree, 0) AS degree, {s9("coalesce(degree, 0) / (SELECT count(*) - 1 FROM n)")} AS degree_centrality, coalesce(triangles, 0) AS triangles, {s9("coalesce(2.0 * triangles / nullif(degree * (degree - 1), 0), 0)")} AS clustering FROM n LEFT JOIN d USING (node) LEFT JOIN t USING (node)"""
+
+
+# ---- consensus over a score table of parts: five methods score a hundred features
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """method, feature, score: integer arithmetic over the nations and methods, so that any engine gets the same."""
+    n = spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("k"))
+    methods = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.lit(i).alias("i")) for i, m in enumerate(consensus.METHODS, 1)))).alias("m")
+    return n.select("k", methods).select("m.method", F.concat(F.lit("f"), "k").alias("feature"), ((F.col("k") * (7 + F.col("m.i")) + 3 * F.col("m.i")) % 29).cast("double").alias("score"))
+
+
+SCORES = f"m AS (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{m}{chr(39)})' for i, m in enumerate(consensus.METHODS, 1))}) t(i, method)), s AS (SELECT method, 'f' || CAST(n_nationkey AS VARCHAR) AS feature, CAST((n_nationkey * (7 + i) + 3 * i) % 29 AS DOUBLE) AS score FROM nation, m)"
+RANKED = f"{SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, feature) AS rank FROM s QUALIFY rank <= 15)"
+VOTES = f"{RANKED}, v AS (SELECT feature, count(*) AS n_methods, list_sort(list(DISTINCT method)) AS methods FROM r GROUP BY 1), c AS (SELECT *, CASE WHEN n_methods >= 5 THEN 'strong' WHEN n_methods >= 3 THEN 'medium' ELSE 'none' END AS category FROM v)"
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.rankings(scores(spark, sf_dir), 15)
+
+
+def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.votes(ranked(spark, sf_dir), 5)
+
+
+def approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = consensus.checked(voted(spark, sf_dir))
+    return out.select("feature", "n_methods", "category", F.col("checks_passed").cast("bigint").alias("checks_passed"), F.col("checks_total").cast("bigint").alias("checks_total"), F.col("approved").cast("int").alias("approved"))
+
+
+CHECKS = f"""WITH {VOTES}, k AS (SELECT *, CAST(n_methods >= CASE WHEN category = 'strong' THEN 5 ELSE 3 END AS INTEGER) + CAST(list_contains(methods, 'RF') AND list_contains(methods, 'XGBoost') AS INTEGER) + CAST(list_contains(methods, 'IC') AND list_contains(methods, 'MI') AS INTEGER) + CAST(list_contains(methods, 'Lasso') AS INTEGER) AS p FROM c WHERE category <> 'none')
+SELECT feature, n_methods, category, CAST(p AS BIGINT) AS checks_passed, CAST(4 AS BIGINT) AS checks_total, CAST(p / 4.0 >= CASE WHEN category = 'strong' THEN 0.75 ELSE 0.60 END AS INTEGER) AS approved FROM k"""
+
+
+def consensus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scores(spark, sf_dir)
+    of = lambda m, f=1.0: s.where(F.col("method") == m).select("feature", (F.col("score") / 1000 * f).alias("score"))
+    out = consensus.consensus_table(s.select("feature").distinct(), of("IC"), of("MI"), of("Lasso"), of("RF"), of("XGBoost"), 0.01, 10)
+    return out.select("feature", *(F.col(c).cast("int").alias(c) for c in ("ic_pass", "mi_pass", "lasso_pass", "rf_pass", "gb_pass")), F.col("n_pass").cast("bigint").alias("n_pass"), r9("consensus_pct").alias("consensus_pct"), "category")
+
+
+CONSENSUS = f"""WITH {SCORES}, k AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY score DESC) AS rk FROM s),
+p AS (SELECT feature, max(CASE WHEN method = 'IC' THEN CAST(score / 1000 > 0.01 AS INTEGER) END) AS ic_pass, max(CASE WHEN method = 'MI' THEN CAST(score / 1000 > 0.01 AS INTEGER) END) AS mi_pass, max(CASE WHEN method = 'Lasso' THEN CAST(score <> 0 AS INTEGER) END) AS lasso_pass, max(CASE WHEN method = 'RF' THEN CAST(rk <= 10 AS INTEGER) END) AS rf_pass, max(CASE WHEN method = 'XGBoost' THEN CAST(rk <= 10 AS INTEGER) END) AS gb_pass FROM k GROUP BY 1),
+n AS (SELECT *, CAST(ic_pass + mi_pass + lasso_pass + rf_pass + gb_pass AS BIGINT) AS n_pass FROM p)
+SELECT *, {s9("n_pass / 5 * 100")} AS consensus_pct, CASE WHEN n_pass >= 4 THEN 'very strong' WHEN n_pass >= 3 THEN 'strong' WHEN n_pass >= 2 THEN 'moderate' ELSE 'weak' END AS category FROM n"""
+
+
+# ---- costs
+
+
+def spread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return costs.spread_table(spark)
+
+
+SPREAD_CTE = "sp AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {h}, {d}, CAST({(p := round(b * f * k, 1))} AS DOUBLE), CAST({round(p * costs.usd_per_pip(s), 2)} AS DOUBLE))" for s, k in costs.SERIES_FACTOR.items() for h, b in enumerate(costs.SPREAD_BY_HOUR) for d, f in enumerate(costs.WEEKDAY_FACTOR)) + ") t(pair, hour_utc, day_of_week, spread_pips, spread_usd_per_lot))"
+
+
+def spread_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = costs.spread_by_hour(costs.spread_table(spark))
+    return out.select("hour_utc", *(r9(str(d)).alias(f"d{d}") for d in range(5)))
+
+
+SPREAD_PIVOT = f"WITH {SPREAD_CTE} SELECT hour_utc, " + ", ".join(f"{s9(f'avg(CASE WHEN day_of_week = {d} THEN spread_pips END)')} AS d{d}" for d in range(5)) + " FROM sp GROUP BY 1"
+
+
+def spread_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bars(spark, sf_dir).withColumn("series", F.when(F.col("series") == "click", "EUR_USD").when(F.col("series") == "error", "USD_JPY").otherwise(F.col("series")))
+    return costs.with_spread(df, costs.spread_table(spark)).select("series", "ts", "spread")
+
+
+SPREAD_JOIN = f"""WITH {SPREAD_CTE}, {BARS}, b AS (SELECT CASE series WHEN 'click' THEN 'EUR_USD' WHEN 'error' THEN 'USD_JPY' ELSE series END AS series, ts FROM bars)
+SELECT series, ts, coalesce(spread_pips, 1.5) AS spread FROM b LEFT JOIN sp ON series = pair AND hour(ts) = hour_utc AND isodow(ts) - 1 = day_of_week"""
+
+
+def swap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A position of every series, direction, opening day and up to a week of nights."""
+    rates = costs.swap_rates(spark)
+    rows = rates.select("pair", F.explode(F.array(F.struct(F.lit("long").alias("direction"), F.col("swap_long").alias("rate")), F.struct(F.lit("short").alias("direction"), F.col("swap_short").alias("rate")))).alias("d")).select("pair", "d.*")
+    rows = rows.withColumn("open_day", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("nights", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return rows.select("pair", "direction", "open_day", "nights", costs.swap(F.col("rate"), F.lit(2.0), F.col("nights"), F.col("open_day")).alias("swap_usd"))
+
+
+SWAP = "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{d}', CAST({v} AS DOUBLE))" for k, ab in costs.SWAP.items() for d, v in zip(("long", "short"), ab, strict=True)) + """) t(pair, direction, rate)), g AS (SELECT *, CAST(d.range AS INTEGER) AS open_day, CAST(n.range AS INTEGER) AS nights FROM r, range(0, 5) d, range(0, 8) n)
+SELECT pair, direction, open_day, nights, round(rate * 2 * (nights + CASE WHEN (2 - open_day + 5) % 5 < nights THEN 2 ELSE 0 END), 2) + 0 AS swap_usd FROM g"""
+
+
+def slippage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = regimes.with_atr(bars(spark, sf_dir), W())
+    df = df.withColumn("usual", F.avg("atr").over(Window.partitionBy("series")))
+    return df.select("series", "ts", r9(costs.slippage(F.col("atr"), F.col("usual"))).alias("slippage"))
+
+
+SLIPPAGE = f"WITH {ADX_CTE}, u AS (SELECT series, ts, atr / nullif(avg(atr) OVER (PARTITION BY series), 0) AS q FROM a) SELECT series, ts, {s9('greatest(0.2, least(0.3 * (1 + 0.5 * (coalesce(q, 1) - 1)), 3.0))')} AS slippage FROM u"
+
+
+# ---- rules
+
+
+def rule_features(spark: SparkSession) -> DataFrame:
+    rows = [("mean_ratio", 0.016, "Long"), ("z", -0.028, "Long"), ("pos", -0.019, "Short"), ("ret", 0.021, "Short")]
+    return spark.createDataFrame(rows, "feature STRING, ic DOUBLE, signal STRING")
+
+
+RULE_CTE = "f AS (SELECT * FROM (VALUES ('mean_ratio', 0.016::DOUBLE, 'Long'), ('z', -0.028::DOUBLE, 'Long'), ('pos', -0.019::DOUBLE, 'Short'), ('ret', 0.021::DOUBLE, 'Short')) t(feature, ic, signal))"
+
+
+def weight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.weights(rule_features(spark)).select("feature", "signal", r9("weight").alias("weight"), r9("signed_weight").alias("signed_weight"))
+
+
+WEIGHTS = f"WITH {RULE_CTE} SELECT feature, signal, {s9('abs(ic) / sum(abs(ic)) OVER ()')} AS weight, {s9('CASE WHEN signal = ' + chr(39) + 'Short' + chr(39) + ' THEN -1 ELSE 1 END * abs(ic) / sum(abs(ic)) OVER ()')} AS signed_weight FROM f"
+
+RULE_NAMES = [("R_1_C", 0.016, "Long"), ("R_24_C_minus_R_96_C", 0.024, "Long"), ("Pos_20_C", -0.028, "Short"), ("sigma_10_C_div_sigma_50_C", -0.021, "Short"), ("hour_sin_times_R_4_C", 0.019, "Long"), ("Z_50_C", -0.012, "Long"), ("mu_20_C", 0.011, "Short")]
+
+
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.entry_rules(spark.createDataFrame(RULE_NAMES, "feature STRING, ic DOUBLE, signal STRING"))
+    return out.select("feature", "component", "operator", "threshold", rules.pattern(F.col("feature"), F.col("ic")).alias("pattern"), rules.period(F.col("feature")).alias("period"))
+
+
+_NAMES = ", ".join(f"('{a}', {b}::DOUBLE, '{c}')" for a, b, c in RULE_NAMES)
+RULES = f"""WITH f AS (SELECT * FROM (VALUES {_NAMES}) t(feature, ic, signal))
+SELECT feature, CASE WHEN contains(feature, 'Pos') THEN 'position' WHEN contains(feature, 'minus') OR contains(feature, '-') THEN 'difference' WHEN contains(feature, 'div') OR contains(feature, '/') THEN 'ratio' WHEN contains(feature, 'times') OR contains(feature, '*') THEN 'product' WHEN contains(feature, 'R_1') THEN 'immediate momentum' WHEN contains(feature, 'R') THEN 'momentum' WHEN contains(feature, 'sigma') THEN 'volatility' WHEN contains(feature, 'mu') THEN 'mean' ELSE 'complex' END AS component,
+CASE WHEN (ic > 0) = (signal = 'Long') THEN '>' ELSE '<' END AS operator,
+CAST(CASE WHEN contains(feature, 'Pos') THEN CASE WHEN ic > 0 THEN 0.7 ELSE 0.3 END WHEN contains(feature, 'R_1') THEN 0 WHEN contains(feature, 'minus') OR contains(feature, 'diff') THEN 0 WHEN contains(feature, 'div') OR contains(feature, 'ratio') THEN CASE WHEN contains(feature, 'sigma') THEN CASE WHEN ic > 0 THEN 1.2 ELSE 0.8 END ELSE 1 END WHEN contains(feature, 'sigma') THEN 0 WHEN contains(feature, 'Z') THEN CASE WHEN ic > 0 THEN 1 ELSE -1 END ELSE 0 END AS DOUBLE) AS threshold,
+CASE WHEN ic <= 0 AND regexp_matches(lower(feature), 'pos|z|rank') THEN 'mean reversion' WHEN ic > 0 AND regexp_matches(lower(feature), 'r|delta') THEN 'momentum' WHEN contains(lower(feature), 'sigma') THEN 'volatility' WHEN regexp_matches(lower(feature), 'hour|day|month') THEN 'seasonality' WHEN regexp_matches(lower(feature), 'minus|-|diff') THEN 'difference of scales' WHEN regexp_matches(lower(feature), 'div|/|ratio') THEN 'relative level' ELSE 'complex' END AS pattern,
+TRY_CAST(nullif(regexp_extract(feature, '[0-9]+'), '') AS INTEGER) AS period FROM f"""
+
+
+def rule_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.weights(rules.entry_rules(rule_features(spark)))
+    values = screened(bars(spark, sf_dir), ["series", "ts"]).where(F.col("value").isNotNull()).withColumn("value", r9("value"))
+    out = rules.rule_votes(values, rows, ["series", "ts"])
+    return out.select("series", "ts", r9("long_score").alias("long_score"), r9("short_score").alias("short_score"), "decision")
+
+
+RULE_VOTES = f"""WITH {BARS}, {WIDE.format("bars")}, l AS ({" UNION ALL ".join(f"SELECT series, ts, '{k}' AS feature, round(f_{k}, 9) + 0 AS value FROM w WHERE f_{k} IS NOT NULL" for k in FEATURES)}), {RULE_CTE},
+g AS (SELECT *, CASE WHEN (ic > 0) = (signal = 'Long') THEN 1 ELSE -1 END AS side, CASE WHEN contains(feature, 'ratio') THEN 1 ELSE 0 END AS threshold, abs(ic) / sum(abs(ic)) OVER () AS weight FROM f),
+h AS (SELECT sum(CASE WHEN signal = 'Long' THEN weight END) / 2 AS hl, sum(CASE WHEN signal = 'Short' THEN weight END) / 2 AS hs FROM g),
+v AS (SELECT series, ts, coalesce(sum(CASE WHEN ok AND signal = 'Long' THEN weight END), 0) AS a, coalesce(sum(CASE WHEN ok AND signal = 'Short' THEN weight END), 0) AS b FROM (SELECT l.*, g.signal, g.weight, CASE WHEN side > 0 THEN value > threshold ELSE value < threshold END AS ok FROM l JOIN g USING (feature)) GROUP BY 1, 2)
+SELECT series, ts, {s9("a")} AS long_score, {s9("b")} AS short_score, CASE WHEN a > hl AND a > b THEN 'LONG' WHEN b > hs AND b > a THEN 'SHORT' ELSE 'NEUTRAL' END AS decision FROM v, h"""
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = regimes.with_atr(bars(spark, sf_dir), W())
+    low, high = rules.exits(F.col("close"), F.lit("SHORT"), F.col("atr"))
+    return df.select("series", "ts", r9(rules.position_size(F.lit(1000.0), F.lit(0.8), F.col("atr"), F.col("close"), F.lit(0.5))).alias("size"), r9(low).alias("stop"), r9(high).alias("take"))
+
+
+SIZES = f"""WITH {ADX_CTE} SELECT series, ts, {s9("least(least(0.016, CASE WHEN atr * 2 > 0 THEN 1000 * 0.01 / (atr * 2) / close ELSE 0.01 END) * 0.75, 0.10)")} AS size, {s9("close + 2 * atr")} AS stop, {s9("close - 3 * atr")} AS take FROM a"""
+
+
+# ---- returns and processes
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir).withColumn("r", R.ret(F.col("close"), 1, W()) / 10).where(F.col("r").isNotNull())
+
+
+RETURNS = f"{BARS}, r AS (SELECT * FROM (SELECT series, ts, (close / lag(close, 1) {ROW} - 1) / 10 AS r FROM bars) WHERE r IS NOT NULL)"
+
+
+def drawdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.drawdowns(returns(spark, sf_dir)).select("series", "ts", F.round("equity", 6).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
+
+
+DRAWDOWN = f"WITH {RETURNS}, e AS (SELECT series, ts, product(1 + r) {over()} AS equity FROM r) SELECT series, ts, round(equity, 6) + 0 AS equity, round((equity / max(equity) {over()} - 1) * 100, 6) + 0 AS drawdown FROM e"
+
+
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.return_metrics(returns(spark, sf_dir), ["series"])
+    return out.select("series", "n", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+METRICS = f"""WITH {RETURNS} SELECT series, count(r) AS n, round(CASE WHEN stddev_samp(r) > 1e-10 THEN avg(r) / stddev_samp(r) * sqrt(252) ELSE 0 END, 6) + 0 AS sharpe, round(sum(CASE WHEN r > 0 THEN r END) / abs(sum(CASE WHEN r < 0 THEN r END)), 6) + 0 AS profit_factor, round(avg(CAST(r > 0 AS INTEGER)), 6) + 0 AS win_rate,
+round(avg(CASE WHEN r > 0 THEN r END) / abs(avg(CASE WHEN r < 0 THEN r END)), 6) + 0 AS win_loss, round((product(1 + r) - 1) * 100, 6) + 0 AS total_return, round(avg(r) * 252 * 100, 6) + 0 AS annual_return FROM r GROUP BY 1"""
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+OU = f"""WITH {BARS}, d AS (SELECT series, close AS x, lead(close, 1) {ROW} - close AS dx FROM bars), f AS (SELECT series, regr_slope(dx, x) AS b, regr_intercept(dx, x) AS a, regr_r2(dx, x) AS r2, var_pop(dx) AS v FROM d WHERE dx IS NOT NULL GROUP BY 1)
+SELECT series, {s9("-b")} AS theta, {s9("-a / b")} AS mu, {s9("sqrt(v * (1 - r2))")} AS sigma, {s9("CASE WHEN -b > 0 THEN ln(2) / -b END")} AS half_life, {s9("r2")} AS r2 FROM f"""
+LOGS = f"{BARS}, r AS (SELECT * FROM (SELECT series, ts, ln(close / lag(close, 1) {ROW}) AS r FROM bars) WHERE r IS NOT NULL)"
+GBM = f"WITH {LOGS}, f AS (SELECT series, avg(r) AS m, var_pop(r) AS v, count(r) AS n FROM r GROUP BY 1) SELECT series, {s9('m + v / 2')} AS drift, {s9('sqrt(v)')} AS volatility, {s9('m - 1.96 * sqrt(v / n)')} AS low, {s9('m + 1.96 * sqrt(v / n)')} AS high FROM f"
+JUMPS = f"""WITH {LOGS}, m AS (SELECT series, r, abs(r - avg(r) OVER (PARTITION BY series)) > 2 * stddev_pop(r) OVER (PARTITION BY series) AS j FROM r)
+SELECT series, count(*) FILTER (j) AS n_jumps, count(*) FILTER (j AND r > 0) AS n_up, count(*) FILTER (j AND r < 0) AS n_down, {s9("count(*) FILTER (j) / count(*)")} AS share, {s9("avg(CASE WHEN j THEN abs(r) END)")} AS mean_size FROM m GROUP BY 1"""
+WALK = f"""WITH {BARS}, d AS (SELECT series, ts, row_number() {ROW} AS i, close - lag(close, 1) {ROW} AS d, close - lag(close, 5) {ROW} AS dk FROM bars), v AS (SELECT series, var_pop(CASE WHEN (i - 1) % 5 = 0 THEN dk END) / (5 * var_pop(d)) AS variance_ratio FROM d GROUP BY 1),
+c AS (SELECT series, ts, d - avg(d) OVER (PARTITION BY series) AS c FROM d WHERE d IS NOT NULL), p AS (SELECT series, c, {", ".join(f"lag(c, {j}) OVER (PARTITION BY series ORDER BY ts) AS c{j}" for j in range(1, 11))} FROM c),
+s AS (SELECT series, count(c) AS n, {", ".join(f"sum(c * c{j}) / sum(c * c) AS a{j}" for j in range(1, 11))} FROM p GROUP BY 1)
+SELECT series, {s9("variance_ratio")} AS variance_ratio, {s9("a1")} AS autocorrelation, {", ".join(f"{s9('n * (n + 2) * (' + ' + '.join(f'a{j} * a{j} / (n - {j})' for j in range(1, m + 1)) + ')')} AS q_{m}" for m in (1, 5, 10))} FROM s JOIN v USING (series)"""
+HURST = f"""WITH {LOGS}, n AS (SELECT series, r, row_number() {ROW} - 1 AS i FROM r), x AS (SELECT series, r, i, g.range AS lag, i // g.range AS chunk FROM n, range(2, 40) g), f AS (SELECT *, avg(r) OVER c AS m, count(*) OVER c AS k FROM x WINDOW c AS (PARTITION BY series, lag, chunk)),
+y AS (SELECT series, lag, chunk, r, sum(r - m) OVER (PARTITION BY series, lag, chunk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM f WHERE k = lag), q AS (SELECT series, lag, (max(y) - min(y)) / nullif(stddev_pop(r), 0) AS rs FROM y GROUP BY series, lag, chunk), b AS (SELECT series, lag, avg(rs) AS rs FROM q WHERE rs > 0 GROUP BY 1, 2)
+SELECT series, round(regr_slope(ln(rs), ln(lag)), 6) + 0 AS hurst, round(regr_r2(ln(rs), ln(lag)), 6) + 0 AS r2 FROM b GROUP BY 1"""
+
+
+# ---- backtest, resampling, models
+
+
+def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.run(bars(spark, sf_dir), costs.spread_table(spark), backtest.Config(bars_per_day=6))
+
+
+def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.trades(backtest_rows(spark, sf_dir))
+
+
+def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = backtest_rows(spark, sf_dir)
+    return metrics.trade_metrics(backtest.trades(rows), backtest.equity(rows), 100_000.0)
+
+
+def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = backtest.prepared(bars(spark, sf_dir), costs.spread_table(spark), backtest.Config())
+    return df.select("series", "ts", r9("atr").alias("atr"), "spread", F.col("signal").cast("int").alias("signal"))
+
+
+SIGNALS = f"""WITH {ADX_CTE}, g AS (SELECT series, ts, lag(atr, 1) {ROW} AS atr, row_number() {ROW} - 1 AS n, lag(close, 1) {ROW} / lag(close, 2) {ROW} - 1 AS r1, lag(close, 1) {ROW} / lag(close, 6) {ROW} - 1 AS r5 FROM a)
+SELECT series, ts, {s9("atr")} AS atr, CAST(1.5 AS DOUBLE) AS spread, CASE WHEN hour(ts) IN (21, 22, 23) OR (isodow(ts) = 5 AND hour(ts) >= 17) OR n < 20 THEN 0 WHEN r1 > 0 AND r5 > 0 THEN 1 WHEN r1 < 0 AND r5 < 0 THEN -1 ELSE 0 END AS signal FROM g"""
+
+
+def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = returns(spark, sf_dir).where(F.col("series") == "click").withColumn("r", F.col("r") / 10)
+    return resampling.bootstrap(r, "r", ["ts"], 2_000)
+
+
+def permutation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = wide(spark, sf_dir).where((F.col("series") == "click") & F.col("z").isNotNull() & F.col("target").isNotNull()).withColumn("target", F.col("target") / 100)
+    return resampling.permutation(df, "z", "target", ["ts"], 2_000)
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = align.ratio_split(wide(spark, sf_dir).na.drop("any", subset=[*NAMES, "target"]))
+    x = learning.assembled(df, NAMES, "target")
+    train, test = learning.scaled(x.where("is_train"), x.where("NOT is_train"))
+    return train, test
+
+
+def linear_rows(kind: str, alpha: float = 1.0):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        train, test = model_table(spark, sf_dir)
+        model, _ = learning.linear(train, test, kind, alpha)
+        return learning.coefficients(spark, model, NAMES)
+
+    return query
+
+
+def pca_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.principal_components(model_table(spark, sf_dir)[0], 4)[1]
+
+
+def tree_rows(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model = learning.trees(model_table(spark, sf_dir)[0], kind, "regression", 10, 4)
+        return learning.importances(spark, model, NAMES)
+
+    return query
+
+
+def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = wide(spark, sf_dir)
+    pairs = stats.correlation_pairs(df, NAMES)
+    found = df.agg(*(F.var_pop(c).alias(c) for c in NAMES)).first()
+    return learning.feature_clusters(pairs, found.asDict(), 2)
+
+
+QUERIES: dict[str, Query] = {
+    "ic_pearson": (ic(["feature"], [], "pearson"), ic_sql(["feature"], "series", "pearson")),
+    "ic_spearman": (ic(["feature"], [], "spearman"), ic_sql(["feature"], "series", "spearman")),
+    "ic_by_series": (ic(["series", "feature"], ["series"], "spearman"), ic_sql(["series", "feature"], "series", "spearman")),
+    "ic_by_year": (ic(["feature", "year"], ["year"], "pearson", daily), ic_sql(["feature", "year"], "year", "pearson", DAILY_Y, "dy")),
+    "ic_by_period": (ic_period, IC_PERIOD),
+    "ic_by_regime": (ic_regime, IC_REGIME),
+    "ic_stability": (ic_stability, IC_STABILITY),
+    "ic_significance": (ic_significance, IC_SIGNIFICANCE),
+    "binned_mi": (binned_mi, f"WITH {BARS}, {mi_sql(long_sql('bars', 'series'), 'feature')}"),
+    "lagged_mi": (lagged_mi, mi_sql(LAGGED, "series")),
+    "corr_pairs": (corr_pairs, f"WITH {BARS}, {COMPLETE}, p AS ({PAIR_ROWS}) SELECT a, b, {s9('r')} AS r FROM p"),
+    "network_degree": (network, NETWORK),
+    "topk_per_method": (ranked, f"WITH {RANKED} SELECT method, feature, score, CAST(rank AS INTEGER) AS rank FROM r"),
+    "votes": (lambda s, d: voted(s, d).select("feature", "n_methods", F.array_join("methods", ",").alias("methods"), "category"), f"WITH {VOTES} SELECT feature, n_methods, array_to_string(methods, ',') AS methods, category FROM c"),
+    "consensus_checks": (approved, CHECKS),
+    "consensus_table": (consensus_rows, CONSENSUS),
+    "spread_table": (spread_rows, f"WITH {SPREAD_CTE} SELECT * FROM sp"),
+    "spread_summary": (lambda s, d: costs.spread_summary(costs.spread_table(s)), f"WITH {SPREAD_CTE} SELECT pair, round(min(spread_pips), 2) AS lowest, round(avg(spread_pips), 2) AS mean, round(max(spread_pips), 2) AS highest FROM sp GROUP BY 1"),
+    "spread_pivot": (spread_pivot, SPREAD_PIVOT),
+    "spread_join": (spread_join, SPREAD_JOIN),
+    "swap_cost": (swap_rows, SWAP),
+    "slippage_cost": (slippage_rows, SLIPPAGE),
+    "entry_rules": (rule_rows, RULES),
+    "weights": (weight_rows, WEIGHTS),
+    "rule_votes": (rule_votes, RULE_VOTES),
+    "position_sizes": (sizes, SIZES),
+    "drawdown": (drawdown_rows, DRAWDOWN),
+    "return_metrics": (metric_rows, METRICS),
+    "ou_fit": (lambda s, d: rounded(processes.ornstein_uhlenbeck(bars(s, d))), OU),
+    "gbm_fit": (lambda s, d: rounded(processes.geometric_brownian(bars(s, d))), GBM),
+    "jumps": (lambda s, d: rounded(processes.jumps(bars(s, d), threshold=2.0)), JUMPS),
+    "variance_ratio": (lambda s, d: rounded(processes.random_walk(bars(s, d))), WALK),
+    "hurst": (lambda s, d: rounded(processes.hurst(bars(s, d), high=40), 6), HURST),
+    "backtest_signals": (signal_rows, SIGNALS),
+    "backtest_trades": (backtest_trades, None),
+    "backtest_metrics": (backtest_metrics, None),
+    "bootstrap_ci": (bootstrap_rows, None),
+    "permutation_p": (permutation_rows, None),
+    "ols": (linear_rows("ols"), None),
+    "ridge": (linear_rows("ridge"), None),
+    "lasso": (linear_rows("lasso", 0.001), None),
+    "pca": (pca_rows, None),
+    "forest_importance": (tree_rows("forest"), None),
+    "boosting_importance": (tree_rows("boosting"), None),
+    "feature_clusters": (cluster_rows, None),
+}
