@@ -79,8 +79,8 @@ def rule_votes(values: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
 
 def rule_sql(rules: list[dict]) -> str:
     """A SQL expression of the difference of long and short scores of rules over a wide table."""
-    terms = [f"CASE WHEN `{r['feature']}` {r['operator']} {float(r['threshold'])!r} THEN {float(r['weight']) * (1 if r['signal'] == 'Long' else -1)!r} ELSE 0.0 END" for r in rules]
-    return " + ".join(terms) or "0.0"
+    terms = [f"CASE WHEN `{r['feature']}` {r['operator']} {float(r['threshold'])!r}D THEN {float(r['weight']) * (1 if r['signal'] == 'Long' else -1)!r}D ELSE 0.0D END" for r in rules]
+    return " + ".join(terms) or "0.0D"
 
 
 def position_size(capital: Column, strength: Column, atr: Column, price: Column, correlation: Column, base: float = 0.02, most: float = 0.10, risk: float = 0.01, stop: float = 2.0) -> Column:
