@@ -207,3 +207,10 @@ def matrix_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Over all values: rows, columns, minimum, maximum, mean, population deviation, missing."""
     values = df.select(F.explode(F.array(*(F.col(c).cast("double") for c in columns))).alias("v"))
     return values.agg((F.count(F.lit(1)) / len(columns)).cast("bigint").alias("n_rows"), F.lit(len(columns)).alias("n_columns"), F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count_if(F.col("v").isNull()).alias("missing"))
+
+
+def series_tensor(samples: DataFrame, series: list[str], target_series: str) -> DataFrame:
+    """ts, x (map from series to its sample) and the target series' y, of the times at which all series have a sample (as sequences() gives them)."""
+    picked = samples.where(F.col("series").isin(series))
+    wide = picked.groupBy("ts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("series", "x")))).alias("x"), F.max(F.when(F.col("series") == target_series, F.col("y"))).alias("y"))
+    return wide.where(F.size("x") == len(series))

@@ -60,3 +60,55 @@ def hurst(df: DataFrame, x: str = "close", low: int = 2, high: int = 100) -> Dat
     rs = walk.groupBy("series", "lag", "chunk").agg(F.try_divide(F.max("y") - F.min("y"), F.stddev_pop("r")).alias("rs"))
     by_lag = rs.where(F.col("rs") > 0).groupBy("series", "lag").agg(F.avg("rs").alias("rs"))
     return by_lag.groupBy("series").agg(F.regr_slope(F.ln("rs"), F.ln("lag")).alias("hurst"), F.regr_r2(F.ln("rs"), F.ln("lag")).alias("r2"))
+
+
+#: The scaling filter of the Daubechies wavelet with four vanishing moments.
+DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278)
+
+
+def wavelet_energy(df: DataFrame, x: str = "close", levels: int = 6) -> DataFrame:
+    """series, level, energy, share: energy of the wavelet details (level 0: of what remains), edges mirrored. A level needs the whole series below it, so a series is one group."""
+    import numpy as np
+    import pandas as pd
+
+    low = np.array(DB4[::-1])
+    high = np.array(DB4) * np.array([-1, 1] * 4)
+
+    def split(v, taps):
+        return np.convolve(np.pad(v, len(taps) - 1, mode="symmetric"), taps, "valid")[1::2][: (len(v) + len(taps) - 1) // 2]
+
+    def energies(p: pd.DataFrame) -> pd.DataFrame:
+        v, out = p.sort_values("ts")["x"].dropna().to_numpy(dtype=float), []
+        for level in range(1, levels + 1):
+            if len(v) < len(low):
+                break
+            v, detail = split(v, low), split(v, high)
+            out.append((level, float((detail**2).sum())))
+        out.append((0, float((v**2).sum())))
+        total = sum(e for _, e in out) or 1.0
+        return pd.DataFrame([(p["series"].iloc[0], k, e, e / total) for k, e in out], columns=["series", "level", "energy", "share"])
+
+    return df.select("series", "ts", F.col(x).cast("double").alias("x")).groupBy("series").applyInPandas(energies, "series STRING, level INT, energy DOUBLE, share DOUBLE")
+
+
+def lyapunov(df: DataFrame, x: str = "close", dimension: int = 3, delay: int = 1, probes: int = 50, ahead: int = 10, seed: int = 42) -> DataFrame:
+    """series, exponent: mean growth of the logarithmic distance between a point of the delay embedding and its nearest other point, over `probes` seeded points of each series."""
+    import numpy as np
+    import pandas as pd
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        v = p.sort_values("ts")["x"].dropna().to_numpy(dtype=float)
+        n = len(v) - (dimension - 1) * delay
+        rates = []
+        if n > 2 * ahead:
+            e = np.stack([v[i * delay : i * delay + n] for i in range(dimension)], axis=1)
+            for i in np.random.default_rng(seed).choice(n - ahead, min(probes, n - ahead), replace=False):
+                d = np.linalg.norm(e[: n - ahead] - e[i], axis=1)
+                d[max(0, i - dimension) : i + dimension + 1] = np.inf
+                j = int(np.argmin(d))
+                later = np.linalg.norm(e[i + ahead] - e[j + ahead])
+                if np.isfinite(d[j]) and d[j] > 1e-12 and later > 1e-12:
+                    rates.append(np.log(later / d[j]) / ahead)
+        return pd.DataFrame({"series": [p["series"].iloc[0]], "exponent": [float(np.mean(rates)) if rates else None]})
+
+    return df.select("series", "ts", F.col(x).cast("double").alias("x")).groupBy("series").applyInPandas(fit, "series STRING, exponent DOUBLE")

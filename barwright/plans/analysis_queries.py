@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import rolling as R
-from barwright.operators import align, backtest, consensus, costs, features, learning, metrics, processes, regimes, resampling, rules, stats
+from barwright.operators import align, backtest, consensus, costs, features, learning, metrics, processes, regimes, resampling, robustness, rules, stats
 from barwright.plans.bar_queries import ADX_CTE, BARS, DAILY, N, ROW, Query, W, bars, bars_sql, daily, full, over, pos_sql, r9, s9, z_sql
 
 NAMES = ["mean_ratio", "z", "pos", "ret"]
@@ -419,7 +419,77 @@ def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.feature_clusters(pairs, found.asDict(), 2)
 
 
+def sensitivity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of 9, 10 and 11 bars against the next return, each judged by its neighbours."""
+    w, x = W(), F.col("close")
+    names = [f"mean_{n}__close" for n in (9, 10, 11)]
+    df = bars(spark, sf_dir).withColumns({f"mean_{n}__close": R.mean(x, n, w) / x for n in (9, 10, 11)} | {"target": features.target(x, 1, "return", w)})
+    found = stats.information_coefficient(stats.long(df, names, ["target"]), ["feature"])
+    return rounded(robustness.sensitivity(found))
+
+
+_MEANS = " UNION ALL ".join(f"SELECT 'mean_{n}__close' AS feature, m{n} AS value, target FROM w" for n in (9, 10, 11))
+SENSITIVITY = f"""WITH {BARS}, w AS (SELECT {", ".join(f"({full(n, f'avg(close) {over(n)}')}) / close AS m{n}" for n in (9, 10, 11))}, lead(close, 1) {ROW} / close - 1 AS target FROM bars), l AS (SELECT * FROM ({_MEANS}) WHERE value IS NOT NULL AND target IS NOT NULL),
+i AS (SELECT feature, CAST(regexp_extract(feature, '[0-9]+') AS INTEGER) AS p, {PEARSON} AS ic FROM l GROUP BY 1), g AS (SELECT b.feature AS base, i.ic FROM i b JOIN i ON i.p BETWEEN CAST(round(b.p * 0.9) AS INTEGER) AND CAST(round(b.p * 1.1) AS INTEGER)),
+a AS (SELECT base, count(ic) AS n_variants, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_sd, min(ic) AS ic_min, max(ic) AS ic_max FROM g GROUP BY 1)
+SELECT base, n_variants, {s9("ic_mean")} AS ic_mean, {s9("ic_sd")} AS ic_sd, {s9("ic_min")} AS ic_min, {s9("ic_max")} AS ic_max, {s9("abs(ic_sd / ic_mean)")} AS cv, CASE WHEN abs(ic_sd / ic_mean) < 0.2 THEN 'robust' WHEN abs(ic_sd / ic_mean) < 0.5 THEN 'moderate' ELSE 'sensitive' END AS verdict FROM a"""
+
+
+def temporal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.information_coefficient(screened(daily(spark, sf_dir).withColumn("year", F.year("ts")), ["year"]), ["feature", "year"])
+    return rounded(robustness.temporal_class(found, ["feature"]))
+
+
+TEMPORAL = f"""WITH {DAILY_Y}, {long_sql("dy", "year")}, i AS (SELECT feature, year, CASE WHEN count(*) >= 10 THEN {PEARSON} END AS ic FROM l GROUP BY 1, 2),
+a AS (SELECT feature, count(ic) AS n_periods, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_sd, min(ic) AS ic_min, avg(CAST(ic > 0 AS INTEGER)) AS share_positive FROM i GROUP BY 1)
+SELECT feature, n_periods, {s9("ic_mean")} AS ic_mean, {s9("ic_sd")} AS ic_sd, {s9("ic_min")} AS ic_min, {s9("share_positive")} AS share_positive, CASE WHEN share_positive >= 0.8 AND coalesce(abs(ic_sd / nullif(ic_mean, 0)), 1) < 0.5 AND ic_min >= -0.02 THEN 'stable' WHEN share_positive >= 0.6 THEN 'moderate' ELSE 'unstable' END AS stability FROM a"""
+
+
+def consistency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.information_coefficient(screened(bars(spark, sf_dir), ["series"]), ["series", "feature"], least=30)
+    return rounded(robustness.series_class(found, ["feature"]))
+
+
+CONSISTENCY = f"""WITH {BARS}, {long_sql("bars", "series")}, i AS (SELECT series, feature, CASE WHEN count(*) >= 30 THEN {PEARSON} END AS ic FROM l GROUP BY 1, 2),
+a AS (SELECT feature, count(ic) AS n_series, avg(ic) AS ic_mean, greatest(avg(CAST(ic > 0 AS INTEGER)), avg(CAST(ic < 0 AS INTEGER))) AS agreement FROM i GROUP BY 1)
+SELECT feature, n_series, {s9("ic_mean")} AS ic_mean, {s9("agreement")} AS agreement, CASE WHEN agreement >= 0.8 THEN 'universal' WHEN agreement >= 0.6 THEN 'partial' ELSE 'specific' END AS consistency FROM a"""
+
+
+def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = robustness.regime_gate(ic_regime(spark, sf_dir), ["feature"], 0.05)
+    return out.select("feature", F.col("is_robust").cast("int").alias("is_robust"), "weak_in")
+
+
+GATE = f"""WITH i AS ({IC_REGIME}) SELECT feature, CAST(bool_and(coalesce(abs(ic) >= 0.05, false)) AS INTEGER) AS is_robust, coalesce(string_agg(CASE WHEN NOT coalesce(abs(ic) >= 0.05, false) THEN regime END, ',' ORDER BY regime), '') AS weak_in FROM i GROUP BY 1"""
+
+
+def histogram_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robustness.histogram(bars(spark, sf_dir), "close", 10)
+
+
+HISTOGRAM = f"WITH {BARS}, e AS (SELECT min(close) AS a, max(close) AS b FROM bars) SELECT CAST(least(floor((close - a) * 10 / (b - a)) + 1, 10) AS BIGINT) AS bin, count(*) AS n FROM bars, e GROUP BY 1"
+
+
+def tensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times at which two series both have a sample, with a corner of each and the target."""
+    df = bars(spark, sf_dir, "1 hour").withColumn("r", R.ret(F.col("close"), 1, W())).where(F.col("r").isNotNull())
+    t = features.series_tensor(features.sequences(df, ["close"], 4, 1, 1, F.col("r")), ["click", "error"], "click")
+    return t.select("ts", *(F.round(F.col("x")[s][0][0].cast("double"), 4).alias(f"first_{s}") for s in ("click", "error")), r9("y").alias("y"))
+
+
+TENSOR = f"""WITH {bars_sql("1 hour")}, r AS (SELECT *, close / lag(close, 1) {ROW} - 1 AS r FROM bars), f AS (SELECT * FROM r WHERE r IS NOT NULL), s AS (SELECT series, ts, row_number() {ROW} AS n, lag(close, 3) {ROW} AS c, lead(r, 1) {ROW} AS y FROM f), k AS (SELECT * FROM s WHERE n >= 4 AND y IS NOT NULL)
+SELECT a.ts, round(a.c, 4) + 0 AS first_click, round(b.c, 4) + 0 AS first_error, {s9("a.y")} AS y FROM k a JOIN k b ON a.ts = b.ts AND a.series = 'click' AND b.series = 'error'"""
+
+
 QUERIES: dict[str, Query] = {
+    "parameter_sensitivity": (sensitivity_rows, SENSITIVITY),
+    "temporal_stability": (temporal_rows, TEMPORAL),
+    "series_agreement": (consistency_rows, CONSISTENCY),
+    "regime_gate": (gate_rows, GATE),
+    "histogram": (histogram_rows, HISTOGRAM),
+    "series_tensor": (tensor_rows, TENSOR),
+    "wavelet_energy": (lambda s, d: processes.wavelet_energy(bars(s, d)), None),
+    "lyapunov": (lambda s, d: processes.lyapunov(bars(s, d)), None),
     "ic_pearson": (ic(["feature"], [], "pearson"), ic_sql(["feature"], "series", "pearson")),
     "ic_spearman": (ic(["feature"], [], "spearman"), ic_sql(["feature"], "series", "spearman")),
     "ic_by_series": (ic(["series", "feature"], ["series"], "spearman"), ic_sql(["series", "feature"], "series", "spearman")),
