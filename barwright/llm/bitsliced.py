@@ -202,7 +202,7 @@ def search(index: DataFrame, queries: DataFrame, size: int, k: int, block_querie
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Every query row's k best other rows by the inner product of floor(scale * component)."""
     fine = stored(usable(vectors, id_col, vec_col), "vectors")
-    size = usual_size(fine)
+    size = usual_size(fine) or 1
     q = fine.where(F.size("v") == size).select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("bigint")).alias("q"))
     rows = stored(classes(q, "q", k + 1), "bitsliced-classes")
     index = stored(index_blocks(rows.repartition(max(1, -(-rows.count() // BLOCK_ROWS))), size), "bitslices")

@@ -109,8 +109,9 @@ class Classifier:
         return names, scores
 
 
-def predicted(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """docs with lang_pred and score."""
+def predicted(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with the language and its score, in place of columns of those names."""
+    docs = docs.drop(lang_name, score_name)
     names = docs.columns
 
     def make():
@@ -118,12 +119,12 @@ def predicted(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFI
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             lang, score = judge(texts_of(batch))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, lang_name, score_name])
 
         return work
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(per_batch(make), f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(per_batch(make), f"{schema}, `{lang_name}` string, `{score_name}` double")
 
 
 def held_out_fold(mod: int, fold: int):

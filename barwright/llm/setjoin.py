@@ -12,11 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.llm import textcodes
-from barwright.llm.common import per_batch, stored, table, texts_of
+from barwright.llm.common import fresh, per_batch, sifted, stored, table, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -81,7 +81,7 @@ def signed(docs: DataFrame, threshold: float, runs: int, size: int) -> DataFrame
 
 def with_sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """rep, hi, lo of members with tokens: the set of the rep's text, as 64-bit integers. Of several texts under one id the one with the member's key counts."""
-    texts = docs.selectExpr("cast(doc_id AS bigint) AS _id", "text")
+    texts, _ = sifted(docs.selectExpr("cast(doc_id AS bigint) AS _id", "text"), "_id", members.select(F.col("rep").alias("id")))
     joined = members.join(texts, F.col("rep") == F.col("_id")).select("rep", "hi", "lo", "text")
     seeds = textcodes.mixed(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -289,10 +289,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the near duplicates: of each class the row with the least id stays, and one of those if the id repeats. Rows without an id stay."""
-    found = near_duplicates(docs, **options).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_gone")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept
+    """docs without the near duplicates: of each class the row with the least id stays, the first by its text if that id repeats. Rows without an id stay."""
+    other, gone, nth = (fresh(docs, x) for x in ("_same", "_gone", "_nth"))
+    by_id = near_duplicates(docs, **options).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("c"))
+    found = stored(by_id.where((F.col("doc_id") != F.col("c")) | (F.col("n") > 1)).select(F.col("doc_id").alias(other), (F.col("doc_id") != F.col("c")).alias(gone)), "gone")
+    some, rest = sifted(docs, "doc_id", found.select(F.col(other).alias("id")))
+    marked = some.join(found, F.col("doc_id").cast("bigint") == F.col(other), "left")
+    marked = marked.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", other).orderBy("text")))
+    return marked.where(F.col(other).isNull() | (~F.col(gone) & (F.col(nth) == 1))).select(*docs.columns).union(rest)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,8 @@ def descend(keys: np.ndarray, rows: pa.Table, steps: int = 600, rate: float = 0.
 
 
 def scored(docs: DataFrame, model: Model, located: bool = True) -> DataFrame:
-    """docs with score and, if located, worst_sentence (its number in the text, from 0) and sentence_score of the one that offends most."""
+    """docs with score and, if located, worst_sentence (its number in the text, from 0) and sentence_score of the one that offends most, in place of columns of those names."""
+    docs = docs.drop("score", "worst_sentence", "sentence_score")
     names = docs.columns
 
     def make():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm import langid, packing, passages, secrets, setjoin
-from barwright.llm.common import stored, table
+from barwright.llm.common import fresh, stored, table
 
 #: Less than this share of a profile's places in common with the nearest language is no language.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -15,8 +15,9 @@ LEAST_LANGUAGE_SCORE = 0.2
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt from their own lang column; the others go."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(langid.held_out_fold(5, 0), F.lit(False)))
-    judged = langid.predicted(docs, langid.fit_profiles(train))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    judged = langid.predicted(docs, langid.fit_profiles(train), lang_name=lang, score_name=score)
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
