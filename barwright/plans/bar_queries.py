@@ -118,8 +118,8 @@ e AS (SELECT series, ts, i, close AS y FROM b WHERE i = 1 UNION ALL SELECT b.ser
 SELECT series, ts, {s9("y")} AS value FROM e"""
 
 
-def with_columns(columns: dict[str, Column]) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumns(columns)
+def with_columns(columns: Callable[[], dict[str, Column]]) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.withColumns(columns())
 
 
 SPAN = "(high - low)"
@@ -341,11 +341,11 @@ QUERIES: dict[str, Query] = {
     "op_d2": rolling(lambda x: R.d2(x, W()), f"close - 2 * lag(close, 1) {ROW} + lag(close, 2) {ROW}"),
     "op_rho": rolling(lambda x: R.rho(x, F.col("volume"), N, W()), full(N, f"covar_samp(close, volume) {over(N)} / nullif(stddev_samp(close) {over(N)} * stddev_samp(volume) {over(N)}, 0)")),
     "op_ema": (ema, EMA_SQL),
-    "candle_ratios": many(with_columns(features.candle_ratios()), RATIOS),
-    "candle_diffs": many(with_columns(features.candle_diffs()), DIFFS),
-    "candle_means": many(with_columns(features.candle_means()), MEANS),
-    "calendar_cyclic": many(with_columns(features.calendar()), CYCLES),
-    "calendar_flags": many(with_columns(features.calendar()), FLAGS, rounded=False),
+    "candle_ratios": many(with_columns(features.candle_ratios), RATIOS),
+    "candle_diffs": many(with_columns(features.candle_diffs), DIFFS),
+    "candle_means": many(with_columns(features.candle_means), MEANS),
+    "calendar_cyclic": many(with_columns(features.calendar), CYCLES),
+    "calendar_flags": many(with_columns(features.calendar), FLAGS, rounded=False),
     "level1_close": many(planned((1,), []), {"mean_5__close": full(5, f"avg(close) {over(5)}"), "z_20__close": z_sql("close", 20), "max_20__close": HIGH, "d1__close": f"close - lag(close, 1) {ROW}"}),
     "level2_combos": many(planned((2,), []), {"mean_5__hl2": full(5, f"avg((high + low) / 2) {over(5)}"), "sd_20__h_l_diff": full(20, f"stddev_samp(high - low) {over(20)}"), "z_20__c_o_ratio": z_sql("(close / open)", 20)}),
     "level3_compositions": (compositions, compositions_sql()),
