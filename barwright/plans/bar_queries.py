@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions import rolling as R
 from barwright.functions.ema import with_ema
 from barwright.operators import align, features, normalise, regimes
+from barwright.plans.blocks import by_blocks
 from barwright.sources import bars as B
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -318,6 +319,13 @@ SUMMARY_SQL = f"""WITH {BARS}, c AS (SELECT close, volume, {z_sql("close", N)} A
 SELECT CAST(count(*) / 3 AS BIGINT) AS n_rows, 3 AS n_columns, {s9("min(v)")} AS lowest, {s9("max(v)")} AS highest, {s9("avg(v)")} AS mean, {s9("stddev_pop(v)")} AS sd, count(*) FILTER (v IS NULL) AS missing FROM v"""
 
 
+def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op_z in blocks of 64 bars."""
+    x = F.col("close")
+    df = by_blocks(bars(spark, sf_dir), lambda d, keys: d.withColumn("value", R.zscore(x, N, W(keys))), 64, N - 1)
+    return df.select("series", "ts", r9("value").alias("value"))
+
+
 def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many features each level has."""
     return spark.createDataFrame([(k, v) for k, v in features.theoretical_counts(6).items()], "level STRING, n BIGINT")
@@ -334,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "op_max": rolling(lambda x: R.highest(x, N, W()), HIGH),
     "op_min": rolling(lambda x: R.lowest(x, N, W()), LOW),
     "op_z": rolling(lambda x: R.zscore(x, N, W()), z_sql("close", N)),
+    "op_z_blocked": (blocked, f"WITH {BARS} SELECT series, ts, {s9(z_sql('close', N))} AS value FROM bars"),
     "op_pos": rolling(lambda x: R.position(x, N, W()), pos_sql("close", N)),
     "op_rank": rolling(lambda x: R.rank(x, N, W()), f"CASE WHEN len(v) = {N} THEN (len(list_filter(v, lambda x: x < close)) + (len(list_filter(v, lambda x: x = close)) + 1) / 2.0) / {N} END", f"(SELECT *, list(close) {over(N)} AS v FROM bars)"),
     "op_p75": rolling(lambda x: R.percentile(x, 75, N, W()), full(N, f"quantile_cont(close, 0.75) {over(N)}")),
