@@ -208,13 +208,14 @@ def pair(plan: Plan, left: dict[int, int], a: int, b: int, n: int) -> None:
 # ---- places
 
 
-def packed(pieces: DataFrame, capacity: int, planner=large_item_matching) -> DataFrame:
-    """pieces (as token_pieces has them, stored) with sequence_id and offset."""
+def packed(pieces: DataFrame, capacity: int, planner=large_item_matching) -> tuple[DataFrame, int]:
+    """pieces (as token_pieces has them, stored) with sequence_id and offset; how many sequences there are."""
     by_part = pieces.groupBy("part", "length").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_part.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col("part").alias("_part"), F.col("length").alias("_length"), "first")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # a row for each length, no more than the capacity
-    rows = planner(counts, capacity).array()
+    plan = planner(counts, capacity)
+    rows = plan.array()
     names = pieces.columns
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +229,16 @@ def packed(pieces: DataFrame, capacity: int, planner=large_item_matching) -> Dat
 
     ranked = pieces.join(firsts, (F.col("part") == F.col("_part")) & (F.col("length") == F.col("_length"))).select(*names, (F.col("nth") + F.col("first")).alias("rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint").drop("part", "nth")
+    return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint").drop("part", "nth"), plan.bins
 
 
-def packed_matrix(placed: DataFrame, capacity: int, narrow: str, pad_id: int = END_ID, partitions: int | None = None) -> DataFrame:
+#: Sequences of 2048 ids that a task of packed_matrix puts together.
+TASK_SEQUENCES = 8_192
+
+
+def packed_matrix(placed: DataFrame, sequences: int, capacity: int, narrow: str, pad_id: int = END_ID) -> DataFrame:
     """A row for each sequence: ids (capacity little-endian 32-bit integers, padded), cu_seqlens (where segments start, and the last ends), positions (which start anew in every segment, 32-bit), and each segment's doc_id and piece."""
-    n = partitions or int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sequences * capacity // (TASK_SEQUENCES * 2048)))
     ordered = placed.select("sequence_id", "offset", "doc_id", "piece", "length", "ids").repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +283,14 @@ def default_tokenizer() -> str:
 
 def best_fit_packing(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
     pieces = stored(token_pieces(docs, tokenizer or default_tokenizer(), capacity), "pieces")
-    return packed(pieces, capacity, large_item_matching)
+    return packed(pieces, capacity, large_item_matching)[0]
 
 
 def token_output(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
     """Best-fit-decreasing packing with the ids themselves: the rows of packed_matrix."""
     tokenizer = tokenizer or default_tokenizer()
     pieces = stored(token_pieces(docs, tokenizer, capacity, keep_ids=True), "pieces")
-    return packed_matrix(packed(pieces, capacity, best_fit_decreasing), capacity, id_type(tokenizer))
+    return packed_matrix(*packed(pieces, capacity, best_fit_decreasing), capacity, id_type(tokenizer))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ LIMIT = 4_096
 DEPTH = 3
 #: Sets on one side of a comparison.
 BLOCK = 1_024
+#: Sets, counted as often as they are in a bucket, that a task compares.
+TASK_SETS = 5_000
 _COLUMNS = 4_096
 
 
@@ -280,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint"))
     rows = rows.select("rep", "size", "keys", "tokens", "on.path", "on.blocks").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
     rows = rows.withColumn("g", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))).withColumn("within", F.col("block") == F.col("other")).select("g", "block", "within", "path", "rep", "size", "keys", "tokens")
-    found = stored(compare_buckets(rows, threshold, parts), "links")
+    found = stored(compare_buckets(rows, threshold, max(parts, -(-final.count() // TASK_SETS))), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
     known = classes.select("hi", "lo", "rep", "size").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "rep", "size", "links", "root")
