@@ -115,6 +115,12 @@ def test_jaccard_join_splits_large_buckets_and_blocks(spark):
         assert sum(got.values()) >= 0.97 * sum(want.values()) and all(got[i] <= want[i] for i in sets)
 
 
+def test_jaccard_join_keeps_template_families_above_the_limit(spark):
+    rows = [(100 * f + i, f"{prose(1000 + f, 76)} id{f} no{i} row{i} end{i}") for f in range(16) for i in range(40)]
+    got = by_id(setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), limit=16, block=16), "class_id", "n_links")
+    assert got == {i: (i // 100 * 100, 39) for i, _ in rows}
+
+
 def test_one_of_each(docs):
     left = {r.doc_id for r in setjoin.one_of_each(docs).collect()}
     assert 0 in left and not {1, 2, 3} & left and {4, 5, 6, 7, 8} <= left
