@@ -160,6 +160,15 @@ def test_passages_cover_exact_repeats(docs, texts):
     assert not set(got) & {4, 5, 6, 7, 8, 11, 12, 14}
 
 
+def test_passages_of_interleaved_families_share_a_hot_line(spark):
+    n, hot = 40, prose(2000, 34)
+    family = [f"{hot} {prose(2100 + f, 22)}" for f in range(n)]
+    rows = [(i, f"{prose(3000 + i, 60)} {family[i % n]} {prose(4000 + i, 60)}") for i in range(3 * n)]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert len(got) >= 0.95 * len(rows)
+    assert all((r.start, r.end, r.class_id) == (60, 116, i % n) for i, r in got.items() if r.class_id != i)
+
+
 def test_repeats_go_from_later_texts(docs, texts):
     left = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
     assert left[9] == texts[9] and left[10].split() == texts[10].split()[70:] and left[11] == texts[11] and left[5] is None
