@@ -169,6 +169,16 @@ def test_passages_of_interleaved_families_share_a_hot_line(spark):
     assert all((r.start, r.end, r.class_id) == (60, 116, i % n) for i, r in got.items() if r.class_id != i)
 
 
+def test_one_sided_edits_are_near_duplicates():
+    shingled = lambda w: passages.shingle_lists([" ".join(w)], 5)[0].astype(np.uint32)
+    for n, gone in ((60, 3), (100, 8)):
+        w, a, b = ([f"{x}{i}" for i in range(m)] for x, m in (("w", n), ("a", 30), ("b", 30)))
+        cut = w[: n // 2] + w[n // 2 + gone :]
+        for one, two in ((w, cut), (cut, w)):
+            got = passages.verified_stretches(shingled(a + one + a), shingled(b + two + b), 46, 0.8)
+            assert got == [(30, 30 + len(one) - 4, 30, 30 + len(two) - 4)]
+
+
 def test_repeats_go_from_later_texts(docs, texts):
     left = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
     assert left[9] == texts[9] and left[10].split() == texts[10].split()[70:] and left[11] == texts[11] and left[5] is None
