@@ -1,15 +1,18 @@
 """Bootstrap and permutation tests, parallel over replicates.
 
-Draws come from a hash of (replicate, place, seed), so a lost task redoes the same ones. Returns go to the tasks as an array; `MOST` bounds it."""
+Draws come from a generator seeded by (seed, replicate), so a lost task redoes the same ones. The returns of a series go as one array to the tasks that share its replicates, and none to the driver."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST = 5_000_000
+#: Replicates that a task makes.
+BLOCK = 100
+#: Returns that are resampled at once.
+_HELD = 1_000_000
 _CAP = 999.99
 
 
@@ -31,49 +34,56 @@ def _metrics(r: np.ndarray, periods: int) -> dict[str, np.ndarray]:
 METRICS = ("sharpe", "profit_factor", "win_rate", "max_drawdown", "total_return", "annual_return")
 
 
-def _vector(df: DataFrame, columns: list[str], order: list[str]) -> np.ndarray:
-    rows = df.select(*columns, *(o for o in order if o not in columns)).limit(MOST + 1).toPandas()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} returns")
-    return rows.sort_values(order)[columns].to_numpy(dtype=float)
-
-
-def replicates(df: DataFrame, draw, n: int, seed: int, periods: int, columns: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """replicate and metrics of n resamples; draw(values, rng) gives one resample's returns."""
-    values = _vector(df, columns, order)
+def replicates(df: DataFrame, draw, n: int, seed: int, periods: int, columns: list[str], order: list[str], keys: list[str] | None = None, real=None) -> DataFrame:
+    """keys, replicate and metrics of n resamples for each series (rows with the same keys); draw(values, rng) gives one resample's returns. If there is a real, real(values) is replicate -1."""
+    keys = keys or []
+    line = F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))))
+    vectors = df.groupBy(*keys).agg(line.alias("v")).where(F.size("v") > 0).select(*keys, *(F.col("v").getField(f"c{i}").alias(f"c{i}") for i in range(len(columns))))
+    blocks = -(-n // BLOCK)
+    rows = vectors.crossJoin(df.sparkSession.range(blocks).withColumnRenamed("id", "block")).repartition(blocks)
 
     def run(batches):
         for batch in batches:
-            r = np.stack([draw(values, np.random.default_rng((seed, int(b)))) for b in batch["id"]])
-            yield pd.DataFrame({"replicate": batch["id"]} | _metrics(r, periods))
+            for row in batch.to_dict("records"):
+                v = np.stack([np.asarray(row[f"c{i}"], dtype=float) for i in range(len(columns))], axis=1)
+                todo = list(range(row["block"] * BLOCK, min((row["block"] + 1) * BLOCK, n)))
+                if real is not None and row["block"] == 0:
+                    yield pd.DataFrame({k: [row[k]] for k in keys} | {"replicate": [-1]} | _metrics(real(v)[None], periods))
+                step = max(1, _HELD // len(v))
+                for at in range(0, len(todo), step):
+                    some = todo[at : at + step]
+                    r = np.stack([draw(v, np.random.default_rng((seed, b))) for b in some])
+                    yield pd.DataFrame({k: [row[k]] * len(some) for k in keys} | {"replicate": some} | _metrics(r, periods))
 
-    spark = df.sparkSession
-    return spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism).mapInPandas(run, "replicate BIGINT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.mapInPandas(run, kinds + "replicate BIGINT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
 
 
-def bootstrap(df: DataFrame, r: str = "r", order: list[str] | None = None, n: int = 10_000, seed: int = 42, confidence: float = 0.95, periods: int = 252) -> DataFrame:
-    """metric, mean, sd, low, high, significant (0 is outside) over resamples with replacement."""
-    reps = replicates(df, lambda v, g: v[g.integers(0, len(v), len(v)), 0], n, seed, periods, [r], order or [r])
-    return interval(reps, confidence)
+def bootstrap(df: DataFrame, r: str = "r", order: list[str] | None = None, n: int = 10_000, seed: int = 42, confidence: float = 0.95, periods: int = 252, keys: list[str] | None = None) -> DataFrame:
+    """keys, metric, mean, sd, low, high, significant (0 is outside) over resamples with replacement of each series."""
+    reps = replicates(df, lambda v, g: v[g.integers(0, len(v), len(v)), 0], n, seed, periods, [r], order or [r], keys)
+    return interval(reps, confidence, keys)
 
 
-def interval(reps: DataFrame, confidence: float) -> DataFrame:
+def interval(reps: DataFrame, confidence: float, keys: list[str] | None = None) -> DataFrame:
     tail = (1 - confidence) / 2
-    rows = reps.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select("x.*")
-    out = rows.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.lit(tail)).alias("low"), F.percentile("v", F.lit(1 - tail)).alias("high"))
+    keys = keys or []
+    rows = reps.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select(*keys, "x.*")
+    out = rows.groupBy(*keys, "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.lit(tail)).alias("low"), F.percentile("v", F.lit(1 - tail)).alias("high"))
     return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-def permutation(df: DataFrame, predicted: str, actual: str, order: list[str], n: int = 10_000, seed: int = 42, periods: int = 252) -> DataFrame:
-    """metric, real, mean, sd, z, p_value (one-sided by the side of the real value), significant, against shuffled predictions."""
-    values = _vector(df, [predicted, actual], order)
-    real = _metrics((np.sign(values[:, 0]) * values[:, 1])[None], periods)
+def permutation(df: DataFrame, predicted: str, actual: str, order: list[str], n: int = 10_000, seed: int = 42, periods: int = 252, keys: list[str] | None = None) -> DataFrame:
+    """keys, metric, real, mean, sd, z, p_value (one-sided by the side of the real value), significant, against shuffled predictions of each series."""
+    keys = keys or []
 
     def draw(v: np.ndarray, g: np.random.Generator) -> np.ndarray:
         return np.sign(g.permutation(v[:, 0])) * v[:, 1]
 
-    reps = replicates(df, draw, n, seed, periods, [predicted, actual], order)
-    rows = reps.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"), F.lit(float(real[m][0])).alias("real")) for m in METRICS))).alias("x")).select("x.*")
-    out = rows.groupBy("metric").agg(F.first("real").alias("real"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.avg((F.col("v") >= F.col("real")).cast("double")).alias("above"), F.avg((F.col("v") <= F.col("real")).cast("double")).alias("below"))
+    reps = replicates(df, draw, n, seed, periods, [predicted, actual], order, keys, lambda v: np.sign(v[:, 0]) * v[:, 1])
+    rows = reps.select(*keys, "replicate", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select(*keys, "replicate", "x.*")
+    own = Window.partitionBy(*keys, "metric")
+    rows = rows.withColumn("real", F.max(F.when(F.col("replicate") < 0, F.col("v"))).over(own)).where(F.col("replicate") >= 0)
+    out = rows.groupBy(*keys, "metric").agg(F.first("real").alias("real"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.avg((F.col("v") >= F.col("real")).cast("double")).alias("above"), F.avg((F.col("v") <= F.col("real")).cast("double")).alias("below"))
     p = F.when(F.col("real") >= F.col("mean"), F.col("above")).otherwise(F.col("below"))
-    return out.select("metric", "real", "mean", "sd", F.try_divide(F.col("real") - F.col("mean"), "sd").alias("z"), p.alias("p_value"), (p < 0.05).alias("significant"))
+    return out.select(*keys, "metric", "real", "mean", "sd", F.try_divide(F.col("real") - F.col("mean"), "sd").alias("z"), p.alias("p_value"), (p < 0.05).alias("significant"))

@@ -375,13 +375,13 @@ SELECT series, ts, {s9("atr")} AS atr, CAST(1.5 AS DOUBLE) AS spread, CASE WHEN
 
 
 def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = returns(spark, sf_dir).where(F.col("series") == "click").withColumn("r", F.col("r") / 10)
-    return resampling.bootstrap(r, "r", ["ts"], 2_000)
+    r = returns(spark, sf_dir).withColumn("r", F.col("r") / 10)
+    return resampling.bootstrap(r, "r", ["ts"], keys=["series"])
 
 
 def permutation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = wide(spark, sf_dir).where((F.col("series") == "click") & F.col("z").isNotNull() & F.col("target").isNotNull()).withColumn("target", F.col("target") / 100)
-    return resampling.permutation(df, "z", "target", ["ts"], 2_000)
+    df = wide(spark, sf_dir).where(F.col("z").isNotNull() & F.col("target").isNotNull()).withColumn("target", F.col("target") / 100)
+    return resampling.permutation(df, "z", "target", ["ts"], keys=["series"])
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -191,6 +191,17 @@ def test_permutation_finds_skill(spark):
     assert out.significant and out.p_value < 0.01
 
 
+def test_every_series_is_resampled(spark):
+    g = np.random.default_rng(7)
+    rows = [(s, START + timedelta(hours=i), float(v)) for s, mean in (("a", 0.01), ("b", -0.01)) for i, v in enumerate(g.normal(mean, 0.02, 200))]
+    df = spark.createDataFrame(rows, "series STRING, ts TIMESTAMP, r DOUBLE")
+    got = {(r.series, r.metric): r for r in resampling.bootstrap(df, "r", ["ts"], 250, keys=["series"]).collect()}
+    assert len(got) == 12 and got["a", "annual_return"].low > 0 > got["b", "annual_return"].high
+    alone = {r.metric: r for r in resampling.bootstrap(df.where("series = 'b'"), "r", ["ts"], 250).collect()}
+    assert all(got["b", m].low == alone[m].low and got["b", m].high == alone[m].high for m in alone)
+    assert resampling.permutation(df, "r", "r", ["ts"], 50, keys=["series"]).count() == 12
+
+
 def test_processes(spark):
     g = np.random.default_rng(5)
     x = [1.0]
