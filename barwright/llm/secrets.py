@@ -23,7 +23,11 @@ ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{1,100000}?)-----END \1-----")
+PEM_EDGE = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
+#: Line ends of a PEM body as they are and as JSON escapes them; header lines, then base64 signs.
+PEM_END = re.compile(r"\\r\\n|\\n|\\r|\r\n|\r|\n")
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[^\r\n]*")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]+")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,})={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{58,}|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]7631[0-9A-Fa-f]{60,})")
@@ -113,6 +117,31 @@ def key_kind(data: bytes | None) -> str | None:
     return "openssh" if is_openssh(data) else "der" if is_private_der(data) else None
 
 
+def is_pem(label: str, body: str) -> bool:
+    """Base64 signs, after header lines if there are any, that are encrypted by their label or header, or parse as a key."""
+    lines = PEM_END.sub("\n", body).strip().split("\n")
+    n = 0
+    while n < len(lines) and (PEM_HEADER.fullmatch(lines[n].strip()) or (n and lines[n].startswith((" ", "\t")))):
+        n += 1
+    rest = "\n".join(lines[n:])
+    if not PEM_BODY.fullmatch(rest):
+        return False
+    return label.startswith("ENCRYPTED") or any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in map(str.strip, lines[:n])) or key_kind(decoded("".join(rest.split()))) is not None
+
+
+def pem_spans(text: str) -> list[tuple[int, int, int]]:
+    """Each BEGIN with the END that comes next, if that has its label."""
+    out, open_ = [], None
+    for m in PEM_EDGE.finditer(text):
+        if m[1] == "BEGIN":
+            open_ = m
+        else:
+            if open_ and open_[2] == m[2] and is_pem(m[2], text[open_.end() : m.start()]):
+                out.append((open_.start(), 3, m.end()))
+            open_ = None
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of what the patterns alone find."""
     out = []
@@ -129,7 +158,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """What decodes and parses as a key or a signed token."""
     out = []
     if "-----BEGIN " in text:
-        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if m[1].startswith("ENCRYPTED") or "Proc-Type" in m[2] or key_kind(decoded("".join(m[2].split())))]
+        out += pem_spans(text)
     if "eyJ" in text:
         out += [(m.start(), 4, m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
     for pattern, read in ((BASE64_KEY, decoded), (HEX_KEY, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):

@@ -324,6 +324,18 @@ def test_secrets_are_parsed_before_they_are_reported(docs, spark):
     assert base[5] == base[4] == (0, hashlib.sha256(b"").hexdigest(), "")
 
 
+def test_pem_with_headers_and_escaped_line_ends():
+    rsa = lambda k: der(0x30, der(2, b"\x00") + b"".join(der(2, b"\x01" * n) for n in (64, 3, 64, 32, 32, 32, 32, k)))
+    lines = lambda b: [base64.b64encode(b).decode()[i : i + 64] for i in range(0, len(b) * 4 // 3 + 4, 64)]
+    block = lambda body, end: f"-----BEGIN RSA PRIVATE KEY-----{end}{end.join(body)}{end}-----END RSA PRIVATE KEY-----"
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+        for body in (lines(rsa(32)), head + lines(b"any cipher text" * 9)):
+            text = block(body, end)
+            assert (4, 3, 4 + len(text)) in secrets.confirmed_spans(f"see {text} now")
+    assert not secrets.confirmed_spans(block(lines(b"no key at all" * 9), "\n")) and not secrets.confirmed_spans(block(["Proc-Type: 4,ENCRYPTED", "", "not base64!"], "\n"))
+
+
 def test_base_findings(spark):
     every = ['Token = "abcdefghijkl0123"', "api_key:short password=aaaaaaaaaaaa", "AKIA" + "A" * 14 + " AKIA123", "deadbeefdeadbeef 0123456789abcde", "secret = token = abcdefghijklmnop", "é token: 0123456789abcdef"]
     got = [r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(every)), "doc_id BIGINT, text STRING")).orderBy("doc_id").collect()]
