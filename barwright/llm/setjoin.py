@@ -2,9 +2,9 @@
 
 Texts are sets of word shingles (five words, lower case). In each run a set follows the shared random choice of about 1 / threshold of its shingles into buckets; buckets above a limit are split again by further shingles, so that only sets with all of a path's shingles meet. Small buckets are compared exactly. `runs` independent runs bring the expected recall at the threshold itself above 0.99, more above it; for two sets that share only buckets which are split twice it is 0.976 at the threshold and above 0.99 from a similarity of about 0.9.
 
-Equal sets are one class with a size, so copies are never compared with each other. A bucket's pairs are counted inside the task that compares them and only sums and a spanning forest of the links leave it; a pair that meets in several buckets is counted in the one with the least key that both are in. Buckets that stay large although their sets agree are compared in blocks.
+Equal sets are one class with a size, so copies are never compared with each other. Sets whose buckets have the same least set are compared as one group, so that a set moves once however many buckets it is in; buckets that are not within a group are compared one by one. A pair that meets in several places is counted in the one with the least key that both are in. Pairs are counted inside the task that compares them, and only sums and a spanning forest of the links leave it. What is too large for one task is compared in blocks.
 
-Texts of fewer than five words are one shingle of all their words; null and empty texts and rows without an id have no links and are their own class. Rows that repeat an id share the classes of its texts. An empty table gives no rows; extra columns take no part."""
+Texts of fewer than five words are one shingle of all their words; null and empty texts and rows without an id have no links and are their own class. Rows that repeat an id share the classes of its texts. Of a class the least id stands for it. Texts of any length are handled whole; the blocks that they are compared in have a bound by shingles. An empty table gives no rows; extra columns take no part."""
 
 from __future__ import annotations
 
@@ -24,8 +24,9 @@ RUNS = 8
 #: Sets in a bucket above which it is split by one more shingle, at most DEPTH of them.
 LIMIT = 4_096
 DEPTH = 3
-#: Sets on one side of a comparison.
-BLOCK = 1_024
+#: Sets, and shingles of them, on one side of a comparison.
+BLOCK = 2_048
+BLOCK_SHINGLES = 2_000_000
 #: Sets, counted as often as they are in a bucket, that a task compares.
 TASK_SETS = 5_000
 _COLUMNS = 4_096
@@ -82,7 +83,7 @@ def signed(docs: DataFrame, threshold: float, runs: int, size: int) -> DataFrame
 
 
 def with_sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """rep, hi, lo of members with tokens: the set of the rep's text, as 64-bit integers. Of several texts under one id the one with the member's key counts."""
+    """rep and tokens: the set of the rep's text, the low 32 bits of each shingle's hash. Of several texts under one id the one with the member's key counts."""
     texts, _ = sifted(docs.selectExpr("cast(doc_id AS bigint) AS _id", "text"), "_id", members.select(F.col("rep").alias("id")))
     joined = members.join(texts, F.col("rep") == F.col("_id")).select("rep", "hi", "lo", "text")
     seeds = textcodes.mixed(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -93,7 +94,8 @@ def with_sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             right = np.ones(batch.num_rows, dtype=bool)
             for i, s in ((1, seeds[0]), (2, seeds[1])):
                 right &= _sum(textcodes.mixed(tokens ^ s), at).view(np.int64) == batch.column(i).to_numpy()
-            raw = [tokens[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            small = tokens.astype(np.uint32)
+            raw = [small[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             return pa.table({"rep": batch.column(0), "tokens": pa.array(raw, pa.binary())}).filter(pa.array(right))
 
         return work
@@ -116,7 +118,7 @@ def deeper(big: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             reps, paths = [], []
             for rep, tokens, on in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = np.frombuffer(tokens, dtype=np.uint64)
+                t = np.frombuffer(tokens, dtype=np.uint32).astype(np.uint64)
                 for p in on:
                     _, path = chosen(t, np.array(len(t)), np.uint64(p % (1 << 64)), threshold)
                     paths.append(path.view(np.int64))
@@ -229,7 +231,7 @@ def compare_buckets(buckets: DataFrame, threshold: float, partitions: int) -> Da
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a < 2:
                 continue
-            out.append(compared(rep[a:b], size[a:b], path[a], block[a:b], [key_of[key_at[i] : key_at[i + 1]] for i in range(a, b)], [np.frombuffer(tokens[i].as_buffer(), dtype=np.uint64) for i in range(a, b)], threshold, bool(within[a])))
+            out.append(compared(rep[a:b], size[a:b], path[a], block[a:b], [key_of[key_at[i] : key_at[i + 1]] for i in range(a, b)], [np.frombuffer(tokens[i].as_buffer(), dtype=np.uint32) for i in range(a, b)], threshold, bool(within[a])))
         if out:
             rep, other, links = (np.concatenate(x) for x in zip(*out, strict=True))
             if len(rep):
@@ -262,12 +264,28 @@ def components(edges: DataFrame) -> DataFrame:
 # ---- the join
 
 
+def gathered(buckets: DataFrame, lengths: DataFrame, limit: int, block: int) -> DataFrame:
+    """rep, path, blocks: the groups to be compared, of buckets (rep, path). A set's home is the least set of all that it shares a bucket with; sets with one home, `limit` of them at most, are a group, and buckets of which all sets are in one such group are not compared again. blocks: how many parts a group is compared in."""
+    heads = buckets.groupBy("path").agg(F.min("rep").alias("head"))
+    homes = buckets.join(heads, "path").groupBy("rep").agg(F.min("head").alias("home"))
+    homes = stored(lengths.join(homes, "rep"), "homes")
+    small = homes.groupBy("home").agg(F.count("*").alias("count"), F.sum("n").alias("sum")).where(F.col("count").between(2, limit) & (F.col("sum") <= BLOCK_SHINGLES)).select(F.col("home").alias("small"))
+    placed = homes.join(small, F.col("home") == F.col("small"), "left").select("rep", "n", "small")
+    at = buckets.join(placed, "rep")
+    covered = at.groupBy("path").agg((F.min("small").eqNullSafe(F.max("small")) & (F.count("small") == F.count("*"))).alias("covered"))
+    own = at.join(covered, "path").where(~F.col("covered")).select("rep", "n", "path")
+    groups = placed.where(F.col("small").isNotNull()).select("rep", "n", F.xxhash64(F.lit("group"), "small").alias("path")).union(own)
+    sizes = groups.groupBy("path").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return groups.join(sizes, "path").select("rep", "path", "blocks")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, size: int = SHINGLE, limit: int = LIMIT, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: doc_id, class_id (least id of those it is linked with, directly or through others), copy_id (least id with the same set), n_links (rows whose similarity with it is the threshold or more)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets_of = stored(signed(docs, threshold, runs, size), "signed")
-    some = sets_of.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("paths").alias("paths")), "classes")
+    full = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    classes = stored(sets_of.where(full).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("paths").alias("paths")), "classes")
+    by_rep = classes.groupBy("rep").agg(F.sum("size").alias("size"), F.max("n").alias("n"))
     level = stored(grouped(classes.select("rep", F.explode("paths").alias("path")), limit), "buckets-1")
     reps = level.select("rep").distinct()
     members = stored(with_sets(classes.select("rep", "hi", "lo").join(reps, "rep", "left_semi"), docs, size), "sets")
@@ -278,17 +296,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
             break
         level = stored(grouped(deeper(big, members, threshold), None if d == depth else limit), f"buckets-{d}")
         final = final.union(level if d == depth else level.where(F.col("count") <= limit))
-    keys = final.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("keys"), F.collect_set(F.struct("path", F.ceil(F.col("count") / block).cast("int").alias("blocks"))).alias("on"))
-    rows = keys.join(classes.groupBy("rep").agg(F.sum("size").alias("size")), "rep").join(members, "rep").select("rep", "size", "keys", "tokens", F.explode("on").alias("on"))
+    groups = stored(gathered(final.select("rep", "path"), by_rep.select("rep", "n").join(final.select("rep").distinct(), "rep", "left_semi"), limit, block), "groups")
+    keys = groups.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("keys"), F.collect_set(F.struct("path", "blocks")).alias("on"))
+    rows = keys.join(by_rep.select("rep", "size"), "rep").join(members, "rep").select("rep", "size", "keys", "tokens", F.explode("on").alias("on"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint"))
     rows = rows.select("rep", "size", "keys", "tokens", "on.path", "on.blocks").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
     rows = rows.withColumn("g", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))).withColumn("within", F.col("block") == F.col("other")).select("g", "block", "within", "path", "rep", "size", "keys", "tokens")
-    found = stored(compare_buckets(rows, threshold, max(parts, -(-final.count() // TASK_SETS))), "links")
+    compared_sets = groups.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    found = stored(compare_buckets(rows, threshold, max(parts, -(-compared_sets // TASK_SETS))), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
     known = classes.select("hi", "lo", "rep", "size").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "rep", "size", "links", "root")
-    rows = sets_of.select("doc_id", "hi", "lo", "n").join(known, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
-    return rows.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), (F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = sets_of.where(full).select("doc_id", "hi", "lo").join(known, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
+    alone = sets_of.where(~F.coalesce(full, F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return linked.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).union(alone)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
