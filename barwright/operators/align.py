@@ -88,3 +88,39 @@ def walk_forward(df: DataFrame, train_days: int, test_days: int, step_days: int,
     met = per_day.join(F.broadcast(windows), (F.col("day") >= F.col("train_start")) & (F.col("day") < F.col("test_end")))  # windows: a row for each step of the calendar
     counted = met.groupBy("window", "train_start", "train_end", "test_end").agg(F.coalesce(F.sum(F.when(F.col("day") < F.col("train_end"), F.col("n"))), F.lit(0)).alias("n_train"), F.coalesce(F.sum(F.when(F.col("day") >= F.col("train_end"), F.col("n"))), F.lit(0)).alias("n_test"))
     return counted.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test))
+
+
+def split_info(start: str, end: str, train: float = 0.6, val: float = 0.2) -> list[tuple[str, str, str, int, float]]:
+    """part, first day, last day, days between them and share of the whole, of train, validation, test and all."""
+    from datetime import date, timedelta
+
+    a, b = split_dates(start, end, train, val)
+    after = lambda d: (date.fromisoformat(d) + timedelta(days=1)).isoformat()
+    parts = [("total", start, end, 1.0), ("train", start, a, train), ("validation", after(a), b, val), ("test", after(b), end, round(1 - train - val, 10))]
+    return [(name, x, y, (date.fromisoformat(y) - date.fromisoformat(x)).days, share) for name, x, y, share in parts]
+
+
+def inner_times(*frames: DataFrame, on: tuple[str, ...] = ("series", "ts")) -> DataFrame:
+    """Rows of the times that all frames have, side by side; their other columns must differ in name."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, list(on))
+    return out
+
+
+def aligned_bars(bars: DataFrame, every: str, columns: list[str], most: int) -> DataFrame:
+    """All series on one grid over the time that they have in common, gaps filled for up to `most` steps, times without any close (weekends) left out."""
+    span = common_range(bars)
+    steps = span.select(F.explode(F.sequence("start", "end", F.expr(f"INTERVAL {every}"))).alias("ts"))
+    grid = bars.select("series").distinct().join(F.broadcast(steps))  # steps: the times of one grid
+    w = Window.partitionBy("series").orderBy("ts").rowsBetween(-most, 0)
+    joined = grid.join(bars, ["series", "ts"], "left")
+    return drop_empty_times(joined.select("series", "ts", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns)))
+
+
+def multi_timeframe(base: DataFrame, others: dict[str, DataFrame], columns: list[str], tolerance: str = "7 DAYS", ready: dict[str, str] | None = None) -> DataFrame:
+    """base with the columns of slower frames as of each bar, prefixed by the frame's name. ready: how long after its opening a frame's bar is known; without it the bar that is still forming counts."""
+    out = base
+    for name, frame in others.items():
+        out = as_of(out, frame, columns, tolerance, f"{name}_", ready=(ready or {}).get(name))
+    return out

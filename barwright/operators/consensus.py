@@ -72,3 +72,24 @@ def robust_selection(ic: DataFrame, mi: DataFrame, least_ic: float = 0.02, most_
     n = both.agg(F.count(F.lit(1)).alias("n"))
     chosen = both.withColumn("kind", F.lit("both")).union(good.withColumn("kind", F.lit("ic"))).join(F.broadcast(n), F.when(F.col("n") >= fallback_below, F.col("kind") == "both").otherwise(F.col("kind") == "ic"))  # n is one row
     return chosen.select("feature", "abs_ic").orderBy(F.desc("abs_ic"), "feature").limit(most)
+
+
+def cached_votes(universe: DataFrame, ic: DataFrame, mi: DataFrame, rf: DataFrame, mlp: DataFrame, least: float = 0.01, top: int = 100) -> DataFrame:
+    """Votes from results at hand: |score| of ic and score of mi above `least`, among the `top` of rf, named by mlp. strong from three of four, medium at two."""
+    best = rf.orderBy(F.desc("score"), "feature").limit(top)
+    named = [ic.where(F.abs("score") > least).select("feature", F.lit("ic").alias("m")), mi.where(F.col("score") > least).select("feature", F.lit("mi").alias("m")), best.select("feature", F.lit("rf").alias("m")), mlp.select("feature", F.lit("mlp").alias("m"))]
+    every = universe.select("feature", F.lit("").alias("m"))
+    for x in named:
+        every = every.union(x)
+    has = lambda m: F.bool_or(F.col("m") == m)
+    out = every.groupBy("feature").agg(has("").alias("_known"), *(has(m).alias(f"vote_{m}") for m in ("ic", "mi", "rf", "mlp"))).where("_known").drop("_known")
+    out = out.withColumn("n_votes", sum((F.col(f"vote_{m}").cast("int") for m in ("ic", "mi", "rf", "mlp")), F.lit(0)))
+    return out.withColumn("category", F.when(F.col("n_votes") >= 3, "strong").when(F.col("n_votes") == 2, "medium").otherwise("weak"))
+
+
+def run(scores: DataFrame, top: int = 100) -> DataFrame:
+    """From scores (method, feature, score) to votes, categories and checks of every ranked feature, in one pass."""
+    methods = [r["method"] for r in scores.select("method").distinct().collect()]  # names of methods
+    voted = votes(rankings(scores, top), len(methods))
+    judged = checked(voted, tuple(m for m in METHODS if m in methods)).select("feature", "checks_passed", "checks_total", "approved")
+    return voted.join(judged, "feature", "left").na.fill({"approved": False})

@@ -79,3 +79,8 @@ def total_cost(spread_usd: Column, slippage_usd: Column, swap_usd: Column, commi
 
 def pip_size(series: Column) -> Column:
     return F.when(series.contains("JPY"), F.lit(0.01)).otherwise(F.lit(0.0001))
+
+
+def in_usd(pips: Column, lots: Column, series: Column) -> Column:
+    """What pips are worth, by the value of a pip of a lot."""
+    return F.round(pips * F.when(series.contains("JPY"), 9.0).otherwise(10.0) * lots, 2)

@@ -214,3 +214,34 @@ def series_tensor(samples: DataFrame, series: list[str], target_series: str) ->
     picked = samples.where(F.col("series").isin(series))
     wide = picked.groupBy("ts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("series", "x")))).alias("x"), F.max(F.when(F.col("series") == target_series, F.col("y"))).alias("y"))
     return wide.where(F.size("x") == len(series))
+
+
+def screening_table(df: DataFrame, columns: list[str], close: str = "close", horizon: int = 1, kind: str = "log", keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("ts",)) -> tuple[DataFrame, list[str]]:
+    """df with the target from closing prices, of finite rows and columns that vary; and those columns' names."""
+    w = R.series_window(keys, order)
+    made = df.withColumn("target", target(F.col(close), horizon, kind, w))
+    kept = varying(made, columns)
+    return finite_rows(made, [*kept, "target"]).select(*keys, *order, *kept, "target"), kept
+
+
+def in_sample(x: Column, back: int = 5) -> Column:
+    """A sample (array of rows) with each value measured against that of its own column in up to `back` rows before and its own, by population deviation."""
+    row = lambda t: F.slice(x, F.greatest(t - back, F.lit(0)) + 1, F.least(t, F.lit(back)) + 1)
+
+    def scaled(t: Column) -> Column:
+        def one(v: Column, j: Column) -> Column:
+            seen = F.transform(row(t), lambda r: F.get(r, j).cast("double"))
+            n = F.size(seen)
+            mean = F.aggregate(seen, F.lit(0.0), lambda a, b: a + b) / n
+            sd = F.sqrt(F.aggregate(seen, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean)) / n)
+            return (v - mean) / (sd + 1e-8)
+
+        return F.transform(F.get(x, t), one)
+
+    return F.transform(F.sequence(F.lit(0), F.size(x) - 1), scaled)
+
+
+def run_summary(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Rows, features, values and megabytes of each series' table."""
+    n = F.count(F.lit(1))
+    return df.groupBy(*keys).agg(n.alias("n_rows"), F.lit(len(features)).cast("bigint").alias("n_features"), (n * len(features)).alias("n_values"), (n * len(features) * 8 / 1e6).alias("megabytes"))

@@ -75,3 +75,11 @@ def trade_metrics(trades: DataFrame, equity: DataFrame, capital: float, by: str
     e = dd.groupBy(by).agg((F.abs(F.min("dd")) * 100).alias("max_drawdown"), (F.abs(F.coalesce(F.avg(F.when(F.col("dd") < 0, F.col("dd"))), F.lit(0.0))) * 100).alias("avg_drawdown"), (F.floor((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / 86_400) / 365.25).alias("years"))
     out = a.join(e, by).withColumn("annual_return", F.coalesce(F.try_divide("total_return", "years"), F.lit(0.0)))
     return out.withColumn("calmar", F.when(F.col("max_drawdown") > 0.01, F.col("annual_return") / F.col("max_drawdown")).otherwise(F.when(F.col("annual_return") > 0, CAP).otherwise(0.0))).drop("years")
+
+
+def prediction_metrics(df: DataFrame, predicted: str, actual: str, by: list[str], order: tuple[str, ...] = ("ts",), periods: int = 252) -> DataFrame:
+    """ic of predictions with what came, and Sharpe, annual return and volatility (%) and largest drawdown (%) of following their signs."""
+    from barwright.operators.stats import pearson
+
+    r = drawdowns(strategy_returns(df, predicted, actual), "r", tuple(by), order)
+    return r.groupBy(*by).agg(F.count("r").alias("n"), pearson(predicted, actual).alias("ic"), sharpe("r", periods).alias("sharpe"), annual_return("r", periods).alias("annual_return"), (F.stddev_samp("r") * math.sqrt(periods) * 100).alias("volatility"), F.min("drawdown").alias("max_drawdown"))

@@ -59,3 +59,18 @@ def sees_the_future(transform, df, ts: str, at, column: str, out: str, tolerance
     a, b = (transform(x).where(F.col(ts) <= at).select(*keys, F.col(out).alias(n)) for x, n in ((df, "a"), (changed, "b")))
     apart = F.col("a").isNull() != F.col("b").isNull()
     return not a.join(b, keys).where(apart | (F.abs(F.col("a") - F.col("b")) > tolerance)).isEmpty()
+
+
+def window_scores(df, columns: list[str], n: int, w: WindowSpec):
+    """For each column x, x_z and x_rank within a window that holds the current bar; the first n bars of a series are cut off."""
+    made = {f"{c}_z": current_zscore(F.col(c), n, w) for c in columns} | {f"{c}_rank": R.rank(F.col(c), n, w) for c in columns}
+    return df.withColumns(made).withColumn("_n", F.row_number().over(w)).where(F.col("_n") > n).drop("_n")
+
+
+def look_ahead_report(checks: dict, df, ts: str, times: list, column: str, tolerance: float = 1e-6):
+    """name, n_checks, n_passed, is_clean: each transform (a function of df and the name of what it makes) tried at several times; clean ones come last. What is gathered is a truth value for each check."""
+    rows = []
+    for name, (transform, out) in checks.items():
+        passed = sum(not sees_the_future(transform, df, ts, at, column, out, tolerance) for at in times)
+        rows.append((name, len(times), passed, passed == len(times)))
+    return df.sparkSession.createDataFrame(rows, "name STRING, n_checks INT, n_passed INT, is_clean BOOLEAN").orderBy("is_clean", "name")

@@ -56,3 +56,58 @@ def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
     ends = df.agg(F.min(x).alias("_a"), F.max(x).alias("_b"))
     binned = df.where(F.col(x).isNotNull()).join(F.broadcast(ends))  # one row
     return binned.groupBy(width_bins(F.col(x), F.col("_a"), F.col("_b"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def thirds_gate(ic: DataFrame, by: list[str], most: float = 0.01) -> DataFrame:
+    """Whether the ic of the parts of a time span have one sign and a population deviation below `most`."""
+    out = ic.groupBy(*by).agg(F.count("ic").alias("n_parts"), F.min("ic").alias("ic_min"), F.max("ic").alias("ic_max"), F.stddev_pop("ic").alias("ic_sd"))
+    return out.withColumn("is_stable", F.coalesce((F.col("ic_min") * F.col("ic_max") > 0) & (F.col("ic_sd") < most), F.lit(False)))
+
+
+def regime_significance(ic: DataFrame, most_p: float = 0.01, least: int = 30) -> DataFrame:
+    """ic (feature, regime, n, ic) with its p-value and whether it is significant with rows enough."""
+    from barwright.operators.stats import two_sided_p
+
+    return ic.withColumn("p_value", F.coalesce(two_sided_p(F.col("ic"), F.col("n")), F.lit(1.0))).withColumn("is_significant", (F.col("p_value") < most_p) & (F.col("n") >= least))
+
+
+def report(**parts: DataFrame) -> DataFrame:
+    """Results of several analyses as one table: analysis, and the columns of all of them, NULL where one has none."""
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("analysis"), *part.columns)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+#: The chances and deviations that the four gates ask for.
+GATES = {"p_value": 0.01, "permutation_p": 0.001, "yearly_sd": 0.02}
+
+
+def four_gates(found: DataFrame) -> DataFrame:
+    """found (p_value, low, high, permutation_p, yearly_sd, yearly_min) with each gate, how many are passed, and whether three are: a significant prediction, an interval without 0, more than shuffled predictions give, and years that are steady and positive."""
+    gates = {
+        "passes_forward": F.col("p_value") < GATES["p_value"],
+        "passes_interval": (F.col("low") > 0) | (F.col("high") < 0),
+        "passes_permutation": F.col("permutation_p") < GATES["permutation_p"],
+        "passes_years": (F.col("yearly_sd") < GATES["yearly_sd"]) & (F.col("yearly_min") > 0),
+    }
+    out = found.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in gates.items()})
+    return out.withColumn("n_passed", sum((F.col(k).cast("int") for k in gates), F.lit(0))).withColumn("is_valid", F.col("n_passed") >= 3)
+
+
+def degradation(windows: DataFrame, by: list[str], least: float = 0.01) -> DataFrame:
+    """windows (by, window, ic): slope of ic over windows, mean of the last three, whether the last two are negative, and whether any of these tells of a decline. With fewer than three windows there is no verdict."""
+    from pyspark.sql import Window
+
+    last = Window.partitionBy(*by).orderBy(F.desc("window"))
+    w = windows.withColumn("_n", F.row_number().over(last))
+    out = w.groupBy(*by).agg(F.count("ic").alias("n_windows"), F.regr_slope("ic", "window").alias("slope"), F.avg(F.when(F.col("_n") <= 3, F.col("ic"))).alias("recent"), F.coalesce(F.bool_and(F.when(F.col("_n") <= 2, F.col("ic") < 0)), F.lit(False)).alias("last_two_negative"))
+    enough = F.col("n_windows") >= 3
+    return out.withColumn("is_declining", F.when(enough, (F.col("slope") < -0.001) | (F.col("recent") < least) | F.col("last_two_negative")))
+
+
+def forward_verdict(windows: DataFrame, by: list[str]) -> DataFrame:
+    """By the share of windows with a positive ic: real if all, unstable if some, overfitted if none."""
+    out = windows.groupBy(*by).agg(F.count("ic").alias("n_windows"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), F.avg((F.col("ic") > 0).cast("double")).alias("share_positive"))
+    return out.withColumn("verdict", F.when(F.col("share_positive") == 1, "real").when(F.col("share_positive") > 0, "unstable").otherwise("overfitted"))

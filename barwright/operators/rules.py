@@ -91,3 +91,48 @@ def position_size(capital: Column, strength: Column, atr: Column, price: Column,
 def exits(entry: Column, direction: Column, atr: Column, stop: float = 2.0, take: float = 3.0) -> tuple[Column, Column]:
     side = F.when(direction == "LONG", 1).when(direction == "SHORT", -1).otherwise(0)
     return entry - side * stop * atr, entry + side * take * atr
+
+
+#: Parts of feature names and the words that replace them, in this order; later ones also meet the words of earlier ones.
+WORDS = (
+    ("Pos", "relative position"),
+    ("mu", "mean"),
+    ("sigma", "volatility"),
+    ("R", "return"),
+    ("r", "log return"),
+    ("Delta", "change"),
+    ("Z", "z-score"),
+    ("Rank", "ranking"),
+    ("Max", "maximum"),
+    ("Min", "minimum"),
+    ("EMA", "exponential mean"),
+    ("minus", "less"),
+    ("plus", "more"),
+    ("times", "by"),
+    ("div", "divided"),
+    ("C", "close"),
+    ("H", "high"),
+    ("L", "low"),
+    ("O", "open"),
+    ("V", "volume"),
+)
+
+
+def in_words(name: Column) -> Column:
+    out = F.replace(name, F.lit("_"), F.lit(" "))
+    for part, word in WORDS:
+        out = F.replace(out, F.lit(part), F.lit(word))
+    return out
+
+
+def interpretation(name: Column, ic: Column) -> Column:
+    """One sentence: the kind of effect, the feature in words, and the side that it speaks for."""
+    return F.concat(pattern(name, ic), F.lit(": "), in_words(name), F.lit(" speaks for "), F.when(ic > 0, "higher").otherwise("lower"), F.lit(" prices"))
+
+
+def strategy_summary(rules: DataFrame, base: float = 0.02, most: float = 0.10, risk: float = 0.01, stop: float = 2.0, take: float = 3.0, timeout: int = 50) -> DataFrame:
+    """part, value: how many rules there are for each side, and what sizes and exits are."""
+    count = lambda s: F.count_if(F.col("signal") == s).cast("double")
+    parts = [("long rules", count("Long")), ("short rules", count("Short")), ("base size %", F.lit(base * 100)), ("largest size %", F.lit(most * 100)), ("risk a trade %", F.lit(risk * 100)), ("stop in ATR", F.lit(stop)), ("target in ATR", F.lit(take)), ("reward to risk", F.lit(take / stop) if stop > 0 else F.lit(None).cast("double")), ("timeout in bars", F.lit(float(timeout)))]
+    one = rules.agg(*(v.alias(f"_{i}") for i, (_, v) in enumerate(parts)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("part"), F.col(f"_{i}").alias("value")) for i, (n, _) in enumerate(parts)))).alias("p")).select("p.*")

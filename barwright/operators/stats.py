@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,29 +18,54 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+#: Ranges that a group's values are cut into before they are ranked.
+RANGES = 64
+
+
+def average_ranks(rows: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
+    """rows with the rank of x in its group, ties by their mean. Groups are cut into ranges of about equal size, which are ranked by themselves and moved on by the counts of those before, so that one group is many tasks' work."""
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(x, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), F.lit(2_000)).alias("_cuts"))
+    at = rows.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    firsts = at.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    part = Window.partitionBy(*by, "_range").orderBy(x)
+    ties = Window.partitionBy(*by, "_range", x)
+    return at.join(firsts, [*by, "_range"]).withColumn(out, F.col("_first") + F.rank().over(part) + (F.count(F.lit(1)).over(ties) - 1) / 2).drop("_range", "_first")
+
+
 def information_coefficient(rows: DataFrame, by: list[str], method: str = "pearson", least: int = 10) -> DataFrame:
-    """n and ic of value with target for each group, of rows that have both; NULL below `least` rows. Pearson needs one aggregation; Spearman ranks each group first, ties by their mean."""
+    """n and ic of value with target for each group, of rows that have both; NULL below `least` rows. Pearson needs one aggregation; Spearman ranks each group first."""
     rows = rows.where(F.col("value").isNotNull() & F.col("target").isNotNull())
     if method == "spearman":
         for c in ("value", "target"):
-            order = Window.partitionBy(*by).orderBy(c)
-            ties = Window.partitionBy(*by, c)
-            rows = rows.withColumn(f"_{c}", F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+            rows = average_ranks(rows, by, c, f"_{c}")
         rows = rows.withColumns({"value": F.col("_value"), "target": F.col("_target")})
     elif method != "pearson":
         raise ValueError(f"no such method: {method}")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("value", "target").alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
+#: Steps of the quadrature in `two_sided_p`, an even number.
+STEPS = 400
+
+
+def two_sided_p(r: Column, n: Column) -> Column:
+    """Chance of a correlation at least as far from 0 among n independent rows: the tail of the t distribution with n - 2 degrees of freedom. With t = tan(u) * sqrt(n - 2) its density goes as cos(u) ** (n - 3), which Simpson's rule sums; beyond 14 deviations nothing is left."""
+    v = n - 2
+    start = F.asin(F.least(F.abs(r), F.lit(1.0)))
+
+    def area(a: Column) -> Column:
+        h = F.least(F.lit(math.pi / 2) - a, 14 / F.sqrt(v)) / STEPS
+        weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return h * F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(F.greatest(F.cos(a + i * h), F.lit(0.0)), v - 1))
+
+    return F.when(v > 0, F.least(F.try_divide(area(start), area(F.lit(0.0))), F.lit(1.0)))
+
+
 def significance(ic: DataFrame) -> DataFrame:
-    """ic with t_stat, p_value (two-sided, normal tail for the large n at hand) and p_value_corrected (Bonferroni)."""
-    t = F.col("ic") * F.sqrt("n")
-    z = F.abs(t)
-    # tail of the normal distribution (Abramowitz and Stegun 26.2.17)
-    k = 1 / (1 + 0.2316419 * z)
-    tail = F.exp(-z * z / 2) / 2.5066282746310002 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    out = ic.withColumn("t_stat", t).withColumn("p_value", F.when(F.col("ic").isNull(), F.lit(1.0)).otherwise(F.least(2 * tail, F.lit(1.0))))
+    """ic with t_stat (ic times the root of n), p_value (two-sided) and p_value_corrected (Bonferroni)."""
+    m = F.count(F.lit(1)).over(Window.partitionBy())  # a row for each feature
+    out = ic.withColumn("t_stat", F.col("ic") * F.sqrt("n")).withColumn("p_value", F.coalesce(two_sided_p(F.col("ic"), F.col("n")), F.lit(1.0)))
     return out.withColumn("p_value_corrected", F.least(F.col("p_value") * m, F.lit(1.0))).withColumn("abs_ic", F.abs("ic"))
 
 
@@ -92,3 +119,10 @@ def redundant(pairs: DataFrame, scores: dict[str, float], threshold: float = 0.9
         if r["a"] not in gone and r["b"] not in gone:
             gone.add(r["a"] if abs(scores.get(r["a"], 0.0)) < abs(scores.get(r["b"], 0.0)) else r["b"])
     return gone
+
+
+def redundancy(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """feature, kept of all features in pairs (a, b, r), by scores (feature, score): see redundant()."""
+    names = pairs.select(F.col("a").alias("feature")).union(pairs.select("b")).distinct()
+    gone = redundant(pairs, {r["feature"]: r["score"] for r in scores.collect()}, threshold)  # features, not rows
+    return names.withColumn("kept", ~F.col("feature").isin(*gone) if gone else F.lit(True))

@@ -92,15 +92,18 @@ SELECT feature, count(ic) AS n_groups, {s9("avg(ic)")} AS ic_mean, {s9("stddev_p
 
 
 def ic_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t, p and its correction; the p-value is of the normal tail."""
+    """t, p and its correction."""
     found = stats.significance(stats.information_coefficient(screened(bars(spark, sf_dir), []), ["feature"]))
     return found.select("feature", "n", *(r9(c).alias(c) for c in ("ic", "t_stat", "p_value", "p_value_corrected", "abs_ic")))
 
 
-_Z = "abs(t_stat)"
-_K = f"(1 / (1 + 0.2316419 * {_Z}))"
-_TAIL = f"exp(-{_Z} * {_Z} / 2) / 2.5066282746310002 * {_K} * (0.319381530 + {_K} * (-0.356563782 + {_K} * (1.781477937 + {_K} * (-1.821255978 + {_K} * 1.330274429))))"
-IC_SIGNIFICANCE = f"""WITH {BARS}, {long_sql("bars", "series")}, i AS (SELECT feature, count(*) AS n, {PEARSON} AS ic FROM l GROUP BY 1), t AS (SELECT *, ic * sqrt(n) AS t_stat FROM i), p AS (SELECT *, least(2 * {_TAIL}, 1) AS p_value FROM t)
+def p_sql(r: str, n: str) -> str:
+    """stats.two_sided_p in SQL."""
+    area = lambda a: f"(least(pi() / 2 - {a}, 14 / sqrt({n} - 2)) / 400 * list_sum(list_transform(range(401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos({a} + i * least(pi() / 2 - {a}, 14 / sqrt({n} - 2)) / 400), 0), {n} - 3))))"
+    return f"coalesce(CASE WHEN {n} > 2 THEN least({area(f'asin(least(abs({r}), 1))')} / {area('0.0')}, 1) END, 1)"
+
+
+IC_SIGNIFICANCE = f"""WITH {BARS}, {long_sql("bars", "series")}, i AS (SELECT feature, count(*) AS n, {PEARSON} AS ic FROM l GROUP BY 1), t AS (SELECT *, ic * sqrt(n) AS t_stat FROM i), p AS (SELECT *, {p_sql("ic", "n")} AS p_value FROM t)
 SELECT feature, n, {s9("ic")} AS ic, {s9("t_stat")} AS t_stat, {s9("p_value")} AS p_value, {s9("least(p_value * count(*) OVER (), 1)")} AS p_value_corrected, {s9("abs(ic)")} AS abs_ic FROM p"""
 
 

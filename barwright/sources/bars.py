@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 OHLCV = ("open", "high", "low", "close", "volume")
 BAR = T.StructType([T.StructField("series", T.StringType()), T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in OHLCV)])
 CSV_BAR = T.StructType([T.StructField("time", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in OHLCV)])
+#: Columns of a feature table that are text.
+TEXTS = ("series", "timeframe")
 #: Bar lengths by code.
 TIMEFRAMES = {"S5": "5 seconds", "M1": "1 minute", "M5": "5 minutes", "M15": "15 minutes", "M30": "30 minutes", "H1": "1 hour", "H4": "4 hours", "D": "1 day", "W": "7 days"}
 
@@ -36,9 +40,11 @@ def read_ohlcv_csv(spark: SparkSession, path: str, timeframe: str | None = None)
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A feature table, Parquet or CSV by its suffix; with columns only those reach the scan."""
+    """A feature table, Parquet or CSV by its suffix; with columns only those reach the scan. Of a CSV, `series` and `timeframe` are text, `ts` is a time and the rest are numbers."""
     if path.endswith(".csv"):
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        names = spark.read.option("header", True).csv(path).columns  # reads the first line
+        kinds = {c: "STRING" if c in TEXTS else "TIMESTAMP" if c in ("ts", "time") else "DOUBLE" for c in names}
+        df = spark.read.schema(", ".join(f"`{c}` {k}" for c, k in kinds.items())).option("header", True).csv(path)
     elif path.endswith(".parquet") or "." not in path.rsplit("/", 1)[-1]:
         df = spark.read.parquet(path)
     else:
@@ -66,17 +72,66 @@ def only_complete(candles: DataFrame) -> DataFrame:
     return candles.where(F.col("complete")).drop("complete")
 
 
-def write_features(df: DataFrame, path: str, keys: tuple[str, ...] = ("series",)) -> None:
-    df.repartition(*keys).write.mode("overwrite").option("compression", "snappy").partitionBy(*keys).parquet(path)
+def write_features(df: DataFrame, path: str, keys: tuple[str, ...] = ("series",), mode: str = "errorifexists") -> None:
+    df.repartition(*keys).write.mode(mode).option("compression", "snappy").partitionBy(*keys).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
-    writer = df.write.mode("overwrite").option("header", True)
+def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "errorifexists") -> None:
+    writer = df.write.mode(mode).option("header", True)
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_ohlcv_csv(bars: DataFrame, root: str, timeframe: str | None = None, mode: str = "errorifexists") -> None:
+    """Each series as <root>/<series>[_<timeframe>].csv, as read_ohlcv_csv reads them; one write for each series."""
+    for row in bars.select("series").distinct().collect():  # names of series
+        name = row["series"] + (f"_{timeframe}" if timeframe else "")
+        write_csv(bars.where(F.col("series") == row["series"]).select(F.col("ts").cast("timestamp").alias("time"), *OHLCV), f"{root.rstrip('/')}/{name}.csv", mode=mode)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).json(path)
+
+
+def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Samples as features.sequences() gives them: x as one array of numbers with its two lengths, so that any reader can shape it again."""
+    flat = samples.withColumn("rows", F.size("x")).withColumn("columns", F.size(F.col("x")[0])).withColumn("x", F.flatten("x"))
+    flat.write.mode(mode).parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    x = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.slice("x", i * F.col("columns") + 1, F.col("columns")))
+    return df.withColumn("x", x).drop("rows", "columns")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster names for checkpoints; in a local one only where everything runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="barwright-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/barwright/{uuid.uuid4().hex}"
+
+
+def discovered(spark: SparkSession, root: str, timeframe: str | None = None) -> DataFrame:
+    """name, kind of the tables <name>[_<timeframe>].parquet and .csv under root, files or folders; Parquet where there are both. Only paths are read."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    found = paths.select(F.regexp_extract("path", r"/([^/]+)\.(parquet|csv)(?:/|$)", 1).alias("name"), F.regexp_extract("path", r"/([^/]+)\.(parquet|csv)(?:/|$)", 2).alias("kind")).where(F.col("name") != "")
+    if timeframe:
+        found = found.where(F.col("name").endswith(f"_{timeframe}")).withColumn("name", F.regexp_replace("name", f"_{timeframe}$", ""))
+    return found.groupBy("name").agg(F.max("kind").alias("kind"))
+
+
+def close_column(names: list[str]) -> str:
+    """close, or else the first column with close in its name."""
+    found = [c for c in names if c == "close"] or [c for c in names if "close" in c.lower()]
+    if not found:
+        raise ValueError("no column of closing prices")
+    return found[0]
 
 
 # ---- bars from ticks
