@@ -2,9 +2,9 @@
 
 Rows are indexed in blocks where they are read: a block's index has, for each attribute and each bit of its quantised value, a bitmap over the block's rows. A query adds the bitmaps that its own bits pick, by weight, with carry-save adders; the sums are again slices, and from the most significant one downward the best k rows are selected. Rows that tie at the boundary are resolved exactly, by the smaller id.
 
-Each query block meets each index block once, and gives k rows for each of its queries. Rows of equal vectors are indexed once, with their k + 1 smallest ids, as no more of them can be among a query's best.
+The index stays where it is: blocks of queries are broadcast past it, a bounded number at a time, and k rows for each query and index block are all that moves. Rows of equal vectors are indexed once, with their k + 1 smallest ids, as no more of them can be among a query's best.
 
-Vectors that are null or hold null or non-finite components, or whose length differs from the most common one, take no part, nor do null ids. Of rows that repeat an id the one with the least vector counts. An empty table gives no rows."""
+Vectors that are null or hold null or non-finite components, or whose length differs from the most common one, take no part, nor do null ids. Of rows that repeat an id the one with the least vector counts. A component so large that a score might not fit in 64 bits stops the job with a message that says so. An empty table gives no rows; columns other than the id and the vector take no part."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from barwright.llm.common import stored, table
 
 BLOCK_ROWS = 8_192
 BLOCK_QUERIES = 256
+#: Components of the queries that are broadcast at once.
+SENT_COMPONENTS = 4_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -172,29 +174,30 @@ def search(index: DataFrame, queries: DataFrame, size: int, k: int, block_querie
     """query_id, rank, vec_id, score: the k rows of the index with the largest inner products with each of queries (id, q), without rows of the query's own id."""
     spark = index.sparkSession
     n_blocks, n_queries = index.count(), queries.count()
-    slots = max(1, n_blocks)
     groups = max(1, -(-n_queries // block_queries))
-    numbered = index.select("block").withColumn("slot", F.row_number().over(Window.orderBy("block")) - 1)  # a row for each block
-    asked = queries.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    held = index.join(numbered, "block").withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        queries_q = right.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size) if right.num_rows else np.zeros((0, size), np.int64)
-        for b in left.to_pylist():
-            block = Block(np.frombuffer(b["slices"], dtype=np.uint64).reshape(size, b["bits"], -1), b["n"], np.array(b["low"], dtype=np.int64))
-            for own, q in zip(right.column("id").to_pylist(), queries_q, strict=True):
-                # rows of one vector share a score, so the best k + 1 vectors hold the best k rows of another id
-                rows, score = block.best(q, k + 1)
-                found = sorted(((-s, i) for r, s in zip(rows.tolist(), score.tolist(), strict=True) for i in b["ids"][r] if i != own))[:k]
-                out["query_id"] += [own] * len(found)
-                out["vec_id"] += [i for _, i in found]
-                out["score"] += [-s for s, _ in found]
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()})
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * slots * groups, 10_000))
-    pairs = held.repartition(parts, "slot", "group").groupBy("slot", "group").cogroup(asked.repartition(parts, "slot", "group").groupBy("slot", "group"))
-    found = pairs.applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    at_once = max(1, SENT_COMPONENTS // (block_queries * size))
+    asked = stored(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("id", "q")).alias("asked")), "bitsliced-asked")  # about block_queries in each
+    spread = index.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_blocks, 10_000)), "block")
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+            for b in batch.to_pylist():
+                block = Block(np.frombuffer(b["slices"], dtype=np.uint64).reshape(size, b["bits"], -1), b["n"], np.array(b["low"], dtype=np.int64))
+                for own in b["asked"]:
+                    # rows of one vector share a score, so the best k + 1 vectors hold the best k rows of another id
+                    rows, score = block.best(np.array(own["q"], dtype=np.int64), k + 1)
+                    found = sorted(((-s, i) for r, s in zip(rows.tolist(), score.tolist(), strict=True) for i in b["ids"][r] if i != own["id"]))[:k]
+                    out["query_id"] += [own["id"]] * len(found)
+                    out["vec_id"] += [i for _, i in found]
+                    out["score"] += [-s for s, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out.values()], names=list(out))
+
+    found = None
+    for first in range(0, groups, at_once):
+        some = asked.where(F.col("group").between(first, first + at_once - 1)).select("asked")
+        part = spread.crossJoin(F.broadcast(some)).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -203,7 +206,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     """Every query row's k best other rows by the inner product of floor(scale * component)."""
     fine = stored(usable(vectors, id_col, vec_col), "vectors")
     size = usual_size(fine) or 1
-    q = fine.where(F.size("v") == size).select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("bigint")).alias("q"))
+    most = float(int((2**63 / size) ** 0.5) - 1)  # size products of it fit in 64 bits
+    component = lambda x: F.when(F.abs(x) * scale < most, F.floor(F.lit(scale) * x).cast("bigint")).otherwise(F.raise_error(F.lit("a component is too large for 64-bit scores")).cast("bigint"))
+    q = fine.where(F.size("v") == size).select("id", F.transform("v", component).alias("q"))
     rows = stored(classes(q, "q", k + 1), "bitsliced-classes")
     index = stored(index_blocks(rows.repartition(max(1, -(-rows.count() // BLOCK_ROWS))), size), "bitslices")
     queries = stored(q.where(is_query(F.col("id"))), "bitsliced-queries")
