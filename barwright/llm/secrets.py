@@ -2,7 +2,7 @@
 
 Patterns give the base findings. Beyond them, base64 and hex candidates are decoded and their contents parsed: private keys in DER (nested lengths), OpenSSH keys (length-prefixed fields), PEM blocks around either, and the header of a signed token. Only what parses is reported.
 
-A null text is an empty one and has no findings. Rows are independent, so repeated rows repeat their findings, and an empty table gives no rows. Texts are scanned whole, in time in proportion to their length."""
+A null text is an empty one and has no findings. Rows are independent, so repeated rows repeat their findings, and an empty table gives no rows. Findings with the same start stand in the order of their kinds; columns other than the id and the text take no part. Texts are scanned whole, in time in proportion to their length."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,9 @@ PEM_EDGE = re.compile(r"-----(BEGIN|END) ([A-Z ]*PRIVATE KEY)-----")
 PEM_END = re.compile(r"\\r\\n|\\n|\\r|\r\n|\r|\n")
 PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[^\r\n]*")
 PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]+")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,})={0,2}")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
+#: A key may go on over lines.
+BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,})(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{58,}|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]7631[0-9A-Fa-f]{60,})")
 OPENSSH = b"openssh-key-v1\x00"
 
@@ -102,6 +104,31 @@ def is_openssh(data: bytes) -> bool:
     return 1 <= keys <= 64 and all(field() for _ in range(keys + 1)) and at <= len(data)
 
 
+def is_encrypted_der(data: bytes | None) -> bool:
+    """PKCS#8's encrypted form: an algorithm, then the cipher text, which fill the whole."""
+    outer = der_items(data, 0, len(data)) if data else None
+    items = der_items(data, *outer[0][1:]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+    if not items or [t for t, _, _ in items] != [0x30, 0x04] or items[1][1] == items[1][2]:
+        return False
+    inner = der_items(data, *items[0][1:])
+    return bool(inner) and inner[0][0] == 0x06
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Three parts with dots between, the first from its first eyJ on, from left to right."""
+    for run in DOTTED.finditer(text):
+        parts = run[0].split(".")
+        at, i = run.start(), 0
+        while i + 2 < len(parts):
+            first = parts[i].find("eyJ")
+            if first >= 0 and len(parts[i]) > first + 3:
+                end = at + sum(map(len, parts[i : i + 3])) + 2
+                yield at + first, end
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+
+
 def is_signed_token(text: str) -> bool:
     head = decoded(text.split(".", 1)[0])
     try:
@@ -118,15 +145,16 @@ def key_kind(data: bytes | None) -> str | None:
 
 
 def is_pem(label: str, body: str) -> bool:
-    """Base64 signs, after header lines if there are any, that are encrypted by their label or header, or parse as a key."""
+    """Base64, after header lines if there are any, that parses as a key, as an encrypted key if the label says so, or is a cipher text by its header."""
     lines = PEM_END.sub("\n", body).strip().split("\n")
     n = 0
     while n < len(lines) and (PEM_HEADER.fullmatch(lines[n].strip()) or (n and lines[n].startswith((" ", "\t")))):
         n += 1
     rest = "\n".join(lines[n:])
-    if not PEM_BODY.fullmatch(rest):
-        return False
-    return label.startswith("ENCRYPTED") or any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in map(str.strip, lines[:n])) or key_kind(decoded("".join(rest.split()))) is not None
+    data = decoded("".join(rest.split())) if PEM_BODY.fullmatch(rest) else None
+    if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in map(str.strip, lines[:n])):
+        return bool(data)  # cipher text has no structure beyond that
+    return is_encrypted_der(data) if label.startswith("ENCRYPTED") else key_kind(data) is not None
 
 
 def pem_spans(text: str) -> list[tuple[int, int, int]]:
@@ -160,9 +188,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "-----BEGIN " in text:
         out += pem_spans(text)
     if "eyJ" in text:
-        out += [(m.start(), 4, m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    for pattern, read in ((BASE64_KEY, decoded), (HEX_KEY, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
-        out += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text) if (kind := key_kind(read(m[0])))]
+        out += [(a, 4, b) for a, b in signed_tokens(text) if is_signed_token(text[a:b])]
+    for m in BASE64_KEY.finditer(text):
+        whole, line = m[0], m[0].split("\n", 1)[0].rstrip("\r")
+        for x in (whole, line) if line != whole else (whole,):  # what comes on the next line need not belong to it
+            if kind := key_kind(decoded("".join(x.split()))):
+                out.append((m.start(), KINDS.index(kind), m.start() + len(x)))
+                break
+    out += [(m.start(), KINDS.index(kind), m.end()) for m in HEX_KEY.finditer(text) if (kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])))]
     return out
 
 
