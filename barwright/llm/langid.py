@@ -2,7 +2,7 @@
 
 A language's profile is its most frequent letter n-grams (one to three letters, words set apart by a blank), most frequent first, counted over all training documents. A document's own profile is compared to each by the sum of out-of-place distances.
 
-Null texts and texts without a letter are `und` with score 0. Ties between n-grams go to the smaller code, ties between languages to the smaller name. With no training rows, or an empty table, every row that there is is `und`. Rows are independent; extra columns take no part."""
+Null texts and texts without a letter are `und` with score 0. Ties between n-grams go to the smaller code, ties between languages to the smaller name. With no training rows, or an empty table, every row that there is is `und`. Rows are independent, and columns of the names that are added give way; a null doc_id has a null held_out and is learnt from. A text of any length counts whole, its n-grams sorted once."""
 
 from __future__ import annotations
 
@@ -16,8 +16,6 @@ from barwright.llm import textcodes
 from barwright.llm.common import per_batch, table, texts_of
 
 PROFILE = 400
-#: More would not be a set of languages, and the profiles' size would have no bound.
-MOST_LANGUAGES = 5_000
 UNKNOWN = "und"
 _BITS = 21
 
@@ -72,12 +70,10 @@ def profile_counts(train: DataFrame) -> DataFrame:
 
 
 def fit_profiles(train: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
-    """Each language's n-grams, most frequent first: what comes to the driver is no more than size rows a language."""
+    """Each language's n-grams, most frequent first: what comes to the driver is no more than size numbers a language, however many rows there are."""
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = profile_counts(train).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
-    found = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams")).collect()
     return {r["lang"]: [g["gram"] for g in r["grams"]] for r in found}
 
 
