@@ -2,7 +2,7 @@
 
 Sentence scores are logistic in the words and word beginnings that a sentence has; a document's score is their noisy-or, 1 - prod(1 - p). Only documents carry labels; the fit follows the likelihood of those through the noisy-or. Scoring also says which sentences offend.
 
-The fit uses a bounded sample of labelled rows, `sample` documents with the smallest hash of doc_id. Null and empty texts are one empty sentence and get the model's base score. Several labels of a document count as toxic if one does; null labels are none. Without any label of either kind every score is 0. Extra columns take no part, and repeated rows are scored alike."""
+The fit uses a bounded sample of labelled rows, `sample` documents with the smallest hash of doc_id. Null and empty texts are one empty sentence and get the model's base score. Several labels of a document count as toxic if one does; null labels are none. Without any label of either kind every score is 0. Extra columns take no part, columns of the names that are added give way, and repeated rows are scored alike; a null doc_id has a null held_out and no label. Of sentences that offend alike the first is named. A text of any length is scored whole."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barwright.llm import textcodes
 from barwright.llm.common import per_batch, stored, table, texts_of
 
-SAMPLE = 20_000
+SAMPLE = 30_000
 FEATURES = 4_096
 THRESHOLD = 0.3
 #: Letters of the word beginnings that are features beside the words themselves.
