@@ -1,12 +1,13 @@
 """Byte-level BPE by recursive queries: each partition's new pieces are contracted in DuckDB, which also decodes.
 
-`encode_decode` gives ids and decoded bytes of every whole text. A null or empty text has no ids and decodes to nothing; repeated rows and extra columns are of no consequence, as each row stands alone."""
+`encode_decode` gives ids and decoded bytes of every whole text. A null or empty text has no ids and decodes to nothing. Each row stands alone, so that repeated rows and extra columns are of no consequence, columns of the names that are added take no part, and an empty table gives no rows. Of pairs with one rank the leftmost goes first. A text of any length is encoded whole; one unbroken word takes as many steps as it has different merges, each over the whole word."""
 
 from __future__ import annotations
 
 import base64
 import functools
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,46 +17,28 @@ from pyspark.sql import DataFrame, SparkSession
 from barwright.llm.common import per_batch, table, texts_of
 from barwright.llm.tokens import PieceCache
 
-#: Pieces of more bytes contract all safe occurrences of their least pair at once, shorter ones one pair a step.
-LONG_BYTES = 48
-
+#: A step contracts, in every word, the leftmost pair of least rank, and further ones of that rank up to the first whose neighbours then make a lesser pair, which must come before them. So the ids are those of one pair at a time, whatever a word's length, and a long word takes fewer steps.
 STEP = """
-WITH RECURSIVE s(w, pos, id) USING KEY (w, pos) AS (
-  SELECT w, pos, id FROM start
-  UNION ALL
-  SELECT w, pos, CASE WHEN pos = least & 4294967295 THEN least >> 32 WHEN prv = least & 4294967295 THEN -1 ELSE id END
-  FROM (
-    SELECT x.*, min((m.rank << 32) | x.pos) OVER (PARTITION BY w) AS least
-    FROM (SELECT *, lead(id) OVER p AS nxt, lag(pos) OVER p AS prv FROM s WHERE id >= 0 WINDOW p AS (PARTITION BY w ORDER BY pos)) x
-    LEFT JOIN merges m ON m.l = x.id AND m.r = x.nxt)
-  WHERE least IS NOT NULL)
-SELECT w, pos, id FROM s WHERE id >= 0 ORDER BY w, pos
-"""
-
-#: As STEP, but every occurrence of the least pair goes, from the left, up to the first whose neighbours then make a lesser pair: the same result in fewer steps.
-LONG_STEP = """
 WITH RECURSIVE s(w, pos, id) USING KEY (w, pos) AS (
   SELECT w, pos, id FROM start
   UNION ALL
   SELECT w, pos, CASE WHEN goes THEN least WHEN prv_goes THEN -1 ELSE id END
   FROM (
-    SELECT *, coalesce(lag(goes) OVER q, false) AS prv_goes
+    SELECT w, pos, id, least, goes, coalesce(lag(goes) OVER q, false) AS prv_goes
     FROM (
-      SELECT y.*, taken AND pos <= coalesce(min(CASE WHEN taken AND (a.rank < least OR b.rank < least) THEN pos END) OVER (PARTITION BY w), pos) AS goes
+      SELECT y.w, y.pos, y.id, y.least, taken AND pos <= coalesce(min(CASE WHEN a.rank < least OR b.rank < least THEN pos END) OVER (PARTITION BY w), pos) AS goes
       FROM (
-        SELECT *, CASE WHEN lag(taken, 2) OVER q THEN least ELSE lag(id) OVER q END AS lft
+        SELECT *, CASE WHEN lag(taken, 2) OVER q THEN least ELSE prv END AS lft
         FROM (
-          SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, n - k ORDER BY pos)) % 2 = 1 AS taken
+          SELECT *, coalesce(rank = least AND (n - coalesce(max(CASE WHEN rank = least THEN NULL ELSE n END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1, false) AS taken
           FROM (
-            SELECT *, rank IS NOT NULL AND rank = least AS hit, row_number() OVER (PARTITION BY w, rank IS NOT NULL AND rank = least ORDER BY pos) AS k
-            FROM (
               SELECT x.*, m.rank, min(m.rank) OVER (PARTITION BY w) AS least
-              FROM (SELECT *, lead(id) OVER p AS nxt, lead(id, 2) OVER p AS nxt2, row_number() OVER p AS n FROM s WHERE id >= 0 WINDOW p AS (PARTITION BY w ORDER BY pos)) x
+              FROM (SELECT *, lead(id) OVER p AS nxt, lead(id, 2) OVER p AS nxt2, lag(id) OVER p AS prv, row_number() OVER p AS n FROM s WHERE id >= 0 WINDOW p AS (PARTITION BY w ORDER BY pos)) x
               LEFT JOIN merges m ON m.l = x.id AND m.r = x.nxt)
-            WHERE least IS NOT NULL))
+          WHERE least IS NOT NULL)
         WINDOW q AS (PARTITION BY w ORDER BY pos)) y
-      LEFT JOIN merges a ON a.l = y.lft AND a.r = y.least
-      LEFT JOIN merges b ON b.l = y.least AND b.r = y.nxt2)
+      LEFT JOIN merges a ON taken AND a.l = y.lft AND a.r = y.least
+      LEFT JOIN merges b ON taken AND b.l = y.least AND b.r = y.nxt2)
     WINDOW q AS (PARTITION BY w ORDER BY pos)))
 SELECT w, pos, id FROM s WHERE id >= 0 ORDER BY w, pos
 """
@@ -84,7 +67,7 @@ class Engine:
         ranks = read_ranks(path)
         self.whole = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="barwright-bpe-")})
         l, r, rank = (pa.array(x, pa.int64()) for x in zip(*merge_rows(ranks), strict=True))
         self._put("merges", pa.table({"l": l, "r": r, "rank": rank}))
         self._put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "token": pa.array(ranks.keys(), pa.binary())}))
@@ -99,21 +82,18 @@ class Engine:
         """Ids of each piece. A piece that is a token as a whole is that token, as in the library."""
         raw = [x.encode("utf-8", "replace") for x in pieces]
         out: list = [[self.whole[x]] if x in self.whole else None for x in raw]
-        long = [i for i, x in enumerate(raw) if out[i] is None and len(x) > LONG_BYTES]
-        short = [i for i, x in enumerate(raw) if out[i] is None and len(x) <= LONG_BYTES]
-        for which, sql in [(short, STEP), *(([i], LONG_STEP) for i in long)]:
-            if not which:
-                continue
-            size = np.array([len(raw[i]) for i in which], dtype=np.int64)
-            w = np.repeat(np.arange(len(which)), size)
-            pos = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-            id_ = self.byte[np.frombuffer(b"".join(raw[i] for i in which), dtype=np.uint8)]
-            self._put("start", pa.table({"w": w, "pos": pos, "id": id_}))
-            found = self.db.execute(sql).fetchnumpy()
-            cuts = np.searchsorted(found["w"], np.arange(len(which) + 1))
-            ids = found["id"].astype(np.uint32)
-            for k, i in enumerate(which):
-                out[i] = ids[cuts[k] : cuts[k + 1]].tolist()
+        which = [i for i, x in enumerate(out) if x is None]
+        if not which:
+            return out
+        size = np.array([len(raw[i]) for i in which], dtype=np.int64)
+        w = np.repeat(np.arange(len(which)), size)
+        pos = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+        self._put("start", pa.table({"w": w, "pos": pos, "id": self.byte[np.frombuffer(b"".join(raw[i] for i in which), dtype=np.uint8)]}))
+        found = self.db.execute(STEP).fetchnumpy()
+        cuts = np.searchsorted(found["w"], np.arange(len(which) + 1))
+        ids = found["id"].astype(np.uint32)
+        for k, i in enumerate(which):
+            out[i] = ids[cuts[k] : cuts[k + 1]].tolist()
         return out
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
