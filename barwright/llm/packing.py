@@ -2,7 +2,7 @@
 
 The plan is made from how many pieces have each length, of which there are no more than the capacity, so it is as small for 100 TB as for a test; pieces find their places in it by (length, rank among that length). Ranks come from the stored pieces: each task numbers its own pieces of each length, and a running sum over tasks does the rest. No row passes through the driver.
 
-Null and empty texts are a single id 0. Repeated rows are packed as often as they occur; an empty table gives no rows; columns other than the id and the text take no part."""
+Null and empty texts are a single id 0. A text longer than a sequence, however long, is cut into pieces. Repeated rows are packed as often as they occur; pieces of equal length are of equal rank to the plan, and which of them goes where is left open; an empty table gives no rows; columns other than the id and the text take no part."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.common import expand, per_batch, stored, table, texts_of
-from barwright.llm.tokens import library_cache
+from barwright.llm.tokens import library_ids
 
 END_ID = 0
 
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool
     narrow = id_type(tokenizer)
 
     def make():
-        encode, part, seen = library_cache(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        encode, part, seen = library_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
 
         def work(batch: pa.RecordBatch) -> pa.Table:
             ids, at = encode(texts_of(batch))
@@ -62,10 +62,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool
 
 
 def id_type(tokenizer: str) -> str:
-    """Two bytes an id where the vocabulary fits in them, so that half as much moves."""
-    from tokenizers import Tokenizer
-
-    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+    """Two bytes an id where the largest fits in them, so that half as much moves."""
+    return "<u2" if library_ids(tokenizer).largest() < 1 << 16 else "<u4"
 
 
 # ---- plans

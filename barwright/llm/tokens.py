@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -18,12 +18,13 @@ KEPT_CHARS = 200
 class PieceCache:
     """Ids by piece. encode: from pieces to lists of ids. After `most` pieces it starts anew, which bounds its memory and changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.hashes = np.zeros(0, dtype=np.uint64)  # ascending
+        self.numbers = np.zeros(0, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 14, dtype=np.int64)
@@ -54,33 +55,57 @@ class PieceCache:
             self.clear()
         code, starts, ends, first = textcodes.pieces(texts)
         hashes, one, back = np.unique(textcodes.span_hash(code, starts, ends), return_index=True, return_inverse=True)
-        place = np.fromiter(map(self.at.get, hashes.tolist(), repeat(-1)), dtype=np.int64, count=len(hashes))
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        place = np.full(len(hashes), -1, dtype=np.int64)
+        place[known] = self.numbers[at[known]]
         missing = np.flatnonzero(place < 0)
         if len(missing):
             a, b = starts[one[missing]], ends[one[missing]]
             whole = "\x00".join(texts)
             new = [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             place[missing] = got = self._add(self.encode(new))
-            self.at.update((h, p) for h, p, n in zip(hashes[missing].tolist(), got.tolist(), (b - a).tolist(), strict=True) if n <= KEPT_CHARS)
+            kept = b - a <= KEPT_CHARS
+            self.hashes = np.insert(self.hashes, at[missing[kept]], hashes[missing[kept]])
+            self.numbers = np.insert(self.numbers, at[missing[kept]], got[kept])
         place = place[back]
         lengths = self.lengths[place]
         ids = self.ids[expand(self.starts[place], lengths)]
         return ids, np.concatenate([[0], np.cumsum(lengths)])[first]
 
 
-@functools.lru_cache(maxsize=4)
-def library_cache(path: str) -> PieceCache:
-    """A cache over the byte-level model of the tokenizers library. Strings of special tokens within a text are ordinary text."""
-    from tokenizers import Tokenizer
+class LibraryIds:
+    """What the tokenizers library's encode gives for whole texts, without special tokens added. Strings of the file's added tokens within a text are those tokens, as there; texts that hold one go through the library as a whole."""
 
-    model = Tokenizer.from_file(path).model
-    table = byte_letters()
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-    def encode(pieces: list[str]) -> list:
-        letters = (x.encode("utf-8", "replace").decode("latin-1").translate(table) for x in pieces)
-        return [[token.id for token in model.tokenize(x)] for x in letters]
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        model, table = self.whole.model, byte_letters()
 
-    return PieceCache(encode)
+        def encode(pieces: list[str]) -> list:
+            letters = (x.encode("utf-8", "replace").decode("latin-1").translate(table) for x in pieces)
+            return [[token.id for token in model.tokenize(x)] for x in letters]
+
+        self.cache = PieceCache(encode)
+
+    def largest(self) -> int:
+        return max(self.whole.get_vocab(with_added_tokens=True).values(), default=0)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = {i: self.whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        if not own:
+            return self.cache(texts)
+        ids, at = self.cache(["" if i in own else t for i, t in enumerate(texts)])
+        parts = [np.array(own[i], dtype=np.uint32) if i in own else ids[at[i] : at[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+@functools.lru_cache(maxsize=2)
+def library_ids(path: str) -> LibraryIds:
+    return LibraryIds(path)
 
 
 def byte_letters() -> dict[int, str]:
