@@ -27,6 +27,8 @@ DEPTH = 3
 #: Sets, and shingles of them, on one side of a comparison.
 BLOCK = 2_048
 BLOCK_SHINGLES = 2_000_000
+#: How many times LIMIT sets, and BLOCK_SHINGLES shingles, a group of buckets may have that is compared as a whole.
+GROUP = 4
 #: Sets, counted as often as they are in a bucket, that a task compares.
 TASK_SETS = 5_000
 _COLUMNS = 4_096
@@ -265,11 +267,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def gathered(buckets: DataFrame, lengths: DataFrame, limit: int, block: int) -> DataFrame:
-    """rep, path, blocks: the groups to be compared, of buckets (rep, path). A set's home is the least set of all that it shares a bucket with; sets with one home, `limit` of them at most, are a group, and buckets of which all sets are in one such group are not compared again. blocks: how many parts a group is compared in."""
+    """rep, path, blocks: the groups to be compared, of buckets (rep, path). A set's home is the least set of all that it shares a bucket with; sets with one home, GROUP * `limit` of them at most, are a group, and buckets of which all sets are in one such group are not compared again. blocks: how many parts a group is compared in."""
     heads = buckets.groupBy("path").agg(F.min("rep").alias("head"))
     homes = buckets.join(heads, "path").groupBy("rep").agg(F.min("head").alias("home"))
     homes = stored(lengths.join(homes, "rep"), "homes")
-    small = homes.groupBy("home").agg(F.count("*").alias("count"), F.sum("n").alias("sum")).where(F.col("count").between(2, limit) & (F.col("sum") <= BLOCK_SHINGLES)).select(F.col("home").alias("small"))
+    small = homes.groupBy("home").agg(F.count("*").alias("count"), F.sum("n").alias("sum")).where(F.col("count").between(2, GROUP * limit) & (F.col("sum") <= GROUP * BLOCK_SHINGLES)).select(F.col("home").alias("small"))
     placed = homes.join(small, F.col("home") == F.col("small"), "left").select("rep", "n", "small")
     at = buckets.join(placed, "rep")
     covered = at.groupBy("path").agg((F.min("small").eqNullSafe(F.max("small")) & (F.count("small") == F.count("*"))).alias("covered"))
