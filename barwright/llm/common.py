@@ -12,17 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that a Python worker handles at once; a longer single text is a batch of its own.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 400_000
+#: Bytes that Spark sends to a Python worker at once.
+SENT_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python of SENT_BYTES at most, as rows may be long texts. A lesser bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= SENT_BYTES:
+        spark.conf.set(name, f"{SENT_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set."""
+    """The folder that the cluster names for checkpoints. Where none is set, as in tests, a local one will do if everything runs on one machine, and nothing else will."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="barwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, read again. A lost executor costs nothing that is stored."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/barwright/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,15 +64,18 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.Table | pa.Record
     return run
 
 
-def by_chars(batch: pa.RecordBatch, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a column named text of about CHUNK_CHARS bytes each. No row is cut."""
-    if "text" not in batch.schema.names or not batch.num_rows:
-        if batch.num_rows:
-            yield batch
+def by_chars(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a column named text of about CHUNK_CHARS bytes each; a batch without one as it is."""
+    return by_bytes(batch, "text", CHUNK_CHARS) if "text" in batch.schema.names else iter([batch] if batch.num_rows else [])
+
+
+def by_bytes(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes each in a column. No row is cut."""
+    if not batch.num_rows:
         return
     import pyarrow.compute as pc
 
-    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index("text"))), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(name))), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
