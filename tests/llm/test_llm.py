@@ -6,6 +6,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
+from tokenizers import Tokenizer
 
 from barwright.llm import bitsliced, bpe, forest, langid, packing, passages, secrets, setjoin, textcodes, tokens, toxicity
 
@@ -169,16 +171,96 @@ def test_passages_of_interleaved_families_share_a_hot_line(spark):
     assert all((r.start, r.end, r.class_id) == (60, 116, i % n) for i, r in got.items() if r.class_id != i)
 
 
+def longest_stretch(same, miss):
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -miss))])
+    best = (0, 0)
+    for i in range(len(same)):
+        j = max((j for j in range(i, len(total)) if total[j] >= total[i]), default=i)
+        if j - i > best[1] - best[0]:
+            best = (i, j)
+    hit = np.flatnonzero(same[best[0] : best[1]])
+    return (best[0] + int(hit[0]), best[0] + int(hit[-1]) + 1) if len(hit) else (best[0], best[0])
+
+
+def stretches(x, y, least, threshold):
+    miss, out, open_ = 4.0, [], [(0, len(x), 4.0)]
+    known = np.isin(x, y)
+    while open_:
+        lo, hi, cost = open_.pop()
+        a, b = (lo + z for z in longest_stretch(known[lo:hi], cost))
+        if b - a < least:
+            continue
+        found, u = None, set(x[a:b].tolist())
+        for other in (miss, 2 * miss, 4 * miss):
+            c, d = longest_stretch(np.isin(y, x[a:b]), other)
+            v = set(y[c:d].tolist())
+            if d - c >= least and len(u & v) >= threshold * len(u | v) - 1e-9:
+                found = (a, b, c, d)
+                break
+        if found:
+            out.append(found)
+        elif cost <= b - a:
+            open_.append((a, b, 2 * cost))
+        open_ += [(lo, a, miss), (b, hi, miss)]
+    return sorted(out)
+
+
+def verified(xs, ys):
+    at = [np.cumsum([0, *map(len, z)]) for z in (xs, ys)]
+    got = defaultdict(list)
+    for i, *found in passages.verified_pairs(np.concatenate(xs), at[0], np.concatenate(ys), at[1], 46, 0.8).tolist():
+        got[i].append(tuple(found))
+    return [sorted(got[i]) for i in range(len(xs))]
+
+
 def test_one_sided_edits_are_near_duplicates():
     shingled = lambda w: passages.shingle_lists([" ".join(w)], 5)[0].astype(np.uint32)
     for n, gone in ((60, 3), (100, 8)):
         w, a, b = ([f"{x}{i}" for i in range(m)] for x, m in (("w", n), ("a", 30), ("b", 30)))
         cut = w[: n // 2] + w[n // 2 + gone :]
         for one, two in ((w, cut), (cut, w)):
-            got = passages.verified_stretches(shingled(a + one + a), shingled(b + two + b), 46, 0.8)
+            got = verified([shingled(a + one + a)], [shingled(b + two + b)])[0]
             assert got == [(30, 30 + len(one) - 4, 30, 30 + len(two) - 4)]
 
 
+def test_pairs_are_verified_alike_in_batches():
+    g = np.random.default_rng(8)
+    xs, ys = [], []
+    for _ in range(300):
+        x = g.integers(0, 2**32, int(g.integers(0, 200)), dtype=np.uint32)
+        y = x.copy()
+        for _ in range(int(g.integers(0, 12))):
+            if len(y):
+                y[g.integers(len(y))] = g.integers(0, 2**32)
+        a, b = sorted(g.integers(0, len(y) + 1, 2))
+        ys.append(np.concatenate([g.integers(0, 2**32, int(g.integers(0, 90)), dtype=np.uint32), y[a:b] if g.random() < 0.5 else y, x[: g.integers(0, 80)]]))
+        xs.append(np.concatenate([x, x[:60]]) if g.random() < 0.2 else x)
+    got = verified(xs, ys)
+    assert got == [stretches(x, y, 46, 0.8) for x, y in zip(xs, ys, strict=True)]
+    assert sum(map(bool, got)) > 100
+
+
+def test_near_copies_of_passages_are_found(spark):
+    """Recall on planted passages of a similarity of 0.8 or more, in keys of two texts and in keys that many unrelated texts share."""
+    g, hot = random.Random(12), prose(900, 30)
+    rows, want = [], []
+    for i in range(150):
+        w = (f"{prose(5000 + i, 45)} {hot} {prose(6000 + i, 45)}" if i % 2 else prose(5000 + i, 90)).split()
+        e = list(w)
+        for _ in range(g.randrange(1, 3)):
+            at = g.randrange(len(e))
+            e[at : at + 1] = g.choice([[], ["changed"], [e[at], "more"]])
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(e))
+        rows += [(2 * i, f"{prose(7000 + i, 40)} {' '.join(w)} {prose(8000 + i, 40)}"), (2 * i + 1, f"{prose(9000 + i, 30)} {' '.join(e)} {prose(10000 + i, 30)}")]
+        if len(a & b) >= 0.8 * len(a | b):
+            want += [2 * i, 2 * i + 1]
+    got = defaultdict(int)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect():
+        got[r.doc_id] += r.n_words
+    assert len(want) > 200 and sum(got[i] >= 50 for i in want) >= 0.99 * len(want)
+    assert all(n <= (124 if i // 2 % 2 else 94) for i, n in got.items())
+
+
 def test_repeats_go_from_later_texts(docs, texts):
     left = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
     assert left[9] == texts[9] and left[10].split() == texts[10].split()[70:] and left[11] == texts[11] and left[5] is None
@@ -243,9 +325,8 @@ def test_no_vectors(spark):
 
 
 def test_packing_is_a_lossless_round_trip(spark, docs, texts):
-    enc = tokens.library_cache(packing.default_tokenizer())
-    ids, at = enc([t or "" for t in texts])
-    want = {i: [*ids[at[i] : at[i + 1]].tolist(), 0] for i in range(len(texts))}
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     rows = packing.best_fit_packing(docs, 256).collect()
     by = defaultdict(list)
     for r in rows:
@@ -275,6 +356,18 @@ def test_packing_is_a_lossless_round_trip(spark, docs, texts):
             assert flat[a:b].tolist() == want[d][start : start + b - a] and position[a:b].tolist() == list(range(b - a))
 
 
+def test_ids_are_those_of_the_library():
+    own, library, g = tokens.library_ids(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer()), random.Random(1)
+    parts = ["a", "b", " ", " ", "\n", "'", "s", "re", "1", "²", "!", "é", "\t", "　", "'t", "中", "  ", "😀", "<|endoftext|>", "hello", " world", "<|", "|>", "endoftext"]
+    every = ["", "hello <|endoftext|> world"] + ["".join(g.choice(parts) for _ in range(g.randrange(40))) for _ in range(3000)]
+    for cache in (own.cache.most, 100):
+        own.cache.most, before = cache, own.cache.most
+        for at in range(0, len(every), 500):
+            ids, cut = own(every[at : at + 500])
+            assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in every[at : at + 500]]
+        own.cache.most = before
+
+
 @pytest.mark.parametrize("planner", [packing.best_fit_decreasing, packing.large_item_matching])
 def test_plans_place_every_item_once(planner):
     g = random.Random(5)
@@ -336,6 +429,32 @@ def test_pem_with_headers_and_escaped_line_ends():
     assert not secrets.confirmed_spans(block(lines(b"no key at all" * 9), "\n")) and not secrets.confirmed_spans(block(["Proc-Type: 4,ENCRYPTED", "", "not base64!"], "\n"))
 
 
+def test_encrypted_and_wrapped_keys_and_long_keys():
+    rsa = lambda k: der(0x30, der(2, b"\x00") + b"".join(der(2, b"\x01" * n) for n in (64, 3, 64, 32, 32, 32, 32, k)))
+    block = lambda b, label="ENCRYPTED PRIVATE KEY": f"-----BEGIN {label}-----\n" + base64.encodebytes(b).decode() + f"-----END {label}-----"
+    sealed = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(0x30, b"")) + der(4, b"cipher text" * 20))
+    assert [k for _, k, _ in secrets.confirmed_spans(block(sealed))] == [3]
+    assert not secrets.confirmed_spans(block(b"AAAA")) and not secrets.confirmed_spans(block(sealed[:-1]))
+    number = lambda n: b"\x02\x83" + n.to_bytes(3, "big") + b"\x01" * n
+    body = der(2, b"\x00") + b"".join(number(n) for n in (50_000, 3, 50_000, 9_000, 9_000, 9_000, 9_000, 9_000))
+    long = block(b"\x30\x83" + len(body).to_bytes(3, "big") + body, "RSA PRIVATE KEY")
+    assert len(long) > 150_000 and (0, 3, len(long)) in secrets.confirmed_spans(long)
+    wrapped = base64.encodebytes(rsa(32)).decode().strip()
+    assert secrets.confirmed_spans(f"key:\n{wrapped}\nand words") == [(5, 5, 5 + len(wrapped))]
+    line = base64.b64encode(rsa(32)).decode()
+    assert secrets.confirmed_spans(f"{line}\nwords") == [(0, 5, len(line))]
+
+
+def test_signed_tokens_are_the_pattern():
+    pattern, g = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), random.Random(4)
+    for _ in range(3000):
+        text = "".join(g.choice(["eyJ", "a", ".", ".", "-", " ", "ey", "eyJx.b.c"]) for _ in range(g.randrange(30)))
+        assert list(secrets.signed_tokens(text)) == [m.span() for m in pattern.finditer(text)]
+    at = time.time()
+    secrets.confirmed_spans("eyJ" * 400_000)
+    assert time.time() - at < 20
+
+
 def test_base_findings(spark):
     every = ['Token = "abcdefghijkl0123"', "api_key:short password=aaaaaaaaaaaa", "AKIA" + "A" * 14 + " AKIA123", "deadbeefdeadbeef 0123456789abcde", "secret = token = abcdefghijklmnop", "é token: 0123456789abcdef"]
     got = [r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(every)), "doc_id BIGINT, text STRING")).orderBy("doc_id").collect()]
@@ -457,5 +576,5 @@ def test_pipeline_stages_take_effect(spark, docs, texts, tmp_path):
     assert "<assign>" in left[900] and "0123456789abcdef0123" not in left[900]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == set(left)
-    ids, at = tokens.library_cache(packing.default_tokenizer())(list(left.values()))
-    assert out.groupBy().sum("length").first()[0] == len(ids) + len(left)
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    assert out.groupBy().sum("length").first()[0] == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in left.values())
