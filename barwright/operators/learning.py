@@ -24,9 +24,10 @@ def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
 
 def linear(train: DataFrame, test: DataFrame, kind: str = "ols", alpha: float = 1.0):
     """Model and test metrics (r2, mse, mae). Ridge takes alpha a table, lasso alpha a row."""
-    n = train.count()
-    params = {"ols": (0.0, 0.0), "ridge": (0.0, alpha / max(n, 1)), "lasso": (1.0, alpha)}[kind]
-    model = LinearRegression(featuresCol="x", labelCol="label", elasticNetParam=params[0], regParam=params[1], standardization=False, solver="normal" if kind != "lasso" else "auto").fit(train)
+    n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    # MLlib divides what it is given by the label's deviation, which a squared penalty must not be
+    params = {"ols": (0.0, 0.0), "ridge": (0.0, alpha / max(n, 1) * (sd or 1.0)), "lasso": (1.0, alpha)}[kind]
+    model = LinearRegression(featuresCol="x", labelCol="label", elasticNetParam=params[0], regParam=params[1], standardization=False, solver="normal" if kind != "lasso" else "auto", maxIter=1_000, tol=1e-12).fit(train)
     e = model.evaluate(test)
     return model, {"r2": e.r2, "mse": e.meanSquaredError, "mae": e.meanAbsoluteError}
 
@@ -55,6 +56,12 @@ def principal_components(df: DataFrame, k: int):
     return model, df.sparkSession.createDataFrame(rows, "component INT, explained DOUBLE, cumulative DOUBLE")
 
 
+def components_for(components: DataFrame, shares: tuple[float, ...] = (0.80, 0.90, 0.95)) -> DataFrame:
+    """share, n: how many of the first components (component, cumulative) explain at least that share; NULL if all together don't."""
+    want = F.explode(F.array(*(F.lit(s) for s in shares))).alias("share")
+    return components.select("component", "cumulative", want).groupBy("share").agg(F.min(F.when(F.col("cumulative") >= F.col("share") - 1e-12, F.col("component"))).alias("n"))
+
+
 TREES = {("forest", "regression"): RandomForestRegressor, ("forest", "classification"): RandomForestClassifier, ("boosting", "regression"): GBTRegressor, ("boosting", "classification"): GBTClassifier}
 
 
@@ -68,21 +75,26 @@ def importances(spark: SparkSession, model, features: list[str]) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)], "feature STRING, importance DOUBLE")
 
 
-def permutation_importance(model, df: DataFrame, features: list[str], repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Mean rise of the squared error when one feature is dealt anew among the rows, by shuffled row numbers."""
-    from pyspark.ml.evaluation import RegressionEvaluator
+def permutation_importance(model, df: DataFrame, features: list[str], repeats: int = 10, seed: int = 42, block: int = 10_000, order: tuple[str, ...] = ("series", "ts")) -> DataFrame:
+    """Mean rise of the squared error when one feature is dealt anew among the rows.
 
-    judge = RegressionEvaluator(metricName="mse")
-    base, rows = judge.evaluate(model.transform(df)), []
-    numbered = df.select(*features, "label").withColumn("_n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    Rows are put into blocks of about `block` by a hash of their place in `order`; within a block values go to the row whose hash comes next to their own in a second order, so every block is one task's work and a lost one is redone alike. All repeats of a feature are one job."""
+    rows = df.select(*features, "label", F.xxhash64(*order).alias("_h"))
+    blocks = max(1, rows.count() // block)
+    rows = rows.withColumn("_b", F.pmod("_h", F.lit(blocks)))
+    error = F.avg((F.col("prediction") - F.col("label")) * (F.col("prediction") - F.col("label")))
+    vector = VectorAssembler(inputCols=features, outputCol="x")
+    base = model.transform(vector.transform(rows)).agg(error.alias("e")).first()["e"]
+    found = None
     for f in features:
-        rise = 0.0
-        for i in range(repeats):
-            other = numbered.select(F.col(f).alias("_f")).withColumn("_n", F.row_number().over(Window.orderBy(F.rand(seed + i))))
-            dealt = numbered.join(other, "_n").withColumn(f, F.col("_f")).drop("_f")
-            rise += judge.evaluate(model.transform(VectorAssembler(inputCols=features, outputCol="x").transform(dealt))) - base
-        rows.append((f, rise / repeats))
-    return df.sparkSession.createDataFrame(rows, "feature STRING, importance DOUBLE")
+        many = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+        mixed = many.withColumn("_k", F.xxhash64("_h", "_r", F.lit(seed)))
+        part = Window.partitionBy("_r", "_b")
+        numbered = mixed.withColumn("_i", F.row_number().over(part.orderBy("_h"))).withColumn("_j", F.row_number().over(part.orderBy("_k", "_h")))
+        dealt = numbered.drop(f).join(numbered.select("_r", "_b", F.col("_j").alias("_i"), f), ["_r", "_b", "_i"])
+        one = model.transform(vector.transform(dealt)).agg((error - base).alias("importance")).select(F.lit(f).alias("feature"), "importance")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def linear_svm(train: DataFrame, reg: float = 1.0):

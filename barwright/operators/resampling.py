@@ -1,6 +1,6 @@
 """Bootstrap and permutation tests, parallel over replicates.
 
-Draws come from a generator seeded by (seed, replicate), so a lost task redoes the same ones. The returns of a series go as one array to the tasks that share its replicates, and none to the driver."""
+Draws are hashes of (seed, replicate, place), so a lost task redoes the same ones, and any engine can. The returns of a series go as one array to the tasks that share its replicates, and none to the driver."""
 
 from __future__ import annotations
 
@@ -16,6 +16,23 @@ _HELD = 1_000_000
 _CAP = 999.99
 
 
+_MASK = 2**31 - 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 31 bits over 31 bits."""
+    for _ in range(2):
+        x = x ^ (x >> 16)
+        x = (x * 73_244_475) & _MASK
+    return x ^ (x >> 16)
+
+
+def hashes(replicates: list[int], n: int, seed: int) -> np.ndarray:
+    """A row for each replicate: hashes of the places 0 to n - 1."""
+    own = _mixed((np.array(replicates, dtype=np.int64) * 2_654_435 + seed) & _MASK)
+    return _mixed((own[:, None] + np.arange(n, dtype=np.int64)[None] * 40_503) & _MASK)
+
+
 def _metrics(r: np.ndarray, periods: int) -> dict[str, np.ndarray]:
     """Of each row of r."""
     sd = r.std(axis=1, ddof=1) if r.shape[1] > 1 else np.zeros(len(r))
@@ -35,7 +52,7 @@ METRICS = ("sharpe", "profit_factor", "win_rate", "max_drawdown", "total_return"
 
 
 def replicates(df: DataFrame, draw, n: int, seed: int, periods: int, columns: list[str], order: list[str], keys: list[str] | None = None, real=None) -> DataFrame:
-    """keys, replicate and metrics of n resamples for each series (rows with the same keys); draw(values, rng) gives one resample's returns. If there is a real, real(values) is replicate -1."""
+    """keys, replicate and metrics of n resamples for each series (rows with the same keys); draw(values, hashes) gives the returns of the resamples that rows of hashes stand for. If there is a real, real(values) is replicate -1."""
     keys = keys or []
     line = F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))))
     vectors = df.groupBy(*keys).agg(line.alias("v")).where(F.size("v") > 0).select(*keys, *(F.col("v").getField(f"c{i}").alias(f"c{i}") for i in range(len(columns))))
@@ -52,8 +69,7 @@ def replicates(df: DataFrame, draw, n: int, seed: int, periods: int, columns: li
                 step = max(1, _HELD // len(v))
                 for at in range(0, len(todo), step):
                     some = todo[at : at + step]
-                    r = np.stack([draw(v, np.random.default_rng((seed, b))) for b in some])
-                    yield pd.DataFrame({k: [row[k]] * len(some) for k in keys} | {"replicate": some} | _metrics(r, periods))
+                    yield pd.DataFrame({k: [row[k]] * len(some) for k in keys} | {"replicate": some} | _metrics(draw(v, hashes(some, len(v), seed)), periods))
 
     kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
     return rows.mapInPandas(run, kinds + "replicate BIGINT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
@@ -61,7 +77,7 @@ def replicates(df: DataFrame, draw, n: int, seed: int, periods: int, columns: li
 
 def bootstrap(df: DataFrame, r: str = "r", order: list[str] | None = None, n: int = 10_000, seed: int = 42, confidence: float = 0.95, periods: int = 252, keys: list[str] | None = None) -> DataFrame:
     """keys, metric, mean, sd, low, high, significant (0 is outside) over resamples with replacement of each series."""
-    reps = replicates(df, lambda v, g: v[g.integers(0, len(v), len(v)), 0], n, seed, periods, [r], order or [r], keys)
+    reps = replicates(df, lambda v, h: v[h % len(v), 0], n, seed, periods, [r], order or [r], keys)
     return interval(reps, confidence, keys)
 
 
@@ -77,8 +93,8 @@ def permutation(df: DataFrame, predicted: str, actual: str, order: list[str], n:
     """keys, metric, real, mean, sd, z, p_value (one-sided by the side of the real value), significant, against shuffled predictions of each series."""
     keys = keys or []
 
-    def draw(v: np.ndarray, g: np.random.Generator) -> np.ndarray:
-        return np.sign(g.permutation(v[:, 0])) * v[:, 1]
+    def draw(v: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.sign(v[np.argsort(h, axis=1, kind="stable"), 0]) * v[:, 1]
 
     reps = replicates(df, draw, n, seed, periods, [predicted, actual], order, keys, lambda v: np.sign(v[:, 0]) * v[:, 1])
     rows = reps.select(*keys, "replicate", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select(*keys, "replicate", "x.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import rolling as R
-from barwright.operators import align, backtest, consensus, costs, features, learning, metrics, processes, regimes, resampling, robustness, rules, stats
+from barwright.operators import align, backtest, consensus, costs, features, learning, metrics, processes, regimes, robustness, rules, stats
 from barwright.plans.bar_queries import ADX_CTE, BARS, DAILY, N, ROW, Query, W, bars, bars_sql, daily, full, over, pos_sql, r9, s9, z_sql
 
 NAMES = ["mean_ratio", "z", "pos", "ret"]
@@ -355,19 +355,6 @@ SELECT series, round(regr_slope(ln(rs), ln(lag)), 6) + 0 AS hurst, round(regr_r2
 # ---- backtest, resampling, models
 
 
-def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.run(bars(spark, sf_dir), costs.spread_table(spark), backtest.Config(bars_per_day=6))
-
-
-def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.trades(backtest_rows(spark, sf_dir))
-
-
-def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = backtest_rows(spark, sf_dir)
-    return metrics.trade_metrics(backtest.trades(rows), backtest.equity(rows), 100_000.0)
-
-
 def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = backtest.prepared(bars(spark, sf_dir), costs.spread_table(spark), backtest.Config())
     return df.select("series", "ts", r9("atr").alias("atr"), "spread", F.col("signal").cast("int").alias("signal"))
@@ -377,16 +364,6 @@ SIGNALS = f"""WITH {ADX_CTE}, g AS (SELECT series, ts, lag(atr, 1) {ROW} AS atr,
 SELECT series, ts, {s9("atr")} AS atr, CAST(1.5 AS DOUBLE) AS spread, CASE WHEN hour(ts) IN (21, 22, 23) OR (isodow(ts) = 5 AND hour(ts) >= 17) OR n < 20 THEN 0 WHEN r1 > 0 AND r5 > 0 THEN 1 WHEN r1 < 0 AND r5 < 0 THEN -1 ELSE 0 END AS signal FROM g"""
 
 
-def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = returns(spark, sf_dir).withColumn("r", F.col("r") / 10)
-    return resampling.bootstrap(r, "r", ["ts"], keys=["series"])
-
-
-def permutation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = wide(spark, sf_dir).where(F.col("z").isNotNull() & F.col("target").isNotNull()).withColumn("target", F.col("target") / 100)
-    return resampling.permutation(df, "z", "target", ["ts"], keys=["series"])
-
-
 def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = align.ratio_split(wide(spark, sf_dir).na.drop("any", subset=[*NAMES, "target"]))
     x = learning.assembled(df, NAMES, "target")
@@ -394,34 +371,14 @@ def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return train, test
 
 
-def linear_rows(kind: str, alpha: float = 1.0):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        train, test = model_table(spark, sf_dir)
-        model, _ = learning.linear(train, test, kind, alpha)
-        return learning.coefficients(spark, model, NAMES)
-
-    return query
-
-
-def pca_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.principal_components(model_table(spark, sf_dir)[0], 4)[1]
-
-
 def tree_rows(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        model = learning.trees(model_table(spark, sf_dir)[0], kind, "regression", 10, 4)
+        model = learning.trees(model_table(spark, sf_dir)[0], kind)
         return learning.importances(spark, model, NAMES)
 
     return query
 
 
-def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = wide(spark, sf_dir)
-    pairs = stats.correlation_pairs(df, NAMES)
-    found = df.agg(*(F.var_pop(c).alias(c) for c in NAMES)).first()
-    return learning.feature_clusters(pairs, found.asDict(), 2)
-
-
 def sensitivity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of 9, 10 and 11 bars against the next return, each judged by its neighbours."""
     w, x = W(), F.col("close")
@@ -527,15 +484,6 @@ QUERIES: dict[str, Query] = {
     "variance_ratio": (lambda s, d: rounded(processes.random_walk(bars(s, d))), WALK),
     "hurst": (lambda s, d: rounded(processes.hurst(bars(s, d), high=40), 6), HURST),
     "backtest_signals": (signal_rows, SIGNALS),
-    "backtest_trades": (backtest_trades, None),
-    "backtest_metrics": (backtest_metrics, None),
-    "bootstrap_ci": (bootstrap_rows, None),
-    "permutation_p": (permutation_rows, None),
-    "ols": (linear_rows("ols"), None),
-    "ridge": (linear_rows("ridge"), None),
-    "lasso": (linear_rows("lasso", 0.001), None),
-    "pca": (pca_rows, None),
     "forest_importance": (tree_rows("forest"), None),
     "boosting_importance": (tree_rows("boosting"), None),
-    "feature_clusters": (cluster_rows, None),
 }

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import rolling as R
-from barwright.operators import align, consensus, costs, features, metrics, normalise, regimes, robustness, rules, stats
+from barwright.operators import align, consensus, costs, features, metrics, normalise, robustness, rules, stats
 from barwright.plans import analysis_queries as A
 from barwright.plans.analysis_queries import PEARSON, RULE_NAMES, SCORES, SPREAD_CTE, long_sql, p_sql, rounded, scores, screened
-from barwright.plans.bar_queries import ADX_CTE, BARS, BY, DAILY, N, OHLCV_SQL, ROW, Query, W, bars, bars_sql, daily, full, ntz, over, pos_sql, r9, read, s9, z_sql
+from barwright.plans.bar_queries import BARS, BY, DAILY, N, OHLCV_SQL, ROW, Query, W, bars, bars_sql, daily, full, ntz, over, pos_sql, r9, read, s9, z_sql
 from barwright.sources import bars as B
 
 FEATURED = f"f AS (SELECT series, ts, close, {z_sql('close', N)} AS z, {pos_sql('close', N)} AS pos, close / lag(close, 1) {ROW} - 1 AS ret FROM bars)"
