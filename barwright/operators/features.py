@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -46,6 +46,7 @@ def feature_name(op: str, n: int, x: str) -> str:
     return f"{op}__{x}" if op in R.PLAIN else f"{op}_{n}__{x}"
 
 
+# The formulas of the ratios, differences and means below.
 def candle_ratios() -> dict[str, Column]:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     span = h - l
@@ -103,20 +104,32 @@ class FeaturePlan:
     def level5(self) -> list[str]:
         return list(calendar())
 
+    def lookback(self) -> int:
+        """Bars before a bar that its features need, exponential averages apart."""
+        reach = [1, 2]
+        reach += [max(self.windows, default=0)] if 1 in self.levels else []
+        reach += [max(KEY_WINDOWS)] if 2 in self.levels else []
+        reach += [n + m + 2 for _, n, _, m in COMPOSITIONS] if 3 in self.levels else []
+        reach += [n for pair in FAST_SLOW for n in pair] if 4 in self.levels else []
+        return max(reach)
+
     def names(self) -> list[str]:
         return [x for level in self.levels for x in getattr(self, f"level{level}")()]
 
 
-def add_features(bars: DataFrame, plan: FeaturePlan | None = None) -> DataFrame:
-    """bars with every feature of the plan. Bars are dealt out by series once; all windows share that exchange and its sort."""
+def add_features(bars: DataFrame, plan: FeaturePlan | None = None, block_rows: int | None = None) -> DataFrame:
+    """bars with every feature of the plan. Bars are dealt out by series once; all windows share that exchange and its sort. With block_rows, series are cut into blocks of so many bars, each with the bars before it that the windows look back to, so that one series is many tasks."""
     plan = plan or FeaturePlan()
+    if block_rows is not None:
+        from barwright.plans.blocks import in_blocks
+
+        names, keys = plan.names(), (*plan.keys, "_block")
+        cut = in_blocks(with_needed_emas(bars, plan), block_rows, plan.lookback(), plan.keys, plan.order[0])
+        made = add_features(cut, replace(plan, keys=keys)).where(~F.col("_halo"))
+        return made.select(*bars.columns, *names)
     require(bars, [*plan.keys, *plan.order, *OHLCV])
     w = R.series_window(plan.keys, plan.order)
-    df = bars
-    emas = {(x, n) for x in plan.variables for n in plan.windows} if 1 in plan.levels else set()
-    emas |= {("close", 20)} if 3 in plan.levels else set()
-    emas |= {("close", n) for pair in FAST_SLOW for n in pair} if 4 in plan.levels else set()
-    df = with_emas(df, {f"ema_{n}__{x}": (x, n) for x, n in sorted(emas)}, plan.keys, plan.order) if emas else df
+    df = with_needed_emas(bars, plan)
     first: dict[str, Column] = {}
     if 1 in plan.levels:
         first |= {feature_name(op, n, x): R.WINDOWED[op](F.col(x), n, w) for x in plan.variables for op in plan.operators for n in plan.windows}
@@ -143,6 +156,15 @@ def add_features(bars: DataFrame, plan: FeaturePlan | None = None) -> DataFrame:
     return batched(df, second).select(*bars.columns, *plan.names())
 
 
+def with_needed_emas(bars: DataFrame, plan: FeaturePlan) -> DataFrame:
+    """bars with the exponential averages that the plan's levels use and bars don't have yet."""
+    emas = {(x, n) for x in plan.variables for n in plan.windows} if 1 in plan.levels else set()
+    emas |= {("close", 20)} if 3 in plan.levels else set()
+    emas |= {("close", n) for pair in FAST_SLOW for n in pair} if 4 in plan.levels else set()
+    wanted = {f"ema_{n}__{x}": (x, n) for x, n in sorted(emas) if f"ema_{n}__{x}" not in bars.columns}
+    return with_emas(bars, wanted, plan.keys, plan.order) if wanted else bars
+
+
 def batched(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     items = list(columns.items())
     for i in range(0, len(items), BATCH):

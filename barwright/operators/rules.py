@@ -18,6 +18,7 @@ def first_match(name: Column, cases: list[tuple[tuple[str, ...], object]], defau
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+# The parts of names that component_type and threshold look for, in this order.
 def component_type(name: Column) -> Column:
     return first_match(name, [(("Pos",), "position"), (("minus", "-"), "difference"), (("div", "/"), "ratio"), (("times", "*"), "product"), (("R_1",), "immediate momentum"), (("R",), "momentum"), (("sigma", "σ"), "volatility"), (("mu", "μ"), "mean")], "complex")
 

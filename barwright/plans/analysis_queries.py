@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -343,10 +345,11 @@ LOGS = f"{BARS}, r AS (SELECT * FROM (SELECT series, ts, ln(close / lag(close, 1
 GBM = f"WITH {LOGS}, f AS (SELECT series, avg(r) AS m, var_pop(r) AS v, count(r) AS n FROM r GROUP BY 1) SELECT series, {s9('m + v / 2')} AS drift, {s9('sqrt(v)')} AS volatility, {s9('m - 1.96 * sqrt(v / n)')} AS low, {s9('m + 1.96 * sqrt(v / n)')} AS high FROM f"
 JUMPS = f"""WITH {LOGS}, m AS (SELECT series, r, abs(r - avg(r) OVER (PARTITION BY series)) > 2 * stddev_pop(r) OVER (PARTITION BY series) AS j FROM r)
 SELECT series, count(*) FILTER (j) AS n_jumps, count(*) FILTER (j AND r > 0) AS n_up, count(*) FILTER (j AND r < 0) AS n_down, {s9("count(*) FILTER (j) / count(*)")} AS share, {s9("avg(CASE WHEN j THEN abs(r) END)")} AS mean_size FROM m GROUP BY 1"""
+_chi = lambda x, k: f"least(list_sum(list_transform(range(401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(sqrt(({x}) / 2) + i * 0.025, {k - 1}) * exp(-pow(sqrt(({x}) / 2) + i * 0.025, 2)))) * {0.025 / 3 * 2 / math.gamma(k / 2)!r}, 1)"
 WALK = f"""WITH {BARS}, d AS (SELECT series, ts, row_number() {ROW} AS i, close - lag(close, 1) {ROW} AS d, close - lag(close, 5) {ROW} AS dk FROM bars), v AS (SELECT series, var_pop(CASE WHEN (i - 1) % 5 = 0 THEN dk END) / (5 * var_pop(d)) AS variance_ratio FROM d GROUP BY 1),
 c AS (SELECT series, ts, d - avg(d) OVER (PARTITION BY series) AS c FROM d WHERE d IS NOT NULL), p AS (SELECT series, c, {", ".join(f"lag(c, {j}) OVER (PARTITION BY series ORDER BY ts) AS c{j}" for j in range(1, 11))} FROM c),
 s AS (SELECT series, count(c) AS n, {", ".join(f"sum(c * c{j}) / sum(c * c) AS a{j}" for j in range(1, 11))} FROM p GROUP BY 1)
-SELECT series, {s9("variance_ratio")} AS variance_ratio, {s9("a1")} AS autocorrelation, {", ".join(f"{s9('n * (n + 2) * (' + ' + '.join(f'a{j} * a{j} / (n - {j})' for j in range(1, m + 1)) + ')')} AS q_{m}" for m in (1, 5, 10))} FROM s JOIN v USING (series)"""
+SELECT series, {s9("variance_ratio")} AS variance_ratio, {s9("a1")} AS autocorrelation, {", ".join(f"{s9('n * (n + 2) * (' + ' + '.join(f'a{j} * a{j} / (n - {j})' for j in range(1, m + 1)) + ')')} AS q_{m}" for m in (1, 5, 10))}, {", ".join(f"{s9(_chi('n * (n + 2) * (' + ' + '.join(f'a{j} * a{j} / (n - {j})' for j in range(1, m + 1)) + ')', m))} AS p_{m}" for m in (1, 5, 10))} FROM s JOIN v USING (series)"""
 HURST = f"""WITH {LOGS}, n AS (SELECT series, r, row_number() {ROW} - 1 AS i FROM r), x AS (SELECT series, r, i, g.range AS lag, i // g.range AS chunk FROM n, range(2, 40) g), f AS (SELECT *, avg(r) OVER c AS m, count(*) OVER c AS k FROM x WINDOW c AS (PARTITION BY series, lag, chunk)),
 y AS (SELECT series, lag, chunk, r, sum(r - m) OVER (PARTITION BY series, lag, chunk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM f WHERE k = lag), q AS (SELECT series, lag, (max(y) - min(y)) / nullif(stddev_pop(r), 0) AS rs FROM y GROUP BY series, lag, chunk), b AS (SELECT series, lag, avg(rs) AS rs FROM q WHERE rs > 0 GROUP BY 1, 2)
 SELECT series, round(regr_slope(ln(rs), ln(lag)), 6) + 0 AS hurst, round(regr_r2(ln(rs), ln(lag)), 6) + 0 AS r2 FROM b GROUP BY 1"""
@@ -441,6 +444,23 @@ TENSOR = f"""WITH {bars_sql("1 hour")}, r AS (SELECT *, close / lag(close, 1) {R
 SELECT a.ts, round(a.c, 4) + 0 AS first_click, round(b.c, 4) + 0 AS first_error, {s9("a.y")} AS y FROM k a JOIN k b ON a.ts = b.ts AND a.series = 'click' AND b.series = 'error'"""
 
 
+def wavelet_sql(levels: int = 6) -> str:
+    """Level by level: each value and its images beyond the ends, times the filters."""
+    size = len(processes.DB4)
+    taps = "tp AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for k, (a, b) in enumerate(zip(reversed(processes.DB4), [v * (-1) ** (k + 1) for k, v in enumerate(processes.DB4)], strict=True))) + ") t(k, lo, hi))"
+    steps, energies = [f"l0 AS (SELECT series, row_number() {ROW} - 1 AS i, close AS v, count(*) OVER (PARTITION BY series) AS n FROM bars)"], []
+    for j in range(1, levels + 1):
+        steps.append(f"p{j} AS (SELECT series, v, n, i AS p FROM l{j - 1} WHERE n >= {size} UNION ALL SELECT series, v, n, -i - 1 FROM l{j - 1} WHERE n >= {size} AND i < {size - 1} UNION ALL SELECT series, v, n, 2 * n - 1 - i FROM l{j - 1} WHERE n >= {size} AND i >= n - {size - 1}), d{j} AS (SELECT series, (p - 1 + k) // 2 AS i, (n + {size - 1}) // 2 AS n, sum(lo * v) AS v, sum(hi * v) AS d FROM p{j}, tp WHERE (p - 1 + k) % 2 = 0 AND p - 1 + k >= 0 AND (p - 1 + k) // 2 < (n + {size - 1}) // 2 GROUP BY 1, 2, 3), l{j} AS (SELECT series, i, v, n FROM d{j})")
+        energies += [f"SELECT series, {j} AS level, sum(d * d) AS energy FROM d{j} GROUP BY 1", f"SELECT series, 0, sum(v * v) FROM l{j - 1} WHERE n < {size} GROUP BY 1"]
+    energies.append(f"SELECT series, 0, sum(v * v) FROM l{levels} GROUP BY 1")
+    return f"WITH {BARS}, {taps}, {', '.join(steps)}, en AS ({' UNION ALL '.join(energies)}) SELECT series, level, round(energy, 7) + 0 AS energy, round(energy / sum(energy) OVER (PARTITION BY series), 7) + 0 AS share FROM en"
+
+
+LYAPUNOV = f"""WITH {BARS}, e AS (SELECT series, row_number() {ROW} - 1 AS i, close AS a, lead(close, 1) {ROW} AS b, lead(close, 2) {ROW} AS c, lead(close, 10) {ROW} AS la, lead(close, 11) {ROW} AS lb, lead(close, 12) {ROW} AS lc FROM bars), p AS (SELECT * FROM e WHERE lc IS NOT NULL), n AS (SELECT series, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 10), ch AS (SELECT DISTINCT series, CAST(floor(range * n / 50) AS BIGINT) AS i FROM n, range(50)), q AS (SELECT p.* FROM p JOIN ch USING (series, i)),
+m AS (SELECT q.series, q.i AS q, arg_min(struct_pack(d := sqrt(pow(q.a - p.a, 2) + pow(q.b - p.b, 2) + pow(q.c - p.c, 2)), later := sqrt(pow(q.la - p.la, 2) + pow(q.lb - p.lb, 2) + pow(q.lc - p.lc, 2))), struct_pack(d := sqrt(pow(q.a - p.a, 2) + pow(q.b - p.b, 2) + pow(q.c - p.c, 2)), i := p.i)) AS x FROM q JOIN p ON p.series = q.series AND abs(p.i - q.i) > 3 GROUP BY 1, 2)
+SELECT s.series, round(avg(CASE WHEN x.d > 1e-12 AND x.later > 1e-12 THEN ln(x.later / x.d) / 10 END), 7) + 0 AS exponent FROM (SELECT DISTINCT series FROM bars) s LEFT JOIN m USING (series) GROUP BY 1"""
+
+
 QUERIES: dict[str, Query] = {
     "parameter_sensitivity": (sensitivity_rows, SENSITIVITY),
     "temporal_stability": (temporal_rows, TEMPORAL),
@@ -448,8 +468,8 @@ QUERIES: dict[str, Query] = {
     "regime_gate": (gate_rows, GATE),
     "histogram": (histogram_rows, HISTOGRAM),
     "series_tensor": (tensor_rows, TENSOR),
-    "wavelet_energy": (lambda s, d: processes.wavelet_energy(bars(s, d)), None),
-    "lyapunov": (lambda s, d: processes.lyapunov(bars(s, d)), None),
+    "wavelet_energy": (lambda s, d: rounded(processes.wavelet_energy(bars(s, d)), 7), wavelet_sql()),
+    "lyapunov": (lambda s, d: rounded(processes.lyapunov(bars(s, d)), 7), LYAPUNOV),
     "ic_pearson": (ic(["feature"], [], "pearson"), ic_sql(["feature"], "series", "pearson")),
     "ic_spearman": (ic(["feature"], [], "spearman"), ic_sql(["feature"], "series", "spearman")),
     "ic_by_series": (ic(["series", "feature"], ["series"], "spearman"), ic_sql(["series", "feature"], "series", "spearman")),

@@ -325,6 +325,20 @@ def emas(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMAS = f"WITH RECURSIVE {BARS}, {ema_cte(list(features.WINDOWS))} SELECT series, ts, feature, round(value, 7) + 0 AS value FROM (SELECT series, ts, {', '.join(f'e{n} AS ema_{n}' for n in features.WINDOWS)} FROM e) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(f'ema_{n}' for n in features.WINDOWS)}))"
 
 
+def level3(spark: SparkSession, sf_dir: str, block_rows: int | None = None) -> DataFrame:
+    plan = features.FeaturePlan(levels=(3,))
+    return stats.long(features.add_features(bars(spark, sf_dir), plan, block_rows), plan.level3(), ["series", "ts"]).select("series", "ts", "feature", F.round("value", 7).alias("value"))
+
+
+def level3_sql() -> str:
+    inner, outer = {}, {}
+    one = lambda op, x, n: f"{x} - lag({x}, 1) {ROW}" if op == "d1" else f"{x} - 2 * lag({x}, 1) {ROW} + lag({x}, 2) {ROW}" if op == "d2" else OPS[op](x, n)
+    for a, n, b, m in features.COMPOSITIONS:
+        inner[f"{b}_{m}"] = f"e{m}" if b == "ema" else OPS[b]("close", m)
+        outer[features.feature_name(a, n, f"{b}_{m}__close")] = one(a, f"{b}_{m}", n)
+    return f"WITH RECURSIVE {BARS}, {ema_cte([20])}, be AS (SELECT bars.*, e20 FROM bars JOIN e USING (series, ts)), k AS (SELECT series, ts, {', '.join(f'{v} AS {c}' for c, v in inner.items())} FROM be), w AS (SELECT series, ts, {', '.join(f'{v} AS {c}' for c, v in outer.items())} FROM k) SELECT series, ts, feature, round(value, 7) + 0 AS value FROM (FROM w UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(outer)})))"
+
+
 QUERIES: dict[str, Query] = {
     "backtest_trades": (lambda s, d: six(backtest.trades(result(s, d)).select(*TRADE)), TRADES),
     "backtest_equity": (lambda s, d: six(backtest.equity(result(s, d))), EQUITY),
@@ -344,5 +358,7 @@ QUERIES: dict[str, Query] = {
     "level1_ranks": (ranks, RANKS),
     "level1_emas": (emas, EMAS),
     "level2_all": (level2, LEVEL2),
+    "level3_all": (level3, level3_sql()),
+    "level3_blocked": (lambda s, d: level3(s, d, 128), level3_sql()),
     "level4_all": (level4, LEVEL4),
 }
