@@ -121,7 +121,7 @@ def add_features(bars: DataFrame, plan: FeaturePlan | None = None, block_rows: i
     """bars with every feature of the plan. Bars are dealt out by series once; all windows share that exchange and its sort. With block_rows, series are cut into blocks of so many bars, each with the bars before it that the windows look back to, so that one series is many tasks."""
     plan = plan or FeaturePlan()
     if block_rows is not None:
-        from barwright.plans.blocks import in_blocks
+        from barwright.functions.blocks import in_blocks
 
         names, keys = plan.names(), (*plan.keys, "_block")
         cut = in_blocks(with_needed_emas(bars, plan), block_rows, plan.lookback(), plan.keys, plan.order[0])

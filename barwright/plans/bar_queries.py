@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions import rolling as R
 from barwright.functions.ema import with_ema
 from barwright.operators import align, features, normalise, regimes
-from barwright.plans.blocks import by_blocks
+from barwright.functions.blocks import by_blocks
 from barwright.sources import bars as B
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]

@@ -247,3 +247,27 @@ def test_stream_equals_batch(spark, tmp_path):
     a = spark.table("bars_out").orderBy("series", "ts").toPandas()
     b = B.tick_bars(events, "4 hours", F.col("series"), F.col("price"), F.col("volume"), F.col("ts"), F.struct("ts", "order")).orderBy("series", "ts").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_emas_over_blocks_and_groups(spark, monkeypatch):
+    import random
+    from datetime import datetime, timedelta
+
+    from barwright.functions import ema
+
+    monkeypatch.setattr(ema, "BLOCK", 7)
+    monkeypatch.setattr(ema, "GROUP", 3)
+    g = random.Random(1)
+    rows = [(s, datetime(2024, 1, 1) + timedelta(hours=i), None if i < 4 or g.random() < 0.2 else g.random(), g.random()) for s in ("a", "b") for i in range(200)] + [("c", datetime(2024, 1, 1), None, 1.0)]
+    df = spark.createDataFrame(rows, "series STRING, ts TIMESTAMP, x DOUBLE, y DOUBLE")
+    specs = {"x1": ("x", 1), "x5": ("x", 5), "y20": ("y", 20)}
+    got = {(r.series, r.ts): r for r in ema.with_emas(df, specs).collect()}
+    assert len(got) == len(rows)
+    for out, (name, n) in specs.items():
+        held = {}
+        for s, ts, x, y in rows:
+            v, a = (x if name == "x" else y), 2 / (n + 1)
+            if v is not None:
+                held[s] = v if s not in held else a * v + (1 - a) * held[s]
+            value = got[s, ts][out]
+            assert value is None if s not in held else abs(value - held[s]) < 1e-9
