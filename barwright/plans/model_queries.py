@@ -319,10 +319,10 @@ def emas(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barwright.functions.ema import with_emas
 
     df = with_emas(bars(spark, sf_dir), {f"ema_{n}": ("close", n) for n in features.WINDOWS})
-    return stats.long(df, [f"ema_{n}" for n in features.WINDOWS], ["series", "ts"]).select("series", "ts", "feature", F.round(F.col("value") + 1.2e-11, 9).alias("value"))
+    return stats.long(df, [f"ema_{n}" for n in features.WINDOWS], ["series", "ts"]).select("series", "ts", "feature", F.round(F.col("value") + 1.23456789e-11, 9).alias("value"))
 
 
-EMAS = f"WITH RECURSIVE {BARS}, {ema_cte(list(features.WINDOWS))} SELECT series, ts, feature, round(value + 1.2e-11, 9) + 0 AS value FROM (SELECT series, ts, {', '.join(f'e{n} AS ema_{n}' for n in features.WINDOWS)} FROM e) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(f'ema_{n}' for n in features.WINDOWS)}))"
+EMAS = f"WITH RECURSIVE {BARS}, {ema_cte(list(features.WINDOWS))} SELECT series, ts, feature, round(value + 1.23456789e-11, 9) + 0 AS value FROM (SELECT series, ts, {', '.join(f'e{n} AS ema_{n}' for n in features.WINDOWS)} FROM e) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(f'ema_{n}' for n in features.WINDOWS)}))"
 
 
 def level3(spark: SparkSession, sf_dir: str, block_rows: int | None = None) -> DataFrame:
