@@ -267,3 +267,14 @@ def run_summary(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("se
     """Rows, features, values and megabytes of each series' table."""
     n = F.count(F.lit(1))
     return df.groupBy(*keys).agg(n.alias("n_rows"), F.lit(len(features)).cast("bigint").alias("n_features"), (n * len(features)).alias("n_values"), (n * len(features) * 8 / 1e6).alias("megabytes"))
+
+
+def tensor_4d(samples: DataFrame, series: list[str], target_series: str) -> DataFrame:
+    """ts, x (series, then rows, then columns, in the given order of series) and y, of the times at which all series have a sample."""
+    made = series_tensor(samples, series, target_series)
+    return made.withColumn("x", F.array(*(F.col("x")[s] for s in series)))
+
+
+def matrix(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """A row's columns as one array of float, of rows without gaps."""
+    return df.na.drop("any", subset=columns).select(*keys, *order, F.array(*(F.col(c).cast("float") for c in columns)).alias("x"))

@@ -126,3 +126,23 @@ def redundancy(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) ->
     names = pairs.select(F.col("a").alias("feature")).union(pairs.select("b")).distinct()
     gone = redundant(pairs, {r["feature"]: r["score"] for r in scores.collect()}, threshold)  # features, not rows
     return names.withColumn("kept", ~F.col("feature").isin(*gone) if gone else F.lit(True))
+
+
+def closeness(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """node, reached, closeness of the graph of pairs with |r| above the threshold: the share of nodes that it reaches, over their mean distance in steps. A round for each step of the longest distance; the graph is of features, not rows."""
+    pairs = pairs.sparkSession.createDataFrame(pairs.collect(), "a STRING, b STRING, r DOUBLE")  # pairs of features: the rows are read once
+    edges = pairs.where(F.abs("r") > threshold).select("a", "b")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    seen = frontier = nodes.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).alias("steps"))
+    steps = 0
+    while True:
+        steps += 1
+        reached = frontier.join(both, F.col("target") == F.col("a")).select("source", F.col("b").alias("target")).distinct()
+        frontier = reached.join(seen, ["source", "target"], "left_anti").withColumn("steps", F.lit(steps))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    total = nodes.agg(F.count(F.lit(1)).alias("n"))
+    out = seen.groupBy(F.col("source").alias("node")).agg((F.count(F.lit(1)) - 1).alias("reached"), F.sum("steps").alias("far"))
+    return out.join(F.broadcast(total)).select("node", "reached", F.coalesce(F.try_divide(F.col("reached") * F.col("reached"), F.col("far") * (F.col("n") - 1)), F.lit(0.0)).alias("closeness"))  # total is one row

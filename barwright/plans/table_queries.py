@@ -538,6 +538,35 @@ g AS (SELECT feature, CAST(p < 0.01 AS INTEGER) AS a, CAST(w2.lo > 0 OR w2.hi <
 SELECT feature, a AS passes_forward, b AS passes_interval, c AS passes_permutation, d AS passes_years, a + b + c + d AS n_passed, CAST(a + b + c + d >= 3 AS INTEGER) AS is_valid FROM g"""
 
 
+def network_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = stats.correlation_pairs(A.wide(spark, sf_dir), ["mean_ratio", "z", "pos", "ret", "volume"])
+    return stats.closeness(pairs, 0.5).withColumn("closeness", r9("closeness"))
+
+
+CLOSENESS = f"""WITH RECURSIVE {BARS}, {A.COMPLETE}, p AS ({A.PAIR_ROWS}), u AS (SELECT a, b FROM p WHERE abs(r) > 0.5), e AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), nd AS (SELECT DISTINCT a AS node FROM p UNION SELECT b FROM p),
+wk AS (SELECT node AS source, node AS target, 0 AS steps FROM nd UNION SELECT source, b, steps + 1 FROM wk JOIN e ON target = a WHERE steps < 5), d AS (SELECT source, target, min(steps) AS steps FROM wk GROUP BY 1, 2)
+SELECT source AS node, count(*) - 1 AS reached, {s9("coalesce((count(*) - 1) * (count(*) - 1) / nullif(sum(steps) * ((SELECT count(*) FROM nd) - 1), 0), 0)")} AS closeness FROM d GROUP BY 1"""
+
+
+def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of samples of three series side by side, and the return of one of them."""
+    df = bars(spark, sf_dir).withColumn("r", R.ret(F.col("close"), 1, W())).where(F.col("r").isNotNull())
+    t = features.tensor_4d(features.sequences(df, ["close", "volume"], 4, 1, 1, F.col("r")), ["click", "error", "purchase"], "error")
+    return t.select("ts", F.size("x").cast("bigint").alias("n_series"), *(F.round(F.col("x")[i][j][0].cast("double"), 4).alias(f"x_{i}_{j}") for i in range(3) for j in (0, 3)), r9("y").alias("y"))
+
+
+TENSORS = f"""WITH {BARS}, r AS (SELECT *, close / lag(close, 1) {ROW} - 1 AS r FROM bars), f AS (SELECT * FROM r WHERE r IS NOT NULL), s AS (SELECT series, ts, row_number() {ROW} AS n, lag(close, 3) {ROW} AS c0, close AS c3, lead(r, 1) {ROW} AS y FROM f), k AS (SELECT * FROM s WHERE n >= 4 AND y IS NOT NULL)
+SELECT a.ts, CAST(3 AS BIGINT) AS n_series, {", ".join(f"round({t}.c{j}, 4) + 0 AS x_{i}_{j}" for i, t in enumerate("abc") for j in (0, 3))}, {s9("b.y")} AS y FROM k a JOIN k b ON a.ts = b.ts AND a.series = 'click' AND b.series = 'error' JOIN k c ON c.ts = a.ts AND c.series = 'purchase'"""
+
+
+def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = features.matrix(featured(spark, sf_dir), ["z", "pos", "ret"])
+    return m.select("series", "ts", *(F.round(F.col("x")[i].cast("double"), 3).alias(f"x_{i}") for i in range(3)))
+
+
+MATRICES = f"WITH {BARS}, {FEATURED} SELECT series, ts, {', '.join(f'round({c}::FLOAT::DOUBLE, 3) + 0 AS x_{i}' for i, c in enumerate(('z', 'pos', 'ret')))} FROM f WHERE z IS NOT NULL AND pos IS NOT NULL AND ret IS NOT NULL"
+
+
 QUERIES: dict[str, Query] = {
     "scan_ohlcv_csv": (csv_bars, f"WITH {BARS} SELECT series, ts, {OHLCV_SQL} FROM bars"),
     "scan_ohlcv_timeframe": (lambda s, d: csv_bars(s, d, "H4"), f"WITH {BARS} SELECT series, 'H4' AS timeframe, ts, {OHLCV_SQL} FROM bars"),
@@ -591,4 +620,7 @@ QUERIES: dict[str, Query] = {
     "forward_decline": (decline, DECLINE),
     "forward_verdict": (verdict, VERDICT),
     "four_gates": (gates, GATES),
+    "network_closeness": (network_closeness, CLOSENESS),
+    "tensor_4d": (tensors, TENSORS),
+    "matrix_2d": (matrices, MATRICES),
 }
