@@ -17,29 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from barwright.llm.common import per_batch, table, texts_of
 from barwright.llm.tokens import PieceCache
 
-#: A step contracts, in every word, the leftmost pair of least rank, and further ones of that rank up to the first whose neighbours then make a lesser pair, which must come before them. So the ids are those of one pair at a time, whatever a word's length, and a long word takes fewer steps.
+#: Characters whose new pieces are contracted by one query, as a query takes a while to start and to go round.
+BATCH_CHARS = 1_000_000
+#: A step contracts, in every word, all occurrences of its pair of least rank, from the left and without overlap (run: how many occurrences stand right before a place): the ids are those of one pair at a time, the leftmost first, whatever the word's length. For a contraction makes no lesser pair that another occurrence is needed for: a token of lower rank that spans both would have been contracted from its own bytes by then. That holds where pairs of no greater rank make every token from its own bytes, which Engine.check makes sure of.
 STEP = """
 WITH RECURSIVE s(w, pos, id) USING KEY (w, pos) AS (
   SELECT w, pos, id FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN goes THEN least WHEN prv_goes THEN -1 ELSE id END
+  SELECT w, pos, CASE WHEN rank = least AND run % 2 = 0 THEN least WHEN run % 2 = 1 THEN CAST(-1 AS INTEGER) ELSE id END
   FROM (
-    SELECT w, pos, id, least, goes, coalesce(lag(goes) OVER q, false) AS prv_goes
+    SELECT *, n - 1 - coalesce(max(CASE WHEN rank = least THEN NULL ELSE n END) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
     FROM (
-      SELECT y.w, y.pos, y.id, y.least, taken AND pos <= coalesce(min(CASE WHEN a.rank < least OR b.rank < least THEN pos END) OVER (PARTITION BY w), pos) AS goes
-      FROM (
-        SELECT *, CASE WHEN lag(taken, 2) OVER q THEN least ELSE prv END AS lft
-        FROM (
-          SELECT *, coalesce(rank = least AND (n - coalesce(max(CASE WHEN rank = least THEN NULL ELSE n END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1, false) AS taken
-          FROM (
-              SELECT x.*, m.rank, min(m.rank) OVER (PARTITION BY w) AS least
-              FROM (SELECT *, lead(id) OVER p AS nxt, lead(id, 2) OVER p AS nxt2, lag(id) OVER p AS prv, row_number() OVER p AS n FROM s WHERE id >= 0 WINDOW p AS (PARTITION BY w ORDER BY pos)) x
-              LEFT JOIN merges m ON m.l = x.id AND m.r = x.nxt)
-          WHERE least IS NOT NULL)
-        WINDOW q AS (PARTITION BY w ORDER BY pos)) y
-      LEFT JOIN merges a ON taken AND a.l = y.lft AND a.r = y.least
-      LEFT JOIN merges b ON taken AND b.l = y.least AND b.r = y.nxt2)
-    WINDOW q AS (PARTITION BY w ORDER BY pos)))
+      SELECT x.*, m.rank, min(m.rank) OVER (PARTITION BY w) AS least
+      FROM (SELECT *, lead(id) OVER p AS nxt, row_number() OVER p AS n FROM s WHERE id >= 0 WINDOW p AS (PARTITION BY w ORDER BY pos)) x
+      LEFT JOIN merges m ON m.l = x.id AND m.r = x.nxt)
+    WHERE least IS NOT NULL))
 SELECT w, pos, id FROM s WHERE id >= 0 ORDER BY w, pos
 """
 
@@ -66,9 +58,9 @@ class Engine:
 
         ranks = read_ranks(path)
         self.whole = ranks
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="barwright-bpe-")})
-        l, r, rank = (pa.array(x, pa.int64()) for x in zip(*merge_rows(ranks), strict=True))
+        l, r, rank = (pa.array(x, pa.int32()) for x in zip(*merge_rows(ranks), strict=True))
         self._put("merges", pa.table({"l": l, "r": r, "rank": rank}))
         self._put("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int64()), "token": pa.array(ranks.keys(), pa.binary())}))
         self.cache = PieceCache(self.encode)
@@ -83,19 +75,31 @@ class Engine:
         raw = [x.encode("utf-8", "replace") for x in pieces]
         out: list = [[self.whole[x]] if x in self.whole else None for x in raw]
         which = [i for i, x in enumerate(out) if x is None]
-        if not which:
-            return out
-        size = np.array([len(raw[i]) for i in which], dtype=np.int64)
-        w = np.repeat(np.arange(len(which)), size)
-        pos = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        self._put("start", pa.table({"w": w, "pos": pos, "id": self.byte[np.frombuffer(b"".join(raw[i] for i in which), dtype=np.uint8)]}))
-        found = self.db.execute(STEP).fetchnumpy()
-        cuts = np.searchsorted(found["w"], np.arange(len(which) + 1))
-        ids = found["id"].astype(np.uint32)
-        for k, i in enumerate(which):
-            out[i] = ids[cuts[k] : cuts[k + 1]].tolist()
+        for i, ids in zip(which, self.contracted([raw[i] for i in which]), strict=True):
+            out[i] = ids
         return out
 
+    def _start(self, words: list[bytes], numbers: np.ndarray) -> None:
+        size = np.array(list(map(len, words)), dtype=np.int64)
+        pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self._put("start", pa.table({"w": np.repeat(numbers, size).astype(np.int32), "pos": pos.astype(np.int32), "id": self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]}))
+
+    def contracted(self, words: list[bytes]) -> list[list[int]]:
+        if not words:
+            return []
+        self._start(words, np.arange(len(words)))
+        found = self.db.execute(STEP).fetchnumpy()
+        cuts = np.searchsorted(found["w"], np.arange(len(words) + 1)).tolist()
+        ids = found["id"].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def check(self) -> None:
+        """Every token's bytes are contracted to that token by pairs of no greater rank; a token's rank is its word's number here."""
+        self._start(list(self.whole), np.array(list(self.whole.values()), dtype=np.int64))
+        found = self.db.execute(STEP.replace("m.r = x.nxt", "m.r = x.nxt AND m.rank <= x.w")).fetchnumpy()
+        if len(found["id"]) != len(self.whole) or (found["id"] != found["w"]).any():
+            raise ValueError("the vocabulary has tokens that lesser merges do not make")
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The bytes of each text's ids, put together in the order of their places."""
         n = len(at) - 1
@@ -120,13 +124,21 @@ def engine(path: str) -> Engine:
     return Engine(path)
 
 
+@functools.lru_cache(maxsize=8)
+def checked(path: str) -> str:
+    Engine(path).check()
+    return path
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: n_tokens, ids_sha256, decoded_sha256 and, with keep, ids (array of int) and decoded (binary)."""
     fields = [(id_col, docs.schema[id_col].dataType.simpleString()), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     fields += [("ids", "array<int>"), ("decoded", "binary")] if keep else []
 
+    path = checked(vocabulary)
+
     def make():
-        db = engine(vocabulary)
+        db = engine(path)
 
         def work(batch: pa.RecordBatch) -> pa.Table:
             ids, at = db.cache(texts_of(batch))
@@ -145,7 +157,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep: bool = True, id_col: s
 
         return work
 
-    return docs.selectExpr(f"`{id_col}`", f"`{text_col}` AS text").mapInArrow(per_batch(make), ", ".join(f"`{n}` {t}" for n, t in fields))
+    return docs.selectExpr(f"`{id_col}`", f"`{text_col}` AS text").mapInArrow(per_batch(make, BATCH_CHARS), ", ".join(f"`{n}` {t}" for n, t in fields))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
