@@ -10,10 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import regex
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barwright.llm import bitsliced, forest, langid, packing, passages, secrets, setjoin, textcodes, toxicity
+from barwright.llm import bitsliced, forest, langid, packing, setjoin, textcodes, toxicity
 
 WORDS = [a + b + c for a in ("ba", "ke", "lo", "mi", "nu") for b in ("ra", "te", "so", "vi", "du") for c in ("n", "s", "l", "")]
 

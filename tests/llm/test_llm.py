@@ -486,11 +486,18 @@ def test_bpe_is_the_library(docs, texts):
 def test_long_pieces_contract_alike():
     path, g = str(P.path("byte_bpe_50k.tiktoken")), random.Random(2)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    every = ["".join(g.choice(s) for _ in range(n)) for s in ("ab", "abcdeinrst", "=-", "é中a") for n in (49, 120, 400)]
+    every = ["".join(g.choice(s) for _ in range(n)) for s in ("a", "ab", "abcdeinrst", "=-", "é中a", "the rin") for n in (20, 49, 400, 3000)]
     pieces = [p for t in every for p in regex.findall(P.PATTERN, t)]
     assert bpe.engine(path).encode(pieces) == [enc.encode_ordinary(p) for p in pieces]
 
 
+def test_vocabularies_that_their_merges_do_not_make_are_refused(tmp_path):
+    odd = {bytes([b]): b for b in range(256)} | {b"aba": 256, b"ab": 257}
+    (tmp_path / "odd.tiktoken").write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in odd.items()))
+    with pytest.raises(ValueError, match="do not make"):
+        bpe.checked(str(tmp_path / "odd.tiktoken"))
+
+
 # ---- 7 and 8
 
 
