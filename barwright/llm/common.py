@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Characters that a Python worker handles at once; a longer single text is a batch of its own.
 CHUNK_CHARS = 400_000
 #: Bytes that Spark sends to a Python worker at once.
-SENT_BYTES = 8 << 20
+SENT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,23 +51,32 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow: make() runs once a task and gives what turns a batch into rows."""
+def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]], chars: int = CHUNK_CHARS) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: make() runs once a task and gives what turns a batch, of about so many characters, into rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in by_chars(batch):
+            for part in by_chars(batch, chars):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        give_back()
 
     return run
 
 
-def by_chars(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a column named text of about CHUNK_CHARS bytes each; a batch without one as it is."""
-    return by_bytes(batch, "text", CHUNK_CHARS) if "text" in batch.schema.names else iter([batch] if batch.num_rows else [])
+def give_back() -> None:
+    """Lets the system have what a worker, which lives on for other tasks, has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def by_chars(batch: pa.RecordBatch, chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a column named text of about so many bytes each; a batch without one as it is."""
+    return by_bytes(batch, "text", chars) if "text" in batch.schema.names else iter([batch] if batch.num_rows else [])
 
 
 def by_bytes(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:

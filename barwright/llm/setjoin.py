@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.llm import textcodes
-from barwright.llm.common import fresh, per_batch, sifted, stored, table, texts_of
+from barwright.llm.common import fresh, give_back, per_batch, sifted, stored, table, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -221,6 +221,7 @@ def compare_buckets(buckets: DataFrame, threshold: float, partitions: int) -> Da
             held = whole.slice(cut)
         if held is not None and held.num_rows:
             yield from groups(held)
+        give_back()
 
     def groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()

@@ -52,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     back = np.uint64(pow(int(_BASE), -1, 1 << 64))
     out = []
@@ -65,7 +65,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of values[start:end] that doesn't depend on where the span stands."""
-    size = 1 << max(10, int(len(values)).bit_length())
+    size = 1 << max(20, int(len(values)).bit_length())  # one size for all but the longest texts
     up, down = _powers(size)
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], dtype=np.uint64, out=sums[1:])

@@ -11,6 +11,8 @@ import numpy as np
 from barwright.llm import textcodes
 from barwright.llm.common import expand
 
+#: Pieces that are kept where encoding one takes little.
+KEPT_PIECES = 200_000
 #: Longer pieces aren't kept.
 KEPT_CHARS = 200
 
@@ -18,7 +20,7 @@ KEPT_CHARS = 200
 class PieceCache:
     """Ids by piece. encode: from pieces to lists of ids. After `most` pieces it starts anew, which bounds its memory and changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_500_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
@@ -89,7 +91,7 @@ class LibraryIds:
             letters = (x.encode("utf-8", "replace").decode("latin-1").translate(table) for x in pieces)
             return [[token.id for token in model.tokenize(x)] for x in letters]
 
-        self.cache = PieceCache(encode)
+        self.cache = PieceCache(encode, KEPT_PIECES)
 
     def largest(self) -> int:
         return max(self.whole.get_vocab(with_added_tokens=True).values(), default=0)
