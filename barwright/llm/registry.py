@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bitsliced, bpe, forest, langid, packing, passages, secrets, setjoin, toxicity
+from barwright.llm import bitsliced, bpe, exact, forest, langid, merkle, packing, passages, secrets, setjoin, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.op8_language_id,
         "op9_substring_dedup": passages.op9_substring_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_exact_dedup": exact.op13_exact_dedup,
     }
 
 
