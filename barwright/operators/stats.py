@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.operators.comoments import correlations
+
 
 def long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     """feature, value rows of a wide table."""
@@ -85,11 +87,8 @@ def binned_mutual_information(rows: DataFrame, by: list[str], bins: int = 10) ->
 
 
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """a, b, r for every pair of features (a before b in the list), from one aggregation of products over complete rows."""
-    rows = df.na.drop("any", subset=features)
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    one = rows.agg(*(pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
+    """a, b, r for every pair of features (a before b in the list) over complete rows, in one pass by blocks of the co-moment matrix, so that hundreds of features are one plan."""
+    return correlations(df, features).select("a", "b", "r")
 
 
 def network(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:

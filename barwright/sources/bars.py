@@ -117,6 +117,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/barwright/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that what reads it several times computes it once and lost executors cost nothing of it."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discovered(spark: SparkSession, root: str, timeframe: str | None = None) -> DataFrame:
     """name, kind of the tables <name>[_<timeframe>].parquet and .csv under root, files or folders; Parquet where there are both. Only paths are read."""
     paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
