@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -10,7 +11,6 @@ from barwright.llm.common import expand
 
 #: Stands after each text of a batch.
 END = 0x110000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 LETTER, NUMBER, SPACE, OTHER, STOP = 0, 1, 2, 3, 4
 #: Code points with the Unicode property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -52,24 +52,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    back = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    out = []
-    for base in (_BASE, back):
-        p = np.full(n + 1, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+#: Values of a span that are hashed in step with other spans; a longer span is hashed by itself.
+LONG = 256
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] that doesn't depend on where the span stands."""
-    size = 1 << max(20, int(len(values)).bit_length())  # one size for all but the longest texts
-    up, down = _powers(size)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], dtype=np.uint64, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of values[start:end] that doesn't depend on where the span stands. Each value is mixed into what those before it gave by steps that no sum undoes; spans of more than LONG values are hashed by BLAKE2."""
+    n = ends - starts
+    order = np.argsort(np.minimum(n, LONG + 1).astype(np.uint16), kind="stable")
+    size, at = n[order], starts[order]
+    data = values.astype(np.uint64)
+    h = mixed(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+    last = int(np.searchsorted(size, LONG, side="right"))
+    for k in range(int(size[last - 1]) if last else 0):
+        first = int(np.searchsorted(size[:last], k, side="right"))
+        some = h[first:last]
+        some ^= data[at[first:last] + k]
+        some *= np.uint64(0xFF51AFD7ED558CCD)
+        some ^= some >> np.uint64(32)
+    for i in range(last, len(h)):
+        h[i] = int.from_bytes(hashlib.blake2b(data[at[i] : at[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    out = np.empty_like(h)
+    out[order] = mixed(h)
+    return out
+
+
+def unlike(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Numbers of the spans of values that differ from the spans of others beside them."""
+    n = ends - starts
+    same = n == other_ends - other_starts
+    i = np.flatnonzero(same)
+    off = values[expand(starts[i], n[i])] != others[expand(other_starts[i], n[i])]
+    if not off.any():
+        return np.flatnonzero(~same)
+    same[i[np.unique(np.repeat(np.arange(len(i)), n[i])[off])]] = False
+    return np.flatnonzero(~same)
 
 
 def words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -18,10 +18,10 @@ KEPT_CHARS = 200
 
 
 class PieceCache:
-    """Ids by piece. encode: from pieces to lists of ids. After `most` pieces it starts anew, which bounds its memory and changes no result."""
+    """Ids by piece. encode: from pieces to lists of ids. Pieces are found by hash and compared by content. After `most` pieces it starts anew, which bounds its memory and changes no result."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_500_000) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 1_500_000, hash_of=textcodes.span_hash) -> None:
+        self.encode, self.most, self.hash = encode, most, hash_of
         self.clear()
 
     def clear(self) -> None:
@@ -32,6 +32,21 @@ class PieceCache:
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
         self.n = 0
+        self.codes = np.zeros(1 << 16, dtype=np.int32)  # code points of the pieces that hashes lead to
+        self.coded = 0
+        self.code_starts = np.zeros(0, dtype=np.int64)  # beside hashes, as code_ends
+        self.code_ends = np.zeros(0, dtype=np.int64)
+
+    def _keep(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, numbers: np.ndarray, at: np.ndarray) -> None:
+        """Lets hashes lead to numbers from now on; at: where they stand among those that do."""
+        n = ends - starts
+        while self.coded + int(n.sum()) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+        upto = self.coded + np.cumsum(n)
+        self.codes[self.coded : self.coded + int(n.sum())] = code[expand(starts, n)]
+        self.coded += int(n.sum())
+        self.hashes, self.numbers = np.insert(self.hashes, at, hashes), np.insert(self.numbers, at, numbers)
+        self.code_starts, self.code_ends = np.insert(self.code_starts, at, upto - n), np.insert(self.code_ends, at, upto)
 
     def _add(self, found: list) -> np.ndarray:
         """Stores lists of ids; their numbers."""
@@ -56,22 +71,29 @@ class PieceCache:
         if self.n > self.most:
             self.clear()
         code, starts, ends, first = textcodes.pieces(texts)
-        hashes, one, back = np.unique(textcodes.span_hash(code, starts, ends), return_index=True, return_inverse=True)
+        hashes, one, back = np.unique(self.hash(code, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, hashes)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == hashes[known]
+        met = np.flatnonzero(known)
+        # a hash only leads to a piece: what is taken for it has its content
+        other = met[textcodes.unlike(code, starts[one[met]], ends[one[met]], self.codes, self.code_starts[at[met]], self.code_ends[at[met]])]
         place = np.full(len(hashes), -1, dtype=np.int64)
         place[known] = self.numbers[at[known]]
+        place[other] = -1
+        whole = None
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            a, b = starts[one[missing]], ends[one[missing]]
             whole = "\x00".join(texts)
-            new = [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            place[missing] = got = self._add(self.encode(new))
-            kept = b - a <= KEPT_CHARS
-            self.hashes = np.insert(self.hashes, at[missing[kept]], hashes[missing[kept]])
-            self.numbers = np.insert(self.numbers, at[missing[kept]], got[kept])
+            a, b = starts[one[missing]], ends[one[missing]]
+            place[missing] = got = self._add(self.encode([whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
+            kept = (b - a <= KEPT_CHARS) & ~known[missing]
+            self._keep(code, a[kept], b[kept], hashes[missing[kept]], got[kept], at[missing[kept]])
         place = place[back]
+        odd = textcodes.unlike(code, starts, ends, code, starts[one[back]], ends[one[back]])
+        if len(odd):
+            whole = whole or "\x00".join(texts)
+            place[odd] = self._add(self.encode([whole[x:y] for x, y in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]))
         lengths = self.lengths[place]
         ids = self.ids[expand(self.starts[place], lengths)]
         return ids, np.concatenate([[0], np.cumsum(lengths)])[first]
