@@ -33,7 +33,7 @@ BESIDE = 23
 #: Min-hashes that split: two functions on either side.
 SIDES = 4
 #: Bytes of tokens, on one side, of the pairs that are verified at once.
-PAIR_BYTES = 1 << 20
+PAIR_BYTES = 2 << 20
 #: Documents, at least four a partition, that ranges are chosen by.
 SAMPLED_DOCS = 5_000
 
@@ -291,7 +291,7 @@ def regions(links: DataFrame, min_words: int, size: int, agree: int) -> DataFram
 
 
 def token_slices(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """d, lo, hi, tokens (the low 32 bits of each shingle's hash) of the asked parts of texts."""
+    """d, lo, hi, tokens (the hash of each shingle) of the asked parts of texts."""
     by_doc = asked.groupBy("d").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
     some, _ = sifted(docs.selectExpr("cast(doc_id AS bigint) AS _id", "text"), "_id", asked.select(F.col("d").alias("id")))
     joined = some.join(by_doc, F.col("_id") == F.col("d")).select("d", "parts", "text")
@@ -299,14 +299,13 @@ def token_slices(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.Table:
             tokens, at = shingle_lists(texts_of(batch), size)
-            small = tokens.astype(np.uint32)
             parts = batch.column(1)
             flat = parts.flatten()
             lo, hi = (flat.field(i).to_numpy() for i in range(2))
             row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
             a = np.minimum(at[row] + lo, at[row + 1])
             b = np.minimum(at[row] + hi + 1, at[row + 1])
-            raw = [small[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            raw = [tokens[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             return pa.table({"d": batch.column(0).take(pa.array(row)), "lo": lo, "hi": hi, "tokens": pa.array(raw, pa.binary())})
 
         return work
@@ -345,7 +344,8 @@ def verified_pairs(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndar
     The longest stretch of x with enough of y's tokens comes first, then those beside it. The Jaccard similarity of the sets alone decides. As all misses may be on one side, a stretch is first chosen as if the other side had none; where it falls short, the purer ones in it are tried. All pairs are worked on at once, one stretch of each in a round."""
     sizes = np.diff(x_at), np.diff(y_at)
     n = len(sizes[0])
-    keys = np.concatenate([np.repeat(np.arange(n, dtype=np.uint64), s) << np.uint64(32) | t for s, t in zip(sizes, (x, y), strict=True)])
+    _, short = np.unique(np.concatenate([x, y]), return_inverse=True)  # numbers of the tokens of this batch
+    keys = np.concatenate([np.repeat(np.arange(n, dtype=np.uint64), s) for s in sizes]) << np.uint64(32) | short.astype(np.uint64)
     every, number = np.unique(keys, return_inverse=True)
     pair_of = (every >> np.uint64(32)).astype(np.int64)
     of_x, of_y = number[: len(x)], number[len(x) :]
@@ -410,8 +410,8 @@ def verified(asked: DataFrame, docs: DataFrame, min_words: int, size: int, thres
             for i in (4, 5):
                 raw = batch.column(i)
                 at = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-                tokens.append(np.frombuffer(raw.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(raw) and at[-1] > at[0] else b"", dtype=np.uint32))
-                offsets.append((at - at[0]) // 4)
+                tokens.append(np.frombuffer(raw.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(raw) and at[-1] > at[0] else b"", dtype=np.uint64))
+                offsets.append((at - at[0]) // 8)
             out = verified_pairs(tokens[0], offsets[0], tokens[1], offsets[1], least, threshold)
             if len(out):
                 i, a, b, c, d = out.T
