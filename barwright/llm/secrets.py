@@ -1,6 +1,6 @@
 """Secret scans with structural confirmation.
 
-Patterns give the base findings. Beyond them, base64 and hex candidates are decoded and their contents parsed: private keys in DER (nested lengths), OpenSSH keys (length-prefixed fields), PEM blocks around either, and the header of a signed token. Only what parses is reported.
+Patterns give the base findings. Beyond them, base64 and hex candidates are decoded and their contents parsed: private keys in DER (nested lengths), OpenSSH keys (length-prefixed fields), PEM blocks around either, base64 of such blocks, and the header of a signed token. A key's own lengths say where it ends. Only what parses is reported.
 
 A null text is an empty one and has no findings. Rows are independent, so repeated rows repeat their findings, and an empty table gives no rows. Findings with the same start stand in the order of their kinds; columns other than the id and the text take no part. Texts are scanned whole, in time in proportion to their length."""
 
@@ -11,7 +11,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +30,13 @@ PEM_END = re.compile(r"\\r\\n|\\n|\\r|\r\n|\r|\n")
 PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[^\r\n]*")
 PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]+")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}")
-#: A key may go on over lines.
-BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,})(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: Where a key in base64 may begin: the sign of a DER sequence, or OpenSSH's name; and a base64 text that may hold PEM lines.
+BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,})")
+BASE64_TEXT = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{60,}")
+#: Base64 goes on over line ends (as they are, or as JSON escapes them) and through indentation.
+SIGNS = re.compile(r"[A-Za-z0-9+/_-]+")
+LINE = re.compile(r"[ \t]*(?:\r\n|\r|\n|\\r\\n|\\n)[ \t]*")
+PADDING = re.compile(r"={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{58,}|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]7631[0-9A-Fa-f]{60,})")
 OPENSSH = b"openssh-key-v1\x00"
 
@@ -144,6 +149,96 @@ def key_kind(data: bytes | None) -> str | None:
     return "openssh" if is_openssh(data) else "der" if is_private_der(data) else None
 
 
+def signs(text: str, start: int, most: int | None = None) -> tuple[str, int]:
+    """Up to `most` base64 signs from start on, over lines, and where they end."""
+    parts, have, at = [], 0, start
+    while (m := SIGNS.match(text, at)) and (most is None or have < most):
+        part = m[0] if most is None else m[0][: most - have]
+        parts.append(part)
+        have, end = have + len(part), m.start() + len(part)
+        line = LINE.match(text, m.end())
+        if not line or (have == most):
+            return "".join(parts), end
+        at = line.end()
+    return "".join(parts), end if parts else start
+
+
+def der_length(head: bytes) -> tuple[int, int] | None:
+    """Of a sequence, by its first bytes: where its contents start, and its length with them."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    n = head[1]
+    if n < 0x80:
+        return 2, 2 + n
+    size = n & 0x7F
+    if not 1 <= size <= 4 or len(head) < 2 + size:
+        return None
+    return 2 + size, 2 + size + int.from_bytes(head[2 : 2 + size], "big")
+
+
+def openssh_length(first: Callable[[int], bytes]) -> int | None:
+    """Length by the fields' lengths; first(n) gives the first n bytes, or as many as there are."""
+    at = len(OPENSSH)
+    fields = 3
+    for _ in range(2):
+        for _ in range(fields):
+            head = first(at + 4)
+            if len(head) < at + 4:
+                return None
+            at += 4 + int.from_bytes(head[at : at + 4], "big")
+        if fields == 3:
+            head = first(at + 4)
+            fields, at = int.from_bytes(head[at : at + 4], "big") + 1, at + 4
+            if len(head) < at or not 2 <= fields <= 65:
+                return None
+    return at
+
+
+def key_at(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of the key in base64 that begins at start. Its own lengths say where it ends, so that what follows, on the same line or the next ones, has no part; but no base64 sign may follow at once."""
+
+    def first(n: int) -> bytes:
+        return (decoded(signs(text, start, (n * 8 + 5) // 6)[0]) or b"")[:n]
+
+    head = first(9)
+    if head.startswith(OPENSSH[:9]):
+        n = openssh_length(first)
+    else:
+        found = der_length(head)
+        if not found or head[found[0] : found[0] + 2] != b"\x02\x01":
+            return None
+        n = found[1]
+    if n is None:
+        return None
+    body, end = signs(text, start, (n * 8 + 5) // 6)
+    data = decoded(body)
+    kind = key_kind(data[:n]) if data and len(data) >= n else None
+    end = PADDING.match(text, end).end()
+    return (kind, end) if kind and not SIGNS.match(text, end) else None
+
+
+def keys_in_base64(text: str) -> list[tuple[int, int, int]]:
+    out, at = [], 0
+    while m := BASE64_KEY.search(text, at):
+        found = key_at(text, m.start())
+        if found:
+            out.append((m.start(), KINDS.index(found[0]), found[1]))
+        at = found[1] if found else m.end()
+    return out
+
+
+def wrapped_pem(text: str) -> list[tuple[int, int, int]]:
+    """Base64 texts whose contents hold PEM keys, up to the last one's end."""
+    out, at = [], 0
+    while m := BASE64_TEXT.search(text, at):
+        body, at = signs(text, m.start())
+        data = decoded(body[: len(body) - (len(body) % 4 == 1)])
+        if data and b"-----BEGIN " in data and (found := pem_spans(data.decode("latin-1"))):
+            body, end = signs(text, m.start(), (found[-1][2] * 8 + 5) // 6)
+            out.append((m.start(), KINDS.index("pem"), PADDING.match(text, end).end()))
+    return out
+
+
 def is_pem(label: str, body: str) -> bool:
     """Base64, after header lines if there are any, that parses as a key, as an encrypted key if the label says so, or is a cipher text by its header."""
     lines = PEM_END.sub("\n", body).strip().split("\n")
@@ -189,12 +284,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         out += pem_spans(text)
     if "eyJ" in text:
         out += [(a, 4, b) for a, b in signed_tokens(text) if is_signed_token(text[a:b])]
-    for m in BASE64_KEY.finditer(text):
-        whole, line = m[0], m[0].split("\n", 1)[0].rstrip("\r")
-        for x in (whole, line) if line != whole else (whole,):  # what comes on the next line need not belong to it
-            if kind := key_kind(decoded("".join(x.split()))):
-                out.append((m.start(), KINDS.index(kind), m.start() + len(x)))
-                break
+    out += keys_in_base64(text) + wrapped_pem(text)
     out += [(m.start(), KINDS.index(kind), m.end()) for m in HEX_KEY.finditer(text) if (kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])))]
     return out
 
