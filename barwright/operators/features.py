@@ -186,6 +186,15 @@ def theoretical_counts(series: int = 1) -> dict[str, int]:
     return out | {"level6": series * (series - 1) // 2 * 40}
 
 
+def counted_levels(bars: DataFrame) -> DataFrame:
+    """level, n of theoretical_counts for the series that bars have."""
+    n = F.count_distinct("series").cast("bigint")
+    one = bars.agg(n.alias("_s"))
+    pairs = F.expr("_s * (_s - 1) div 2 * 40")
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), (pairs if k == "level6" else F.lit(v).cast("bigint")).alias("n")) for k, v in theoretical_counts().items()))
+    return one.select(F.explode(levels).alias("x")).select("x.*")
+
+
 def estimated_bytes(features: int, bars: int = 31_000) -> int:
     return features * bars * 8
 

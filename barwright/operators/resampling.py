@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Replicates that a task makes.
@@ -48,11 +48,17 @@ def _metrics(r: np.ndarray, periods: int) -> dict[str, np.ndarray]:
     }
 
 
+def mean_of(v: str, n: str) -> Column:
+    """Mean of a metric's replicates. Win rates are whole numbers of the n returns, and are added as such, so that their mean is exact."""
+    wins = F.sum(F.round(F.col(v) * F.col(n)).cast("bigint")) / (F.max(n) * F.count(F.lit(1)))
+    return F.when(F.col("metric") == "win_rate", wins).otherwise(F.avg(v))
+
+
 METRICS = ("sharpe", "profit_factor", "win_rate", "max_drawdown", "total_return", "annual_return")
 
 
 def replicates(df: DataFrame, draw, n: int, seed: int, periods: int, columns: list[str], order: list[str], keys: list[str] | None = None, real=None) -> DataFrame:
-    """keys, replicate and metrics of n resamples for each series (rows with the same keys); draw(values, hashes) gives the returns of the resamples that rows of hashes stand for. If there is a real, real(values) is replicate -1."""
+    """keys, replicate, size (returns of the series) and metrics of n resamples for each series (rows with the same keys); draw(values, hashes) gives the returns of the resamples that rows of hashes stand for. If there is a real, real(values) is replicate -1."""
     keys = keys or []
     line = F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))))
     vectors = df.groupBy(*keys).agg(line.alias("v")).where(F.size("v") > 0).select(*keys, *(F.col("v").getField(f"c{i}").alias(f"c{i}") for i in range(len(columns))))
@@ -65,14 +71,14 @@ def replicates(df: DataFrame, draw, n: int, seed: int, periods: int, columns: li
                 v = np.stack([np.asarray(row[f"c{i}"], dtype=float) for i in range(len(columns))], axis=1)
                 todo = list(range(row["block"] * BLOCK, min((row["block"] + 1) * BLOCK, n)))
                 if real is not None and row["block"] == 0:
-                    yield pd.DataFrame({k: [row[k]] for k in keys} | {"replicate": [-1]} | _metrics(real(v)[None], periods))
+                    yield pd.DataFrame({k: [row[k]] for k in keys} | {"replicate": [-1], "size": [len(v)]} | _metrics(real(v)[None], periods))
                 step = max(1, _HELD // len(v))
                 for at in range(0, len(todo), step):
                     some = todo[at : at + step]
-                    yield pd.DataFrame({k: [row[k]] * len(some) for k in keys} | {"replicate": some} | _metrics(draw(v, hashes(some, len(v), seed)), periods))
+                    yield pd.DataFrame({k: [row[k]] * len(some) for k in keys} | {"replicate": some, "size": [len(v)] * len(some)} | _metrics(draw(v, hashes(some, len(v), seed)), periods))
 
     kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return rows.mapInPandas(run, kinds + "replicate BIGINT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
+    return rows.mapInPandas(run, kinds + "replicate BIGINT, size BIGINT, " + ", ".join(f"{m} DOUBLE" for m in METRICS))
 
 
 def bootstrap(df: DataFrame, r: str = "r", order: list[str] | None = None, n: int = 10_000, seed: int = 42, confidence: float = 0.95, periods: int = 252, keys: list[str] | None = None) -> DataFrame:
@@ -84,22 +90,22 @@ def bootstrap(df: DataFrame, r: str = "r", order: list[str] | None = None, n: in
 def interval(reps: DataFrame, confidence: float, keys: list[str] | None = None) -> DataFrame:
     tail = (1 - confidence) / 2
     keys = keys or []
-    rows = reps.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select(*keys, "x.*")
-    out = rows.groupBy(*keys, "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.lit(tail)).alias("low"), F.percentile("v", F.lit(1 - tail)).alias("high"))
+    rows = reps.select(*keys, "size", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select(*keys, "size", "x.*")
+    out = rows.groupBy(*keys, "metric").agg(mean_of("v", "size").alias("mean"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.lit(tail)).alias("low"), F.percentile("v", F.lit(1 - tail)).alias("high"))
     return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 def permutation(df: DataFrame, predicted: str, actual: str, order: list[str], n: int = 10_000, seed: int = 42, periods: int = 252, keys: list[str] | None = None) -> DataFrame:
-    """keys, metric, real, mean, sd, z, p_value (one-sided by the side of the real value), significant, against shuffled predictions of each series."""
+    """keys, metric, real, mean, sd, z, p_value (one-sided by the side of the real value), significant, against shuffled predictions of each series. Values are compared at nine decimals, so that a replicate with the real one's returns in another order is no less."""
     keys = keys or []
 
     def draw(v: np.ndarray, h: np.ndarray) -> np.ndarray:
         return np.sign(v[np.argsort(h, axis=1, kind="stable"), 0]) * v[:, 1]
 
     reps = replicates(df, draw, n, seed, periods, [predicted, actual], order, keys, lambda v: np.sign(v[:, 0]) * v[:, 1])
-    rows = reps.select(*keys, "replicate", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select(*keys, "replicate", "x.*")
+    rows = reps.select(*keys, "replicate", "size", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x")).select(*keys, "replicate", "size", "x.*")
     own = Window.partitionBy(*keys, "metric")
     rows = rows.withColumn("real", F.max(F.when(F.col("replicate") < 0, F.col("v"))).over(own)).where(F.col("replicate") >= 0)
-    out = rows.groupBy(*keys, "metric").agg(F.first("real").alias("real"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.avg((F.col("v") >= F.col("real")).cast("double")).alias("above"), F.avg((F.col("v") <= F.col("real")).cast("double")).alias("below"))
+    out = rows.groupBy(*keys, "metric").agg(F.first("real").alias("real"), mean_of("v", "size").alias("mean"), F.stddev_samp("v").alias("sd"), F.avg((F.round("v", 9) >= F.round("real", 9)).cast("double")).alias("above"), F.avg((F.round("v", 9) <= F.round("real", 9)).cast("double")).alias("below"))
     p = F.when(F.col("real") >= F.col("mean"), F.col("above")).otherwise(F.col("below"))
     return out.select(*keys, "metric", "real", "mean", "sd", F.try_divide(F.col("real") - F.col("mean"), "sd").alias("z"), p.alias("p_value"), (p < 0.05).alias("significant"))

@@ -207,21 +207,9 @@ SELECT *, {s9("n_pass / 5 * 100")} AS consensus_pct, CASE WHEN n_pass >= 4 THEN
 # ---- costs
 
 
-def spread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return costs.spread_table(spark)
-
-
 SPREAD_CTE = "sp AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {h}, {d}, CAST({(p := round(b * f * k, 1))} AS DOUBLE), CAST({round(p * costs.usd_per_pip(s), 2)} AS DOUBLE))" for s, k in costs.SERIES_FACTOR.items() for h, b in enumerate(costs.SPREAD_BY_HOUR) for d, f in enumerate(costs.WEEKDAY_FACTOR)) + ") t(pair, hour_utc, day_of_week, spread_pips, spread_usd_per_lot))"
 
 
-def spread_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = costs.spread_by_hour(costs.spread_table(spark))
-    return out.select("hour_utc", *(r9(str(d)).alias(f"d{d}") for d in range(5)))
-
-
-SPREAD_PIVOT = f"WITH {SPREAD_CTE} SELECT hour_utc, " + ", ".join(f"{s9(f'avg(CASE WHEN day_of_week = {d} THEN spread_pips END)')} AS d{d}" for d in range(5)) + " FROM sp GROUP BY 1"
-
-
 def spread_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bars(spark, sf_dir).withColumn("series", F.when(F.col("series") == "click", "EUR_USD").when(F.col("series") == "error", "USD_JPY").otherwise(F.col("series")))
     return costs.with_spread(df, costs.spread_table(spark)).select("series", "ts", "spread")
@@ -231,18 +219,6 @@ SPREAD_JOIN = f"""WITH {SPREAD_CTE}, {BARS}, b AS (SELECT CASE series WHEN 'clic
 SELECT series, ts, coalesce(spread_pips, 1.5) AS spread FROM b LEFT JOIN sp ON series = pair AND hour(ts) = hour_utc AND isodow(ts) - 1 = day_of_week"""
 
 
-def swap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A position of every series, direction, opening day and up to a week of nights."""
-    rates = costs.swap_rates(spark)
-    rows = rates.select("pair", F.explode(F.array(F.struct(F.lit("long").alias("direction"), F.col("swap_long").alias("rate")), F.struct(F.lit("short").alias("direction"), F.col("swap_short").alias("rate")))).alias("d")).select("pair", "d.*")
-    rows = rows.withColumn("open_day", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("nights", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return rows.select("pair", "direction", "open_day", "nights", costs.swap(F.col("rate"), F.lit(2.0), F.col("nights"), F.col("open_day")).alias("swap_usd"))
-
-
-SWAP = "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{d}', CAST({v} AS DOUBLE))" for k, ab in costs.SWAP.items() for d, v in zip(("long", "short"), ab, strict=True)) + """) t(pair, direction, rate)), g AS (SELECT *, CAST(d.range AS INTEGER) AS open_day, CAST(n.range AS INTEGER) AS nights FROM r, range(0, 5) d, range(0, 8) n)
-SELECT pair, direction, open_day, nights, round(rate * 2 * (nights + CASE WHEN (2 - open_day + 5) % 5 < nights THEN 2 ELSE 0 END), 2) + 0 AS swap_usd FROM g"""
-
-
 def slippage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = regimes.with_atr(bars(spark, sf_dir), W())
     df = df.withColumn("usual", F.avg("atr").over(Window.partitionBy("series")))
@@ -263,29 +239,6 @@ def rule_features(spark: SparkSession) -> DataFrame:
 RULE_CTE = "f AS (SELECT * FROM (VALUES ('mean_ratio', 0.016::DOUBLE, 'Long'), ('z', -0.028::DOUBLE, 'Long'), ('pos', -0.019::DOUBLE, 'Short'), ('ret', 0.021::DOUBLE, 'Short')) t(feature, ic, signal))"
 
 
-def weight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.weights(rule_features(spark)).select("feature", "signal", r9("weight").alias("weight"), r9("signed_weight").alias("signed_weight"))
-
-
-WEIGHTS = f"WITH {RULE_CTE} SELECT feature, signal, {s9('abs(ic) / sum(abs(ic)) OVER ()')} AS weight, {s9('CASE WHEN signal = ' + chr(39) + 'Short' + chr(39) + ' THEN -1 ELSE 1 END * abs(ic) / sum(abs(ic)) OVER ()')} AS signed_weight FROM f"
-
-RULE_NAMES = [("R_1_C", 0.016, "Long"), ("R_24_C_minus_R_96_C", 0.024, "Long"), ("Pos_20_C", -0.028, "Short"), ("sigma_10_C_div_sigma_50_C", -0.021, "Short"), ("hour_sin_times_R_4_C", 0.019, "Long"), ("Z_50_C", -0.012, "Long"), ("mu_20_C", 0.011, "Short")]
-
-
-def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.entry_rules(spark.createDataFrame(RULE_NAMES, "feature STRING, ic DOUBLE, signal STRING"))
-    return out.select("feature", "component", "operator", "threshold", rules.pattern(F.col("feature"), F.col("ic")).alias("pattern"), rules.period(F.col("feature")).alias("period"))
-
-
-_NAMES = ", ".join(f"('{a}', {b}::DOUBLE, '{c}')" for a, b, c in RULE_NAMES)
-RULES = f"""WITH f AS (SELECT * FROM (VALUES {_NAMES}) t(feature, ic, signal))
-SELECT feature, CASE WHEN contains(feature, 'Pos') THEN 'position' WHEN contains(feature, 'minus') OR contains(feature, '-') THEN 'difference' WHEN contains(feature, 'div') OR contains(feature, '/') THEN 'ratio' WHEN contains(feature, 'times') OR contains(feature, '*') THEN 'product' WHEN contains(feature, 'R_1') THEN 'immediate momentum' WHEN contains(feature, 'R') THEN 'momentum' WHEN contains(feature, 'sigma') THEN 'volatility' WHEN contains(feature, 'mu') THEN 'mean' ELSE 'complex' END AS component,
-CASE WHEN (ic > 0) = (signal = 'Long') THEN '>' ELSE '<' END AS operator,
-CAST(CASE WHEN contains(feature, 'Pos') THEN CASE WHEN ic > 0 THEN 0.7 ELSE 0.3 END WHEN contains(feature, 'R_1') THEN 0 WHEN contains(feature, 'minus') OR contains(feature, 'diff') THEN 0 WHEN contains(feature, 'div') OR contains(feature, 'ratio') THEN CASE WHEN contains(feature, 'sigma') THEN CASE WHEN ic > 0 THEN 1.2 ELSE 0.8 END ELSE 1 END WHEN contains(feature, 'sigma') THEN 0 WHEN contains(feature, 'Z') THEN CASE WHEN ic > 0 THEN 1 ELSE -1 END ELSE 0 END AS DOUBLE) AS threshold,
-CASE WHEN ic <= 0 AND regexp_matches(lower(feature), 'pos|z|rank') THEN 'mean reversion' WHEN ic > 0 AND regexp_matches(lower(feature), 'r|delta') THEN 'momentum' WHEN contains(lower(feature), 'sigma') THEN 'volatility' WHEN regexp_matches(lower(feature), 'hour|day|month') THEN 'seasonality' WHEN regexp_matches(lower(feature), 'minus|-|diff') THEN 'difference of scales' WHEN regexp_matches(lower(feature), 'div|/|ratio') THEN 'relative level' ELSE 'complex' END AS pattern,
-TRY_CAST(nullif(regexp_extract(feature, '[0-9]+'), '') AS INTEGER) AS period FROM f"""
-
-
 def rule_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.weights(rules.entry_rules(rule_features(spark)))
     values = screened(bars(spark, sf_dir), ["series", "ts"]).where(F.col("value").isNotNull()).withColumn("value", r9("value"))
@@ -486,14 +439,8 @@ QUERIES: dict[str, Query] = {
     "votes": (lambda s, d: voted(s, d).select("feature", "n_methods", F.array_join("methods", ",").alias("methods"), "category"), f"WITH {VOTES} SELECT feature, n_methods, array_to_string(methods, ',') AS methods, category FROM c"),
     "consensus_checks": (approved, CHECKS),
     "consensus_table": (consensus_rows, CONSENSUS),
-    "spread_table": (spread_rows, f"WITH {SPREAD_CTE} SELECT * FROM sp"),
-    "spread_summary": (lambda s, d: costs.spread_summary(costs.spread_table(s)), f"WITH {SPREAD_CTE} SELECT pair, round(min(spread_pips), 2) AS lowest, round(avg(spread_pips), 2) AS mean, round(max(spread_pips), 2) AS highest FROM sp GROUP BY 1"),
-    "spread_pivot": (spread_pivot, SPREAD_PIVOT),
     "spread_join": (spread_join, SPREAD_JOIN),
-    "swap_cost": (swap_rows, SWAP),
     "slippage_cost": (slippage_rows, SLIPPAGE),
-    "entry_rules": (rule_rows, RULES),
-    "weights": (weight_rows, WEIGHTS),
     "rule_votes": (rule_votes, RULE_VOTES),
     "position_sizes": (sizes, SIZES),
     "drawdown": (drawdown_rows, DRAWDOWN),

@@ -326,11 +326,6 @@ def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("series", "ts", r9("value").alias("value"))
 
 
-def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many features each level has."""
-    return spark.createDataFrame([(k, v) for k, v in features.theoretical_counts(6).items()], "level STRING, n BIGINT")
-
-
 QUERIES: dict[str, Query] = {
     "bars_events_4h": (plain_bars, f"WITH {BARS} SELECT series, ts, {OHLCV_SQL} FROM bars"),
     "bars_lineitem_daily": (plain_daily, f"WITH {DAILY} SELECT series, ts, {OHLCV_SQL} FROM daily"),
@@ -360,7 +355,6 @@ QUERIES: dict[str, Query] = {
     "level3_compositions": (compositions, compositions_sql()),
     "level4_fast_slow": many(planned((4,), []), pair_sql()),
     "all_features": (all_features, None),
-    "feature_counts": (feature_names, "SELECT * FROM (VALUES ('level1', CAST(560 AS BIGINT)), ('level2', 182), ('level3', 14), ('level4', 16), ('level5', 10), ('level6', 600)) t(level, n)"),
     "target_return": rolling(lambda x: features.target(x, 3, "return", W()), f"lead(close, 3) {ROW} / close - 1"),
     "target_log": rolling(lambda x: features.target(x, 3, "log", W()), f"ln(greatest(lead(close, 3) {ROW} / close, 1e-10))"),
     "target_direction": rolling(lambda x: features.target(x, 3, "direction", W()), f"CAST(sign(lead(close, 3) {ROW} / close - 1) AS DOUBLE)"),

@@ -125,25 +125,30 @@ REPLICATE_METRICS = {
 REPLICATES = f"k AS (SELECT series, b, j, r, sum(ln(1 + r)) OVER (PARTITION BY series, b ORDER BY j) AS c FROM x), l AS (SELECT *, max(c) OVER (PARTITION BY series, b ORDER BY j) AS m FROM k), z AS (SELECT series, b, {', '.join(f'{v} AS {k}' for k, v in REPLICATE_METRICS.items())} FROM l GROUP BY 1, 2), u AS (UNPIVOT z ON {', '.join(REPLICATE_METRICS)} INTO NAME metric VALUE v)"
 
 
+def mean_sql(v: str) -> str:
+    """Win rates are whole numbers of n, and are added as such."""
+    return f"CASE WHEN metric = 'win_rate' THEN CAST(sum(CAST(round({v} * n) AS BIGINT)) AS DOUBLE) / (max(n) * count(*)) ELSE avg({v}) END"
+
+
 def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(resampling.bootstrap(returns(spark, sf_dir).withColumn("r", F.col("r") / 10), "r", ["ts"], keys=["series"]))
 
 
 BOOTSTRAP = f"""WITH {RETURNS}, v AS (SELECT series, row_number() {ROW} - 1 AS i, count(*) OVER (PARTITION BY series) AS n, r / 10 AS r FROM r), {draws_sql(10_000)}, x AS (SELECT d.series, d.b, d.j, v.r FROM d JOIN v ON v.series = d.series AND v.i = d.h % d.n), {REPLICATES},
-a AS (SELECT series, metric, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM u GROUP BY 1, 2)
+w AS (SELECT u.*, k.n FROM u JOIN (SELECT series, max(n) AS n FROM v GROUP BY 1) k USING (series)), a AS (SELECT series, metric, {mean_sql("v")} AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM w GROUP BY 1, 2)
 SELECT series, metric, {s6("mean")} AS mean, {s6("sd")} AS sd, {s6("low")} AS low, {s6("high")} AS high, CAST(low > 0 OR high < 0 AS INTEGER) AS significant FROM a"""
 
 
 def permutation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = wide(spark, sf_dir).where(F.col("z").isNotNull() & F.col("target").isNotNull()).withColumn("target", F.col("target") / 100)
-    out = resampling.permutation(df, "z", "target", ["ts"], keys=["series"])
-    return six(out.where(F.col("metric").isin("sharpe", "profit_factor", "win_rate", "max_drawdown")).select("series", "metric", "real", "mean", "sd", "z"))
+    return six(resampling.permutation(df, "z", "target", ["ts"], keys=["series"]))
 
 
 PERMUTATION = f"""WITH {BARS}, y AS (SELECT series, ts, {z_sql("close", N)} AS z, (lead(close, 1) {ROW} / close - 1) / 100 AS y FROM bars), k0 AS (SELECT * FROM y WHERE z IS NOT NULL AND y IS NOT NULL), v AS (SELECT series, row_number() {ROW} - 1 AS i, count(*) OVER (PARTITION BY series) AS n, z, y FROM k0), {draws_sql(10_000)},
 o AS (SELECT series, b, j, row_number() OVER (PARTITION BY series, b ORDER BY h, j) - 1 AS place FROM d), x AS (SELECT o.series, o.b, o.place AS j, sign(p.z) * a.y AS r FROM o JOIN v p ON p.series = o.series AND p.i = o.j JOIN v a ON a.series = o.series AND a.i = o.place UNION ALL SELECT series, -1, i, sign(z) * y FROM v), {REPLICATES},
-g AS (SELECT series, metric, max(CASE WHEN b < 0 THEN v END) AS real, avg(CASE WHEN b >= 0 THEN v END) AS mean, stddev_samp(CASE WHEN b >= 0 THEN v END) AS sd FROM u GROUP BY 1, 2)
-SELECT series, metric, {s6("real")} AS real, {s6("mean")} AS mean, {s6("sd")} AS sd, {s6("(real - mean) / nullif(sd, 0)")} AS z FROM g WHERE metric IN ('sharpe', 'profit_factor', 'win_rate', 'max_drawdown')"""
+w AS (SELECT u.series, metric, v, max(CASE WHEN b < 0 THEN v END) OVER (PARTITION BY u.series, metric) AS real, b, n FROM u JOIN (SELECT series, max(n) AS n FROM v GROUP BY 1) k USING (series)), g AS (SELECT series, metric, real, {mean_sql("v")} AS mean, stddev_samp(v) AS sd, avg(CAST(round(v, 9) >= round(real, 9) AS INTEGER)) AS above, avg(CAST(round(v, 9) <= round(real, 9) AS INTEGER)) AS below FROM w WHERE b >= 0 GROUP BY 1, 2, 3),
+p AS (SELECT *, CASE WHEN real >= mean THEN above ELSE below END AS p FROM g)
+SELECT series, metric, {s6("real")} AS real, {s6("mean")} AS mean, {s6("sd")} AS sd, {s6("(real - mean) / nullif(sd, 0)")} AS z, {s6("p")} AS p_value, CAST(p < 0.05 AS INTEGER) AS significant FROM p"""
 
 
 # ---- models
@@ -316,13 +321,14 @@ SELECT series, ts, feature, round(value, 7) + 0 AS value FROM (FROM w UNPIVOT IN
 
 
 def emas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As single-precision numbers: halves of prices lie on the ties of every decimal rounding."""
     from barwright.functions.ema import with_emas
 
     df = with_emas(bars(spark, sf_dir), {f"ema_{n}": ("close", n) for n in features.WINDOWS})
-    return stats.long(df, [f"ema_{n}" for n in features.WINDOWS], ["series", "ts"]).select("series", "ts", "feature", F.round(F.col("value") + 1.23456789e-11, 9).alias("value"))
+    return stats.long(df, [f"ema_{n}" for n in features.WINDOWS], ["series", "ts"]).select("series", "ts", "feature", F.col("value").cast("float").cast("double").alias("value"))
 
 
-EMAS = f"WITH RECURSIVE {BARS}, {ema_cte(list(features.WINDOWS))} SELECT series, ts, feature, round(value + 1.23456789e-11, 9) + 0 AS value FROM (SELECT series, ts, {', '.join(f'e{n} AS ema_{n}' for n in features.WINDOWS)} FROM e) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(f'ema_{n}' for n in features.WINDOWS)}))"
+EMAS = f"WITH RECURSIVE {BARS}, {ema_cte(list(features.WINDOWS))} SELECT series, ts, feature, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM (SELECT series, ts, {', '.join(f'e{n} AS ema_{n}' for n in features.WINDOWS)} FROM e) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(f'ema_{n}' for n in features.WINDOWS)}))"
 
 
 def level3(spark: SparkSession, sf_dir: str, block_rows: int | None = None) -> DataFrame:

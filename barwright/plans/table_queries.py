@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barwright.functions import rolling as R
 from barwright.operators import align, consensus, costs, features, metrics, normalise, robustness, rules, stats
 from barwright.plans import analysis_queries as A
-from barwright.plans.analysis_queries import PEARSON, RULE_NAMES, SCORES, SPREAD_CTE, long_sql, p_sql, rounded, scores, screened
+from barwright.plans.analysis_queries import PEARSON, SCORES, long_sql, p_sql, rounded, scores, screened
 from barwright.plans.bar_queries import BARS, BY, DAILY, N, OHLCV_SQL, ROW, Query, W, bars, bars_sql, daily, full, ntz, over, pos_sql, r9, read, s9, z_sql
 from barwright.sources import bars as B
 
@@ -269,16 +269,6 @@ def redundant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 REDUNDANT = f"WITH {BARS}, {A.COMPLETE}, p AS ({A.PAIR_ROWS}) SELECT a, b, {s9('r')} AS r FROM p WHERE abs(r) > 0.6"
 
 
-def not_redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of alike features: of each pair in order the one with the smaller score goes, unless one has gone before."""
-    pairs = spark.createDataFrame([("a", "b", 0.99), ("b", "c", -0.97), ("c", "d", 0.5), ("d", "e", 0.96)], "a STRING, b STRING, r DOUBLE")
-    marks = spark.createDataFrame([("a", 0.1), ("b", -0.3), ("c", 0.2), ("d", 0.5), ("e", 0.4)], "feature STRING, score DOUBLE")
-    return stats.redundancy(pairs, marks).select("feature", F.col("kept").cast("int").alias("kept"))
-
-
-NOT_REDUNDANT = "SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 0), ('d', 1), ('e', 0)) t(feature, kept)"
-
-
 def mi_to_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     mi, ic = scores_of(spark, sf_dir, "MI").withColumnRenamed("score", "mi"), scores_of(spark, sf_dir, "IC").where("score > 5").withColumnRenamed("score", "ic")
     return mi.join(ic, "feature", "left").select("feature", "mi", "ic", r9(F.try_divide("mi", F.abs("ic"))).alias("ratio"))
@@ -333,60 +323,6 @@ def best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 BEST_FIRST = f"WITH {A.RANKED} SELECT feature, count(*) AS votes, sum(score) AS total FROM r GROUP BY 1 ORDER BY votes DESC, total DESC, feature LIMIT 10"
 
 
-# ---- costs and rules
-
-
-def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return costs.best_hours(costs.spread_table(spark))
-
-
-HOURS = f"WITH {SPREAD_CTE}, m AS (SELECT pair, hour_utc, avg(spread_pips) AS m FROM sp GROUP BY 1, 2) SELECT pair, arg_min(hour_utc, m * 1000 + hour_utc / 1000) AS best_hour, arg_max(hour_utc, m * 1000 - hour_utc / 1000) AS worst_hour FROM m GROUP BY 1"
-
-
-def total_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of two lots of each series at each hour of a Monday, held for a night."""
-    s = costs.spread_table(spark).where("day_of_week = 0").join(costs.swap_rates(spark), "pair")
-    lots = F.lit(2.0)
-    s = s.withColumns({"spread_usd": costs.in_usd(F.col("spread_pips"), lots, F.col("pair")), "slippage_usd": costs.in_usd(F.lit(0.3), lots, F.col("pair")), "swap_usd": costs.swap(F.col("swap_long"), lots, F.lit(1), F.lit(0)), "commission_usd": costs.commission(lots, 3.5)})
-    return s.select("pair", "hour_utc", "spread_usd", "slippage_usd", "swap_usd", "commission_usd", F.round(costs.total_cost(F.col("spread_usd"), F.col("slippage_usd"), F.col("swap_usd"), F.col("commission_usd")), 2).alias("total"))
-
-
-TOTAL_COSTS = f"""WITH {SPREAD_CTE}, w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {a}::DOUBLE)" for k, (a, _) in costs.SWAP.items())}) t(pair, swap_long)),
-c AS (SELECT pair, hour_utc, round(spread_pips * CASE WHEN contains(pair, 'JPY') THEN 9.0 ELSE 10.0 END * 2, 2) AS spread_usd, round(0.3 * CASE WHEN contains(pair, 'JPY') THEN 9.0 ELSE 10.0 END * 2, 2)::DOUBLE AS slippage_usd, round(swap_long * 2, 2) AS swap_usd, 7.0::DOUBLE AS commission_usd FROM sp JOIN w USING (pair) WHERE day_of_week = 0)
-SELECT *, round(spread_usd + slippage_usd + abs(least(swap_usd, 0)) + commission_usd, 2) AS total FROM c"""
-
-SWAPS = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in costs.SWAP.items()) + ") t(pair, swap_long, swap_short)"
-
-
-def named(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULE_NAMES, "feature STRING, ic DOUBLE, signal STRING")
-
-
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = named(spark)
-    return df.select("feature", rules.in_words(F.col("feature")).alias("words"), rules.interpretation(F.col("feature"), F.col("ic")).alias("text"), F.array_join(F.transform(rules.parameters(F.col("feature")), lambda x: x.cast("string")), ",").alias("parameters"))
-
-
-def words_sql() -> str:
-    x = "replace(feature, '_', ' ')"
-    for part, word in rules.WORDS:
-        x = f"replace({x}, '{part}', '{word}')"
-    named_sql = A.RULES.split("SELECT feature, CASE")[0]
-    kind = "CASE WHEN ic <= 0 AND regexp_matches(lower(feature), 'pos|z|rank') THEN 'mean reversion' WHEN ic > 0 AND regexp_matches(lower(feature), 'r|delta') THEN 'momentum' WHEN contains(lower(feature), 'sigma') THEN 'volatility' WHEN regexp_matches(lower(feature), 'hour|day|month') THEN 'seasonality' WHEN regexp_matches(lower(feature), 'minus|-|diff') THEN 'difference of scales' WHEN regexp_matches(lower(feature), 'div|/|ratio') THEN 'relative level' ELSE 'complex' END"
-    return f"{named_sql} SELECT feature, {x} AS words, {kind} || ': ' || {x} || ' speaks for ' || CASE WHEN ic > 0 THEN 'higher' ELSE 'lower' END || ' prices' AS text, array_to_string(list_transform(regexp_extract_all(feature, '[0-9]+'), lambda y: CAST(CAST(y AS INTEGER) AS VARCHAR)), ',') AS parameters FROM f"
-
-
-def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named(spark).groupBy(rules.component_type(F.col("feature")).alias("component")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component")
-
-
-def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.strategy_summary(named(spark)).withColumn("value", r9("value"))
-
-
-SUMMARY = "SELECT * FROM (VALUES ('long rules', 4.0::DOUBLE), ('short rules', 3.0), ('base size %', 2.0), ('largest size %', 10.0), ('risk a trade %', 1.0), ('stop in ATR', 2.0), ('target in ATR', 3.0), ('reward to risk', 1.5), ('timeout in bars', 50.0)) t(part, value)"
-
-
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and times from text; what is none becomes NULL."""
     e = read(spark, sf_dir, "events").select("event_id", F.concat(F.when(F.col("event_id") % 7 == 0, "x").otherwise(""), F.col("value").cast("string")).alias("v"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"))
@@ -430,13 +366,6 @@ TIMEFRAMES = f"""WITH {bars_sql("1 hour", "f")}, {bars_sql("4 hours", "x0")}, {b
 SELECT f.series, f.ts, {s9("f.close")} AS close, {s9("CASE WHEN x.ts >= f.ts - INTERVAL 7 DAY THEN x.close END")} AS h4_close, {s9("CASE WHEN y.ts >= f.ts - INTERVAL 7 DAY THEN y.close END")} AS d_close FROM f ASOF LEFT JOIN x ON f.series = x.series AND f.ts >= x.ts ASOF LEFT JOIN y ON f.series = y.series AND f.ts >= y.ts"""
 
 
-def division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(align.split_info("1995-01-01", "2001-12-31"), "part STRING, first STRING, last STRING, days INT, share DOUBLE")
-
-
-DIVISION = "SELECT * FROM (VALUES ('total', '1995-01-01', '2001-12-31', 2556, 1.0::DOUBLE), ('train', '1995-01-01', '1999-02-28', 1519, 0.6), ('validation', '1999-03-01', '2000-07-31', 518, 0.2), ('test', '2000-08-01', '2001-12-31', 517, 0.2)) t(part, first, last, days, share)"
-
-
 def chosen_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two series between two days, both with them."""
     df = daily(spark, sf_dir).where(F.col("series").isin("A", "N") & F.to_date("ts").between("1996-01-01", "1996-12-31"))
@@ -593,25 +522,17 @@ QUERIES: dict[str, Query] = {
     "robust_selection_fallback": (lambda s, d: selected(s, d, 20), selected_sql(20)),
     "significant_features": (significant, SIGNIFICANT),
     "redundant_pairs": (redundant_pairs, REDUNDANT),
-    "collinearity_filter": (not_redundant, NOT_REDUNDANT),
     "mi_to_ic": (mi_to_ic, MI_TO_IC),
     "validated_ic": (validated_ic, VALIDATED),
     "consensus_run": (whole_consensus, WHOLE),
     "consensus_at_least": (at_least_strong, f"WITH x AS ({A.CONSENSUS}) SELECT feature, category FROM x WHERE category IN ('strong', 'very strong')"),
     "feature_sets": (feature_sets, SETS),
     "best_first": (best_first, BEST_FIRST),
-    "best_hours": (hours, HOURS),
-    "total_costs": (total_costs, TOTAL_COSTS),
-    "swap_rates": (lambda s, d: costs.swap_rates(s), SWAPS),
-    "feature_words": (words, words_sql()),
-    "component_counts": (pattern_counts, f"WITH x AS ({A.RULES}) SELECT component, count(*) AS n FROM x GROUP BY 1"),
-    "strategy_summary": (summary, SUMMARY),
     "typed_columns": (typed, TYPED),
     "inner_times_two": (lambda s, d: side_by_side(s, d, False), TWO),
     "inner_times_three": (lambda s, d: side_by_side(s, d, True), THREE),
     "aligned_bars": (aligned, ALIGNED),
     "multi_timeframe": (timeframes, TIMEFRAMES),
-    "split_info": (division, DIVISION),
     "chosen_days": (chosen_days, CHOSEN),
     "thirds_gate": (third_gate, THIRD_GATE),
     "regime_significance": (regime_p, REGIME_P),
