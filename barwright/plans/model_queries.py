@@ -16,8 +16,8 @@ CONFIG = backtest.Config(bars_per_day=6)
 TRADE = ["pair", "id", "direction", "entry_time", "entry_price", "entry_spread", "entry_slippage", "size_frac", "at_risk", "stop_loss", "take_profit", "atr_entry", "bars_open", "exit_time", "exit_price", "exit_price_real", "exit_spread", "exit_slippage", "exit_reason", "gross_pnl", "cost_spread", "cost_slippage", "cost_swap", "net_pnl", "capital_after", "return_pct", "return_on_position"]
 
 
-def result(spark: SparkSession, sf_dir: str, config: backtest.Config = CONFIG) -> DataFrame:
-    return backtest.run(bars(spark, sf_dir), costs.spread_table(spark), config)
+def result(spark: SparkSession, sf_dir: str, config: backtest.Config = CONFIG, block_rows: int = backtest.BLOCK_ROWS) -> DataFrame:
+    return backtest.run(bars(spark, sf_dir), costs.spread_table(spark), config, block_rows)
 
 
 def six(df: DataFrame) -> DataFrame:
@@ -347,6 +347,8 @@ def level3_sql() -> str:
 
 QUERIES: dict[str, Query] = {
     "backtest_trades": (lambda s, d: six(backtest.trades(result(s, d)).select(*TRADE)), TRADES),
+    "backtest_trades_blocked": (lambda s, d: six(backtest.trades(result(s, d, block_rows=60)).select(*TRADE)), TRADES),
+    "backtest_equity_blocked": (lambda s, d: six(backtest.equity(result(s, d, block_rows=60))), EQUITY),
     "backtest_equity": (lambda s, d: six(backtest.equity(result(s, d))), EQUITY),
     "backtest_metrics": (trade_metrics, TRADE_METRICS),
     "trade_consistency": (consistency, CONSISTENCY),

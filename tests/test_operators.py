@@ -122,7 +122,7 @@ def test_backtest_adds_up(spark):
     bars = walk(spark, 400)
     out = backtest.run(bars, costs.spread_table(spark), backtest.Config(stop=1.0, take=1.5)).toPandas()
     for s, rows in out.groupby("series"):
-        t, e = rows[rows.kind == "trade"], rows[rows.kind == "equity"]
+        t, e = rows[rows.kind == "trade"].sort_values("id"), rows[rows.kind == "equity"]
         assert len(e) == 400 and set(t.exit_reason) <= {"SL", "TP", "TIMEOUT", "FIN_BACKTEST"}
         assert t.capital.iloc[-1] == pytest.approx(100_000 + t.net_pnl.sum())
         assert (t.size_frac <= 0.10 + 1e-12).all() and (t.bars_open <= 50).all()
