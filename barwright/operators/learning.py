@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barwright.operators.comoments import comoments, whole
+
 
 def assembled(df: DataFrame, features: list[str], y: str | None = None) -> DataFrame:
     """Rows without gaps, with the vector x (and label)."""
@@ -37,15 +41,6 @@ def coefficients(spark: SparkSession, model, features: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature STRING, coef DOUBLE").withColumn("abs_coef", F.abs("coef")).withColumn("non_zero", F.col("abs_coef") > 1e-10)
 
 
-def lasso_path(train: DataFrame, alphas: list[float], folds: int = 5, seed: int = 42):
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    est = LinearRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, standardization=False)
-    grid = ParamGridBuilder().addGrid(est.regParam, alphas).build()
-    return CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mse"), numFolds=folds, seed=seed).fit(train).bestModel
-
-
 def principal_components(df: DataFrame, k: int):
     """PCA model of a standardised x, with component, explained, cumulative."""
     model = PCA(k=k, inputCol="x", outputCol="pc").fit(df)
@@ -102,35 +97,73 @@ def linear_svm(train: DataFrame, reg: float = 1.0):
     return LinearSVC(featuresCol="x", labelCol="label", regParam=reg).fit(train.withColumn("label", (F.col("label") > 0).cast("double")))
 
 
-def feature_clusters(pairs: DataFrame, variances: dict[str, float], clusters: int) -> DataFrame:
-    """feature, cluster, is_representative: average linkage on 1 - |r|, of the pairs of features; each cluster's largest variance represents it. Works on features, not rows."""
-    names = sorted(variances)
-    at = {n: i for i, n in enumerate(names)}
-    import numpy as np
-
-    d = np.zeros((len(names), len(names)))
-    for r in pairs.collect():
-        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = 1 - abs(r["r"] or 0.0)
-    groups = [[i] for i in range(len(names))]
-    while len(groups) > max(1, clusters):
-        _, i, j = min((d[np.ix_(groups[i], groups[j])].mean(), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
-        groups[i] += groups.pop(j)
-    rows = []
-    for k, g in enumerate(sorted(groups, key=min), 1):
-        best = max(g, key=lambda i: (variances[names[i]], names[i]))
-        rows += [(names[i], k, i == best) for i in g]
-    return pairs.sparkSession.createDataFrame(rows, "feature STRING, cluster INT, is_representative BOOLEAN")
-
-
-def walk_forward_fit(df: DataFrame, windows: DataFrame, features: list[str], y: str, alpha: float = 1.0) -> DataFrame:
-    """Out-of-sample predictions (window, ts, y_true, y_pred) of a ridge refitted for each window; the loop is over windows of a calendar."""
-    out = None
-    for r in windows.orderBy("window").collect():
-        day = F.to_date("ts")
-        train = assembled(df.where((day >= F.lit(r["train_start"])) & (day < F.lit(r["train_end"]))), features, y)
-        test = assembled(df.where((day >= F.lit(r["train_end"])) & (day < F.lit(r["test_end"]))), features, y)
-        train, test = scaled(train, test)
-        model, _ = linear(train, test, "ridge", alpha)
-        part = model.transform(test).select(F.lit(r["window"]).alias("window"), "ts", F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def linked(d: np.ndarray, clusters: int) -> np.ndarray:
+    """Average linkage of a matrix of distances, cut into so many groups: chains of nearest neighbours end in pairs that are nearest to each other, which merge; the nearest mergers count, of equal ones those that come first."""
+    n = len(d)
+    d = d.copy()
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, merges = np.ones(n), np.ones(n, dtype=bool), [], []
+    while alive.sum() > 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        row = np.where(alive, d[chain[-1]], np.inf)
+        near = int(row.argmin())
+        if len(chain) > 1 and row[chain[-2]] <= row[near]:
+            near = chain[-2]
+        if len(chain) < 2 or near != chain[-2]:
+            chain.append(near)
+            continue
+        a, b = sorted((chain.pop(), chain.pop()))
+        merges.append((float(d[a, b]), a, b))
+        both = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = both, both
+        d[a, a] = np.inf
+        size[a] += size[b]
+        alive[b] = False
+    group = np.arange(n)
+    for _, a, b in sorted(merges)[: max(0, n - max(1, clusters))]:
+        group[group == group[b]] = group[a]
+    return group
+
+
+def centred(g: np.ndarray, clusters: int, rounds: int = 300) -> np.ndarray:
+    """K-means of vectors of which only the inner products are known. The first seed is the vector farthest from the mean of all, each next one the farthest from its nearest seed; equal distances go to the first."""
+    square = g.diagonal()
+    seeds = [int(np.argmax(square - 2 * g.mean(axis=1)))]
+    while len(seeds) < min(clusters, len(g)):
+        seeds.append(int(np.argmax((square[:, None] + square[seeds][None, :] - 2 * g[:, seeds]).min(axis=1))))
+    group = np.argmin(square[:, None] + square[seeds][None, :] - 2 * g[:, seeds], axis=1)
+    for _ in range(rounds):
+        names = np.unique(group)
+        apart = np.stack([square - 2 * g[:, group == c].mean(axis=1) + g[np.ix_(group == c, group == c)].mean() for c in names], axis=1)
+        new = names[np.argmin(apart, axis=1)]
+        if (new == group).all():
+            break
+        group = new
+    return group
+
+
+def feature_clusters(df: DataFrame, features: list[str], clusters: int = 20, method: str = "average", keys: list[str] | None = None) -> DataFrame:
+    """keys, feature, cluster (from 1, by the least feature in the list's order), is_representative (the largest variance, of equal ones the last name) over complete rows.
+
+    average: average linkage on 1 - |r|; kmeans: k-means of the features as vectors of their values. Both need the inner products of features alone, which one pass over the rows gives by blocks; grouping them is one task for each key. A constant feature has r 0 with all."""
+    if method not in ("average", "kmeans"):
+        raise ValueError(f"no such method: {method}")
+    keys = keys or []
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        m = whole(rows.to_dict("records"), len(features))
+        spread = m.product.diagonal() / m.n
+        if method == "average":
+            sd = np.sqrt(m.product.diagonal())
+            r = np.divide(m.product, np.outer(sd, sd), out=np.zeros_like(m.product), where=np.outer(sd, sd) > 0)
+            found = linked(1 - np.abs(r), clusters)
+        else:
+            found = centred(m.product + m.n * np.outer(m.mean, m.mean), clusters)
+        order = {g: i for i, g in enumerate(dict.fromkeys(found.tolist()), 1)}
+        best = {g: max((i for i in range(len(features)) if found[i] == g), key=lambda i: (spread[i], features[i])) for g in order}
+        own = {c: [rows[c].iloc[0]] * len(features) for c in keys}
+        return pd.DataFrame(own | {"feature": features, "cluster": [order[g] for g in found.tolist()], "is_representative": [best[g] == i for i, g in enumerate(found.tolist())], "variance": spread})
+
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
+    return comoments(df, features, keys).groupBy(*keys).applyInPandas(group, fields + "feature STRING, cluster INT, is_representative BOOLEAN, variance DOUBLE")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.operators.comoments import correlations
+from barwright.operators.networks import edges_of
+from barwright.sources.bars import stored
 
 
 def long(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -111,34 +114,39 @@ def stability(ic: DataFrame, by: list[str], most: float = 0.02) -> DataFrame:
     return out.withColumn("is_robust", (F.col("ic_sd") < most) & (F.col("ic_min") > 0))
 
 
-def redundant(pairs: DataFrame, scores: dict[str, float], threshold: float = 0.95) -> set[str]:
-    """Features to drop so that no pair stays above the threshold: of each, the one with the smaller score, in the order of the pairs. A greedy pass over features, not rows."""
-    gone: set[str] = set()
-    for r in pairs.where(F.abs("r") > threshold).orderBy("a", "b").collect():  # pairs of features
-        if r["a"] not in gone and r["b"] not in gone:
-            gone.add(r["a"] if abs(scores.get(r["a"], 0.0)) < abs(scores.get(r["b"], 0.0)) else r["b"])
-    return gone
+def redundancy(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95, keys: list[str] | None = None) -> DataFrame:
+    """feature, kept of all features in pairs (a, b, r), by scores (feature, score; none counts as 0): of each pair above the threshold, in the order of the pairs' names, the one with the smaller score goes, unless one of the two has gone before.
 
+    The pairs above the threshold of one key, of features and not of rows, are one task's work."""
+    keys = keys or []
+    pairs = stored(pairs.select(*keys, "a", "b", "r"))
+    score = lambda side: scores.select(*keys, F.col("feature").alias(side), F.coalesce("score", F.lit(0.0)).alias(f"_{side}"))
+    close = pairs.where(F.abs("r") > threshold).join(score("a"), [*keys, "a"], "left").join(score("b"), [*keys, "b"], "left").na.fill(0.0, ["_a", "_b"])
 
-def redundancy(pairs: DataFrame, scores: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """feature, kept of all features in pairs (a, b, r), by scores (feature, score): see redundant()."""
-    names = pairs.select(F.col("a").alias("feature")).union(pairs.select("b")).distinct()
-    gone = redundant(pairs, {r["feature"]: r["score"] for r in scores.collect()}, threshold)  # features, not rows
-    return names.withColumn("kept", ~F.col("feature").isin(*gone) if gone else F.lit(True))
+    def drop(rows: pd.DataFrame) -> pd.DataFrame:
+        gone: set[str] = set()
+        for a, b, x, y in rows.sort_values(["a", "b"])[["a", "b", "_a", "_b"]].itertuples(index=False):
+            if a not in gone and b not in gone:
+                gone.add(a if abs(x) < abs(y) else b)
+        out = sorted(gone)
+        return pd.DataFrame({c: [rows[c].iloc[0]] * len(out) for c in keys} | {"feature": out})
+
+    fields = "".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}, " for c in keys)
+    gone = close.groupBy(*keys).applyInPandas(drop, fields + "feature STRING").withColumn("_gone", F.lit(True))
+    names = pairs.select(*keys, F.col("a").alias("feature")).union(pairs.select(*keys, "b")).distinct()
+    return names.join(gone, [*keys, "feature"], "left").select(*keys, "feature", F.col("_gone").isNull().alias("kept"))
 
 
 def closeness(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """node, reached, closeness of the graph of pairs with |r| above the threshold: the share of nodes that it reaches, over their mean distance in steps. A round for each step of the longest distance; the graph is of features, not rows."""
-    pairs = pairs.sparkSession.createDataFrame(pairs.collect(), "a STRING, b STRING, r DOUBLE")  # pairs of features: the rows are read once
-    edges = pairs.where(F.abs("r") > threshold).select("a", "b")
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes, both = edges_of(pairs, threshold)
+    nodes, both = stored(nodes), stored(both)
     seen = frontier = nodes.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).alias("steps"))
     steps = 0
     while True:
         steps += 1
         reached = frontier.join(both, F.col("target") == F.col("a")).select("source", F.col("b").alias("target")).distinct()
-        frontier = reached.join(seen, ["source", "target"], "left_anti").withColumn("steps", F.lit(steps))
+        frontier = stored(reached.join(seen, ["source", "target"], "left_anti").withColumn("steps", F.lit(steps)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

@@ -231,9 +231,7 @@ def lasso_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = wide(spark, sf_dir)
-    spread = df.agg(*(F.var_pop(c).alias(c) for c in NAMES)).first()  # a number for each feature
-    out = learning.feature_clusters(stats.correlation_pairs(df, NAMES), spread.asDict(), 2)
+    out = learning.feature_clusters(wide(spark, sf_dir), sorted(NAMES), 2)
     return out.select("feature", F.col("cluster").cast("bigint").alias("cluster"), F.col("is_representative").cast("int").alias("is_representative"))
 
 
@@ -244,7 +242,7 @@ def clusters_sql() -> str:
     for n in (1, 2):  # from four groups to two
         steps.append(f"m{n} AS (SELECT least(x.g, y.g) AS u, greatest(x.g, y.g) AS v FROM dd JOIN {last} x ON dd.a = x.feature JOIN {last} y ON dd.b = y.feature WHERE x.g <> y.g GROUP BY 1, 2 ORDER BY avg(d), 1, 2 LIMIT 1), l{n} AS (SELECT feature, CASE WHEN g = v THEN u ELSE g END AS g FROM {last}, m{n})")
         last = f"l{n}"
-    variance = " UNION ALL ".join(f"SELECT '{f}' AS feature, var_pop(f_{f}) AS s FROM w" for f in NAMES)
+    variance = " UNION ALL ".join(f"SELECT '{f}' AS feature, var_pop({f}) AS s FROM cc" for f in NAMES)
     return f"""WITH {BARS}, {WIDE.format("bars")}, cc AS (SELECT f_mean_ratio AS mean_ratio, f_z AS z, f_pos AS pos, f_ret AS ret FROM w WHERE f_mean_ratio IS NOT NULL AND f_z IS NOT NULL AND f_pos IS NOT NULL AND f_ret IS NOT NULL), dd AS ({rows}), l0 AS (SELECT feature, row_number() OVER (ORDER BY feature) AS g FROM (VALUES {", ".join(f"('{f}')" for f in NAMES)}) t(feature)), {", ".join(steps)}, va AS ({variance})
 SELECT feature, dense_rank() OVER (ORDER BY g) AS cluster, CAST(row_number() OVER (PARTITION BY g ORDER BY s DESC, feature DESC) = 1 AS INTEGER) AS is_representative FROM {last} JOIN va USING (feature)"""
 

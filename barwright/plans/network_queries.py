@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barwright.operators import features, networks, stats
+from barwright.operators import features, learning, networks, stats
 from barwright.plans.bar_queries import BARS, Query, bars, r9, s9
 from barwright.plans.model_queries import OPS
 
@@ -59,7 +60,29 @@ SUMMARY = f"""{_GROUPS}, s AS (SELECT sum(d) AS t FROM dg), q AS (SELECT sum(pow
 SELECT (SELECT count(*) FROM n) AS n_nodes, CAST(t // 2 AS BIGINT) AS n_edges, {s9("t / (SELECT count(*) * (count(*) - 1) FROM n)")} AS density, k AS n_communities, {s9("(SELECT count(*) FROM e JOIN fin x ON x.node = a JOIN fin y ON y.node = b WHERE x.community = y.community) / t - q / (t * t)")} AS modularity, (SELECT node FROM dg ORDER BY d DESC, node LIMIT 1) AS leader FROM s, q"""
 
 
+K, ROUNDS = 4, 20
+
+
+def centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means of the features."""
+    plan = features.FeaturePlan(variables=("close",), levels=(1,), operators=tuple(OPS), windows=WINDOWS)
+    out = learning.feature_clusters(features.add_features(bars(spark, sf_dir), plan), sorted(NODES), K, "kmeans")
+    return out.select("feature", F.col("cluster").cast("bigint").alias("cluster"), F.col("is_representative").cast("int").alias("is_representative"), F.round("variance", 6).alias("variance"))
+
+
+def centred_sql() -> str:
+    steps = ["s1 AS MATERIALIZED (SELECT 1 AS i, feature FROM (SELECT a AS feature, max(CASE WHEN a = b THEN g END) - 2 * avg(g) AS far FROM gm GROUP BY 1) ORDER BY far DESC, feature LIMIT 1)"]
+    for i in range(2, K + 1):
+        steps.append(f"s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL (SELECT {i}, feature FROM (SELECT x.a AS feature, min(d.g + e.g - 2 * x.g) AS far FROM gm x JOIN s{i - 1} s ON x.b = s.feature JOIN gm d ON d.a = x.a AND d.b = x.a JOIN gm e ON e.a = x.b AND e.b = x.b GROUP BY 1) ORDER BY far DESC, feature LIMIT 1))")
+    steps.append(f"a0 AS MATERIALIZED (SELECT feature, arg_min(i, apart) AS c FROM (SELECT x.a AS feature, i, e.g - 2 * x.g AS apart FROM gm x JOIN s{K} s ON x.b = s.feature JOIN gm e ON e.a = x.b AND e.b = x.b) GROUP BY 1)")
+    for i in range(1, ROUNDS + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT feature, arg_min(c, apart) AS c FROM (SELECT x.a AS feature, y.c, o.o - 2 * avg(x.g) AS apart FROM gm x JOIN a{i - 1} y ON x.b = y.feature JOIN (SELECT p.c, avg(g) AS o FROM gm JOIN a{i - 1} p ON p.feature = a JOIN a{i - 1} q ON q.feature = b WHERE p.c = q.c GROUP BY 1) o ON o.c = y.c GROUP BY x.a, y.c, o.o) GROUP BY 1)")
+    return f"""WITH {PAIRS}, gm AS MATERIALIZED (SELECT x.feature AS a, y.feature AS b, sum(x.value * y.value) AS g FROM l x JOIN l y ON x.id = y.id GROUP BY 1, 2), {", ".join(steps)}, v AS (SELECT feature, var_pop(value) AS variance FROM l GROUP BY 1), o AS (SELECT *, min(feature) OVER (PARTITION BY c) AS g FROM a{ROUNDS} JOIN v USING (feature))
+SELECT feature, dense_rank() OVER (ORDER BY g) AS cluster, CAST(row_number() OVER (PARTITION BY g ORDER BY variance DESC, feature DESC) = 1 AS INTEGER) AS is_representative, round(variance, 6) + 0 AS variance FROM o"""
+
+
 QUERIES: dict[str, Query] = {
+    "feature_kmeans": (centred, centred_sql()),
     "network_betweenness": (paths_through, BETWEENNESS),
     "network_communities": (groups, COMMUNITIES),
     "network_summary": (summary, SUMMARY),

@@ -157,7 +157,8 @@ def test_weights_of_nothing(spark):
 
 def test_redundant_features(spark):
     pairs = spark.createDataFrame([("a", "b", 0.99), ("a", "c", 0.2), ("b", "c", -0.97)], "a STRING, b STRING, r DOUBLE")
-    assert stats.redundant(pairs, {"a": 0.1, "b": 0.05, "c": 0.2}) == {"b"}
+    scores = spark.createDataFrame([("a", 0.1), ("b", 0.05), ("c", 0.2)], "feature STRING, score DOUBLE")
+    assert {r.feature for r in stats.redundancy(pairs, scores).collect() if not r.kept} == {"b"}
 
 
 def test_category_order(spark):
