@@ -103,3 +103,17 @@ def test_automata_visit_each_node_once(monkeypatch):
     which, other = spelling.Automata(words).accepted(trie)
     pairs = list(zip(which.tolist(), other.tolist()))
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if near(a, b)}
+
+
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_merkle_manifest", "op13_exact_dedup"])
+def test_matches_sql(spark, name):
+    import duckdb
+
+    from barwright.llm import registry
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    rows = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in rows.description]
+    out = registry.queries()[name](spark, "/root/testdata/sf0.001").select(*names)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, rows.fetchall()))
