@@ -284,6 +284,32 @@ def tensor_4d(samples: DataFrame, series: list[str], target_series: str) -> Data
     return made.withColumn("x", F.array(*(F.col("x")[s] for s in series)))
 
 
+def normalised_tensor(bars: DataFrame, columns: list[str], method: str, window: int, lookback: int, horizon: int, step: int, y: Column, series: list[str], target_series: str) -> DataFrame:
+    """tensor_4d of columns that are normalised for each series by itself, each bar once and against the bars before it; y is of the bars as they are. Bars without a full window take no part."""
+    from barwright.operators import normalise
+
+    w = R.series_window()
+    made = normalise.normalised(bars.withColumn("_y", y), columns, method, window, w)
+    return tensor_4d(sequences(made.na.drop("any", subset=[*columns, "_y"]), columns, lookback, horizon, step, F.col("_y")), series, target_series)
+
+
+def cross_timeframe(base: DataFrame, frames: dict[str, DataFrame], columns: list[str], lookback: int, ready: dict[str, str], tolerance: str = "7 DAYS") -> DataFrame:
+    """series, ts, x (base first, then the frames in order; then `lookback` rows, then columns): of each bar of base, the last rows of every timeframe that are known by its opening. ready: how long after its opening a frame's bar is known. Bars for which a frame has no `lookback` rows within the tolerance are left out."""
+    from barwright.operators import align
+
+    w = R.series_window()
+
+    def rows(df: DataFrame) -> DataFrame:
+        line = F.collect_list(F.array(*(F.col(c).cast("float") for c in columns))).over(R.last(w, lookback))
+        return df.select("series", "ts", line.alias("x")).where(F.size("x") == lookback)
+
+    out = rows(base).withColumnRenamed("x", "_base")
+    for name, frame in frames.items():
+        out = align.as_of(out, rows(frame), ["x"], tolerance, f"_{name}_", ready=ready.get(name))
+    made = ["_base", *(f"_{name}_x" for name in frames)]
+    return out.na.drop("any", subset=made).select("series", "ts", F.array(*made).alias("x"))
+
+
 def matrix(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """A row's columns as one array of float, of rows without gaps."""
     return df.na.drop("any", subset=columns).select(*keys, *order, F.array(*(F.col(c).cast("float") for c in columns)).alias("x"))

@@ -42,7 +42,7 @@ def current_zscore(x: Column, n: int, w: WindowSpec) -> Column:
     return F.try_divide(x - R.mean(x, n, w), R.sd(x, n, w))
 
 
-METHODS = {"zscore_rolling": pit_zscore, "rank": pit_rank, "minmax": pit_minmax}
+METHODS = {"zscore_rolling": pit_zscore, "zscore_expanding": lambda x, n, w: pit_expanding(x, w), "rank": pit_rank, "minmax": pit_minmax}
 
 
 def normalised(df, columns: list[str], method: str, n: int, w: WindowSpec):

@@ -1,15 +1,14 @@
-"""Queries of boosted trees over the features of bars, with their SQL: each level of each tree is a few CTEs."""
+"""Queries of boosted trees over the features of bars, with their SQL: each level of each tree is a few CTEs. The kernel machine and the perceptron have none; tests hold them to second computations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.operators import boosting
+from barwright.operators import align, boosting, gradient
 from barwright.plans.analysis_queries import NAMES, wide
 from barwright.plans.bar_queries import Query, r9, s9
 from barwright.plans.model_queries import TRAIN
-from barwright.operators import align
 
 SETTINGS = boosting.Settings(trees=2, rate=0.3, depth=2, bins=8)
 
@@ -57,7 +56,25 @@ IMPORTANCE = f"""{_BOOSTED}, sp0 AS ({" UNION ALL ".join(f"SELECT f, gain FROM s
 SELECT feature, {s9("coalesce(gain, 0) / (SELECT sum(gain) FROM sp0)")} AS importance, coalesce(n, 0) AS splits FROM (VALUES {", ".join(f"('{f}')" for f in NAMES)}) t(feature) LEFT JOIN q USING (feature)"""
 
 
+def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next bar's direction in the later fifth of each series, by a kernel machine of the bars before."""
+    df = align.ratio_split(wide(spark, sf_dir).na.drop("any", subset=[*NAMES, "target"]))
+    m = gradient.kernel_machine(df.where("is_train"), NAMES, "target", size=128, steps=6)
+    out = gradient.kernel_scores(m, df.where("NOT is_train").select("series", "ts", *NAMES, "target"))
+    return out.select("series", "ts", F.signum("target").cast("int").alias("direction"), F.signum("score").cast("int").alias("predicted"))
+
+
+def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of a perceptron by epoch: three fifths of each series to learn from, one to stop by."""
+    rows = wide(spark, sf_dir).na.drop("any", subset=[*NAMES, "target"])
+    df = align.ratio_split(align.ratio_split(rows).where("is_train").drop("is_train"), 0.25)
+    m = gradient.perceptron(df.where("is_train"), df.where("NOT is_train"), NAMES, "target", training=gradient.Training(hidden=(16, 8), epochs=4, batches=2, rate=0.01))
+    return spark.createDataFrame(m.losses, "epoch INT, loss DOUBLE, validation_loss DOUBLE, rate DOUBLE")
+
+
 QUERIES: dict[str, Query] = {
+    "kernel_machine": (signs, None),
+    "perceptron_curve": (curve, None),
     "hist_boosting": (predictions, PREDICTIONS),
     "hist_boosting_importance": (importance, IMPORTANCE),
 }
