@@ -111,3 +111,26 @@ def forward_verdict(windows: DataFrame, by: list[str]) -> DataFrame:
     """By the share of windows with a positive ic: real if all, unstable if some, overfitted if none."""
     out = windows.groupBy(*by).agg(F.count("ic").alias("n_windows"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), F.avg((F.col("ic") > 0).cast("double")).alias("share_positive"))
     return out.withColumn("verdict", F.when(F.col("share_positive") == 1, "real").when(F.col("share_positive") > 0, "unstable").otherwise("overfitted"))
+
+
+def validated(df: DataFrame, predicted: str, actual: str, period: str, keys: list[str], order: list[str], n: int = 10_000, seed: int = 42, least: int = 11) -> DataFrame:
+    """four_gates of predictions of each series: the rank correlation's p-value, its interval over resampled rows, its place among dealt predictions, and the correlations of the periods (a column) with `least` rows."""
+    from barwright.operators import resampling
+    from barwright.operators.stats import information_coefficient, two_sided_p
+
+    rows = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
+    tests = resampling.rank_tests(resampling.rank_replicates(rows, predicted, actual, order, n, seed, keys), keys)
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    long = rows.select(*keys, F.col(period).alias("_period"), F.col(predicted).alias("value"), F.col(actual).alias("target"))
+    by_period = information_coefficient(long, [*keys, "_period"], "spearman", least)
+    years = by_period.groupBy(*keys).agg(F.stddev_pop("ic").alias("yearly_sd"), F.min("ic").alias("yearly_min"))
+    found = tests.join(size, keys).join(years, keys, "left").withColumn("p_value", F.coalesce(two_sided_p(F.col("ic"), F.col("n")), F.lit(1.0)))
+    return four_gates(found)
+
+
+def top_feature(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, feature, value, target) of the feature with the largest correlation of each series, of equal ones the first by name."""
+    from barwright.operators.stats import information_coefficient
+
+    best = information_coefficient(rows, [*keys, "feature"]).where("ic IS NOT NULL").groupBy(*keys).agg(F.min_by("feature", F.struct(-F.abs("ic"), "feature")).alias("feature"))
+    return rows.join(best, [*keys, "feature"])

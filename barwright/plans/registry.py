@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.plans import analysis_queries, bar_queries, forward_queries, model_queries, network_queries, rule_queries, sample_queries, table_queries, tree_queries
+from barwright.plans import analysis_queries, bar_queries, forward_queries, gate_queries, model_queries, network_queries, rule_queries, sample_queries, table_queries, tree_queries
 
-_ALL = bar_queries.QUERIES | analysis_queries.QUERIES | table_queries.QUERIES | model_queries.QUERIES | forward_queries.QUERIES | network_queries.QUERIES | rule_queries.QUERIES | sample_queries.QUERIES | tree_queries.QUERIES
+_ALL = bar_queries.QUERIES | analysis_queries.QUERIES | table_queries.QUERIES | model_queries.QUERIES | forward_queries.QUERIES | gate_queries.QUERIES | network_queries.QUERIES | rule_queries.QUERIES | sample_queries.QUERIES | tree_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -451,22 +451,6 @@ VERDICT = f"""WITH {WINDOW_IC}, a AS (SELECT feature, count(ic) AS n_windows, av
 SELECT feature, n_windows, {s9("ic_mean")} AS ic_mean, {s9("ic_sd")} AS ic_sd, {s9("share_positive")} AS share_positive, CASE WHEN share_positive = 1 THEN 'real' WHEN share_positive > 0 THEN 'unstable' ELSE 'overfitted' END AS verdict FROM a"""
 
 
-def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each feature: significance over all, an interval of its windows' mean, a share of windows on the other side in place of a permutation, and the steadiness of thirds."""
-    whole = stats.significance(stats.information_coefficient(screened(bars(spark, sf_dir), []), ["feature"])).select("feature", "p_value")
-    win = forward_ic(spark, sf_dir).groupBy("feature").agg((F.avg("ic") - 2 * F.stddev_samp("ic") / F.sqrt(F.count("ic"))).alias("low"), (F.avg("ic") + 2 * F.stddev_samp("ic") / F.sqrt(F.count("ic"))).alias("high"), F.least(F.avg((F.col("ic") > 0).cast("double")), F.avg((F.col("ic") <= 0).cast("double"))).alias("permutation_p"))
-    years = thirds(spark, sf_dir).groupBy("feature").agg(F.stddev_pop("ic").alias("yearly_sd"), F.min("ic").alias("yearly_min"))
-    out = robustness.four_gates(whole.join(win, "feature").join(years, "feature"))
-    return out.select("feature", *(F.col(c).cast("int").alias(c) for c in ("passes_forward", "passes_interval", "passes_permutation", "passes_years", "n_passed", "is_valid")))
-
-
-GATES = f"""WITH {WINDOW_IC}, w2 AS (SELECT feature, avg(ic) - 2 * stddev_samp(ic) / sqrt(count(ic)) AS lo, avg(ic) + 2 * stddev_samp(ic) / sqrt(count(ic)) AS hi, least(avg(CAST(ic > 0 AS INTEGER)), avg(CAST(ic <= 0 AS INTEGER))) AS pp FROM i GROUP BY 1),
-o AS (SELECT feature, count(*) AS n, {PEARSON} AS ic FROM l GROUP BY 1), p AS (SELECT feature, {p_sql("ic", "n")} AS p FROM o), {THIRD_ROWS}, w3 AS (SELECT t3.series, t3.ts, t3.part FROM t3), l3 AS (SELECT w3.part, x.feature, x.value, x.target FROM (SELECT series, ts, feature, value, target FROM ({" UNION ALL ".join(f"SELECT series, ts, '{k}' AS feature, f_{k} AS value, target FROM w" for k in A.FEATURES)}) WHERE value IS NOT NULL AND target IS NOT NULL) x JOIN w3 USING (series, ts)),
-y AS (SELECT feature, stddev_pop(ic) AS sd, min(ic) AS lo FROM (SELECT feature, part, {PEARSON} AS ic FROM l3 GROUP BY 1, 2) GROUP BY 1),
-g AS (SELECT feature, CAST(p < 0.01 AS INTEGER) AS a, CAST(w2.lo > 0 OR w2.hi < 0 AS INTEGER) AS b, CAST(pp < 0.001 AS INTEGER) AS c, CAST(y.sd < 0.02 AND y.lo > 0 AS INTEGER) AS d FROM p JOIN w2 USING (feature) JOIN y USING (feature))
-SELECT feature, a AS passes_forward, b AS passes_interval, c AS passes_permutation, d AS passes_years, a + b + c + d AS n_passed, CAST(a + b + c + d >= 3 AS INTEGER) AS is_valid FROM g"""
-
-
 def network_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = stats.correlation_pairs(A.wide(spark, sf_dir), ["mean_ratio", "z", "pos", "ret", "volume"])
     return stats.closeness(pairs, 0.5).withColumn("closeness", r9("closeness"))
@@ -540,7 +524,6 @@ QUERIES: dict[str, Query] = {
     "prediction_metrics": (predicted_metrics, PREDICTED),
     "forward_decline": (decline, DECLINE),
     "forward_verdict": (verdict, VERDICT),
-    "four_gates": (gates, GATES),
     "network_closeness": (network_closeness, CLOSENESS),
     "tensor_4d": (tensors, TENSORS),
     "matrix_2d": (matrices, MATRICES),
