@@ -291,7 +291,7 @@ def regions(links: DataFrame, min_words: int, size: int, agree: int) -> DataFram
 
 
 def token_slices(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """d, lo, hi, tokens (the hash of each shingle) of the asked parts of texts."""
+    """d, lo, hi, tokens (what moves of the hash of each shingle) of the asked parts of texts."""
     by_doc = asked.groupBy("d").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
     some, _ = sifted(docs.selectExpr("cast(doc_id AS bigint) AS _id", "text"), "_id", asked.select(F.col("d").alias("id")))
     joined = some.join(by_doc, F.col("_id") == F.col("d")).select("d", "parts", "text")
@@ -305,7 +305,8 @@ def token_slices(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
             a = np.minimum(at[row] + lo, at[row + 1])
             b = np.minimum(at[row] + hi + 1, at[row + 1])
-            raw = [tokens[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            rows = textcodes.to_move(tokens)
+            raw = [rows[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             return pa.table({"d": batch.column(0).take(pa.array(row)), "lo": lo, "hi": hi, "tokens": pa.array(raw, pa.binary())})
 
         return work
@@ -410,8 +411,8 @@ def verified(asked: DataFrame, docs: DataFrame, min_words: int, size: int, thres
             for i in (4, 5):
                 raw = batch.column(i)
                 at = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-                tokens.append(np.frombuffer(raw.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(raw) and at[-1] > at[0] else b"", dtype=np.uint64))
-                offsets.append((at - at[0]) // 8)
+                tokens.append(textcodes.moved(raw.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])) if len(raw) and at[-1] > at[0] else b""))
+                offsets.append((at - at[0]) // textcodes.MOVED)
             out = verified_pairs(tokens[0], offsets[0], tokens[1], offsets[1], least, threshold)
             if len(out):
                 i, a, b, c, d = out.T

@@ -24,6 +24,8 @@ RUNS = 8
 #: Sets in a bucket above which it is split by one more shingle, at most DEPTH of them.
 LIMIT = 4_096
 DEPTH = 3
+#: How many times more shingles than in a first choice are chosen where a bucket is split, as its sets have fewer chances left.
+DEEPER = 1.5
 #: Sets, and shingles of them, on one side of a comparison.
 BLOCK = 2_048
 BLOCK_SHINGLES = 2_000_000
@@ -85,7 +87,7 @@ def signed(docs: DataFrame, threshold: float, runs: int, size: int) -> DataFrame
 
 
 def with_sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """rep and tokens: the set of the rep's text, the hash of each shingle. Of several texts under one id the one with the member's key counts."""
+    """rep and tokens: the set of the rep's text, what moves of the hash of each shingle. Of several texts under one id the one with the member's key counts."""
     texts, _ = sifted(docs.selectExpr("cast(doc_id AS bigint) AS _id", "text"), "_id", members.select(F.col("rep").alias("id")))
     joined = members.join(texts, F.col("rep") == F.col("_id")).select("rep", "hi", "lo", "text")
     seeds = textcodes.mixed(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -96,7 +98,8 @@ def with_sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             right = np.ones(batch.num_rows, dtype=bool)
             for i, s in ((1, seeds[0]), (2, seeds[1])):
                 right &= _sum(textcodes.mixed(tokens ^ s), at).view(np.int64) == batch.column(i).to_numpy()
-            raw = [tokens[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            rows = textcodes.to_move(tokens)
+            raw = [rows[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             return pa.table({"rep": batch.column(0), "tokens": pa.array(raw, pa.binary())}).filter(pa.array(right))
 
         return work
@@ -119,9 +122,9 @@ def deeper(big: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             reps, paths = [], []
             for rep, tokens, on in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = np.frombuffer(tokens, dtype=np.uint64)
+                t = textcodes.moved(tokens)
                 for p in on:
-                    _, path = chosen(t, np.array(len(t)), np.uint64(p % (1 << 64)), threshold)
+                    _, path = chosen(t, np.array(len(t)), np.uint64(p % (1 << 64)), threshold / DEEPER)
                     paths.append(path.view(np.int64))
                     reps.append(np.full(len(path), rep, dtype=np.int64))
             if reps:
@@ -233,7 +236,7 @@ def compare_buckets(buckets: DataFrame, threshold: float, partitions: int) -> Da
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a < 2:
                 continue
-            out.append(compared(rep[a:b], size[a:b], path[a], block[a:b], [key_of[key_at[i] : key_at[i + 1]] for i in range(a, b)], [np.frombuffer(tokens[i].as_buffer(), dtype=np.uint64) for i in range(a, b)], threshold, bool(within[a])))
+            out.append(compared(rep[a:b], size[a:b], path[a], block[a:b], [key_of[key_at[i] : key_at[i + 1]] for i in range(a, b)], [textcodes.moved(tokens[i].as_buffer()) for i in range(a, b)], threshold, bool(within[a])))
         if out:
             rep, other, links = (np.concatenate(x) for x in zip(*out, strict=True))
             if len(rep):

@@ -89,6 +89,23 @@ def unlike(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.
     return np.flatnonzero(~same)
 
 
+#: Bytes of a hash that move where sets of shingles are compared: two different shingles of n * n pairs agree with a chance of n * n / 2 ** 48.
+MOVED = 6
+
+
+def to_move(hashes: np.ndarray) -> np.ndarray:
+    """The low MOVED bytes of each hash, a row each."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :MOVED])
+
+
+def moved(raw) -> np.ndarray:
+    """Hashes of what to_move has made of them, as bytes."""
+    rows = np.frombuffer(raw, dtype=np.uint8).reshape(-1, MOVED)
+    out = np.zeros((len(rows), 8), dtype=np.uint8)
+    out[:, :MOVED] = rows
+    return out.view("<u8")[:, 0]
+
+
 def words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """White-space separated words: hash, text number, start and end (code points within the text)."""
     low = texts
