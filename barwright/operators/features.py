@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -156,6 +158,65 @@ def add_features(bars: DataFrame, plan: FeaturePlan | None = None, block_rows: i
     return batched(df, second).select(*bars.columns, *plan.names())
 
 
+#: Bars of a series that a task makes features of at once.
+BLOCK_ROWS = 200_000
+
+
+def feature_rows(bars: DataFrame, plan: FeaturePlan | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, order, feature and value of every feature of the plan: what add_features gives as columns, as rows, for plans whose columns Catalyst would take long to plan. Series are cut into blocks, each with the bars before it that the windows look back to, and a block's features are arrays in one task. Only operators of functions/arrays.py will do."""
+    from barwright.functions import arrays as A
+    from barwright.functions.blocks import in_blocks
+
+    plan = plan or FeaturePlan()
+    require(bars, [*plan.keys, *plan.order, *OHLCV])
+    if missing := [op for op in plan.operators if op not in A.OPERATORS]:
+        raise ValueError(f"no array form of {', '.join(missing)}")
+    df = with_needed_emas(bars, plan)
+    combos = candle_ratios() | candle_diffs() | candle_means() if 2 in plan.levels else {}
+    made = list(combos) if 2 in plan.levels else []
+    names = plan.names()
+    outside = [*combos, *(calendar() if 5 in plan.levels else {})]
+    given = [n for n in names if n in outside or n in df.columns]
+    df = batched(df, combos | (calendar() if 5 in plan.levels else {}))
+    used = list(dict.fromkeys([*plan.variables, "close", *made, *given, *(c for c in df.columns if c.startswith("ema_"))]))
+    cut = in_blocks(df.select(*plan.keys, *plan.order, *(F.col(c).cast("double").alias(c) for c in used)), max(block_rows, plan.lookback()), plan.lookback(), plan.keys, plan.order[0])
+
+    def columns_of(p: pd.DataFrame) -> dict[str, np.ndarray]:
+        out = {c: p[c].to_numpy(dtype=float) for c in used}
+        if 1 in plan.levels:
+            for x in plan.variables:
+                for n in plan.windows:
+                    out |= {feature_name(op, n, x): v for op, v in A.operators(out[x], n, list(plan.operators)).items()}
+                out |= {feature_name(op, 0, x): A.LAGGED[op](out[x], 0) for op in R.PLAIN}
+        for x in made:
+            for n in KEY_WINDOWS:
+                out |= {feature_name(op, n, x): v for op, v in A.operators(out[x], n, list(KEY_OPERATORS)).items()}
+        if 3 in plan.levels:
+            for a, n, b, m in COMPOSITIONS:
+                inner = feature_name(b, m, "close")
+                if inner not in out:
+                    out[inner] = A.operators(out["close"], m, [b])[b]
+                out[feature_name(a, n, inner)] = A.operators(out[inner], n, [a])[a]
+        if 4 in plan.levels:
+            for m, n in FAST_SLOW:
+                fast, slow = ({op: A.operators(out["close"], k, [op])[op] for op in ("mean", "sd")} | {"ema": out[f"ema_{k}__close"]} for k in (m, n))
+                out |= {f"mean_{m}_mean_{n}_ratio": A.divided(fast["mean"], slow["mean"]), f"mean_{m}_mean_{n}_diff": fast["mean"] - slow["mean"], f"sd_{m}_sd_{n}_ratio": fast["sd"] / (slow["sd"] + R.EPSILON), f"ema_{m}_ema_{n}_ratio": A.divided(fast["ema"], slow["ema"])}
+        return out
+
+    keep = [*plan.keys, *plan.order]
+
+    def rows(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(list(plan.order), kind="stable")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            values = columns_of(p)
+        own = np.flatnonzero(~p["_halo"].to_numpy())
+        out = {c: np.tile(p[c].to_numpy()[own], len(names)) for c in keep}
+        return pd.DataFrame(out | {"feature": np.repeat(names, len(own)), "value": np.concatenate([values[n][own] for n in names]) if names else []})
+
+    fields = ", ".join(f"`{c}` {bars.schema[c].dataType.simpleString()}" for c in keep)
+    return cut.groupBy(*plan.keys, "_block").applyInPandas(rows, f"{fields}, feature STRING, value DOUBLE").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
 def with_needed_emas(bars: DataFrame, plan: FeaturePlan) -> DataFrame:
     """bars with the exponential averages that the plan's levels use and bars don't have yet."""
     emas = {(x, n) for x in plan.variables for n in plan.windows} if 1 in plan.levels else set()

@@ -354,7 +354,7 @@ QUERIES: dict[str, Query] = {
     "level2_combos": many(planned((2,), []), {"mean_5__hl2": full(5, f"avg((high + low) / 2) {over(5)}"), "sd_20__h_l_diff": full(20, f"stddev_samp(high - low) {over(20)}"), "z_20__c_o_ratio": z_sql("(close / open)", 20)}),
     "level3_compositions": (compositions, compositions_sql()),
     "level4_fast_slow": many(planned((4,), []), pair_sql()),
-    "all_features": (all_features, None),
+    "features_wide": (all_features, None),
     "target_return": rolling(lambda x: features.target(x, 3, "return", W()), f"lead(close, 3) {ROW} / close - 1"),
     "target_log": rolling(lambda x: features.target(x, 3, "log", W()), f"ln(greatest(lead(close, 3) {ROW} / close, 1e-10))"),
     "target_direction": rolling(lambda x: features.target(x, 3, "direction", W()), f"CAST(sign(lead(close, 3) {ROW} / close - 1) AS DOUBLE)"),

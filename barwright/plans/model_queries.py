@@ -343,7 +343,40 @@ def level3_sql() -> str:
     return f"WITH RECURSIVE {BARS}, {ema_cte([20])}, be AS (SELECT bars.*, e20 FROM bars JOIN e USING (series, ts)), k AS (SELECT series, ts, {', '.join(f'{v} AS {c}' for c, v in inner.items())} FROM be), w AS (SELECT series, ts, {', '.join(f'{v} AS {c}' for c, v in outer.items())} FROM k) SELECT series, ts, feature, round(value, 7) + 0 AS value FROM (FROM w UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(outer)})))"
 
 
+def every_feature(spark: SparkSession, sf_dir: str, block_rows: int = features.BLOCK_ROWS) -> DataFrame:
+    """All five levels with all windows of all variables, as rows; averages that halves make lie on the ties of a rounding, and are single-precision numbers."""
+    out = features.feature_rows(bars(spark, sf_dir), block_rows=block_rows)
+    single = F.col("feature").rlike("^ema_[0-9]+__") | F.col("feature").rlike("(sin|cos)$")
+    candles = F.col("feature").rlike(f"(^|__)({'|'.join(COMBOS)})$")  # means of fours and twenties need a digit more
+    return out.select("series", "ts", "feature", F.when(single, F.col("value").cast("float").cast("double")).when(candles, F.round("value", 8)).otherwise(F.round("value", 7)).alias("value"))
+
+
+def every_sql() -> str:
+    rank = lambda x, n: f"CASE WHEN len(list({x}) {over(n)}) = {n} THEN (len(list_filter(list({x}) {over(n)}, lambda v: v < {x})) + (len(list_filter(list({x}) {over(n)}, lambda v: v = {x})) + 1) / 2.0) / {n} END"
+    five = ("open", "high", "low", "close", "volume")
+    one = {f"{op}_{n}__{x}": sql(x, n) for x in five for op, sql in (OPS | {"rank": rank}).items() for n in features.WINDOWS}
+    one |= {f"d1__{x}": f"{x} - lag({x}, 1) {ROW}" for x in five} | {f"d2__{x}": f"{x} - 2 * lag({x}, 1) {ROW} + lag({x}, 2) {ROW}" for x in five}
+    angles = {f"{k}_{f}": f"{f}({v} * (2 * pi()) / {p})" for k, v, p in (("hour", "hour(ts)", 24), ("dow", "(isodow(ts) - 1)", 5), ("month", "month(ts)", 12)) for f in ("sin", "cos")}
+    flags = {"is_monday": "isodow(ts) = 1", "is_friday": "isodow(ts) = 5", "is_month_start": "day(ts) <= 5", "is_month_end": "day(ts) >= 25"}
+    averages = ", ".join(f"(2 / ({n} + 1.0::DOUBLE)) * b.{x} + (1 - 2 / ({n} + 1.0::DOUBLE)) * e.ema_{n}__{x} AS ema_{n}__{x}" for x in five for n in features.WINDOWS)
+    starts = ", ".join(f"{x} AS ema_{n}__{x}" for x in five for n in features.WINDOWS)
+    rows = lambda names, source, value="round(value, 7) + 0": f"SELECT series, ts, feature, {value} AS value FROM (FROM {source} UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(names)})))"
+    emas = [f"ema_{n}__{x}" for x in five for n in features.WINDOWS]
+    parts = [
+        rows(one, f"(SELECT series, ts, {', '.join(f'{v} AS {k}' for k, v in one.items())} FROM bars)"),
+        rows(emas, f"(WITH RECURSIVE b AS (SELECT *, row_number() {ROW} AS i FROM bars), e AS (SELECT series, ts, i, {starts} FROM b WHERE i = 1 UNION ALL SELECT b.series, b.ts, b.i, {averages} FROM e JOIN b ON b.series = e.series AND b.i = e.i + 1) SELECT series, ts, {', '.join(emas)} FROM e)", "CAST(CAST(value AS FLOAT) AS DOUBLE)"),
+        rows([*COMBOS, *LEVEL2_NAMES], f"(SELECT series, ts, {', '.join([*COMBOS, *(f'{v} AS {c}' for c, v in LEVEL2_NAMES.items())])} FROM (SELECT series, ts, {', '.join(f'{v} AS {c}' for c, v in COMBOS.items())} FROM bars))", "round(value, 8) + 0"),
+        level3_sql(),
+        LEVEL4,
+        rows(angles, f"(SELECT series, ts, {', '.join(f'{v} AS {k}' for k, v in angles.items())} FROM bars)", "CAST(CAST(value AS FLOAT) AS DOUBLE)"),
+        rows(flags, f"(SELECT series, ts, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in flags.items())} FROM bars)"),
+    ]
+    return f"WITH {BARS} " + " UNION ALL ".join(f"SELECT series, ts, feature, value FROM ({p})" for p in parts)
+
+
 QUERIES: dict[str, Query] = {
+    "all_features": (every_feature, every_sql()),
+    "all_features_blocked": (lambda s, d: every_feature(s, d, 220), every_sql()),
     "backtest_trades": (lambda s, d: six(backtest.trades(result(s, d)).select(*TRADE)), TRADES),
     "backtest_trades_blocked": (lambda s, d: six(backtest.trades(result(s, d, block_rows=60)).select(*TRADE)), TRADES),
     "backtest_equity_blocked": (lambda s, d: six(backtest.equity(result(s, d, block_rows=60))), EQUITY),
