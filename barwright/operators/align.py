@@ -40,15 +40,25 @@ def common_times(bars: DataFrame) -> DataFrame:
     return bars.join(times, "ts", "left_semi")
 
 
-def as_of(left: DataFrame, right: DataFrame, columns: list[str], tolerance: str, prefix: str, key: str = "series", ts: str = "ts", ready: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, columns: list[str], tolerance: str, prefix: str, key: str = "series", ts: str = "ts", ready: str | None = None, block: str | None = None) -> DataFrame:
     """left with the last row of right at or before its time, if that is no older than the tolerance.
 
-    One exchange by key: both sides are laid on one time line, right before left at equal times, and the last right row is carried forward. ready delays right rows, as a bar stamped at its opening is known only when it closes."""
+    One exchange by key: both sides are laid on one time line, right before left at equal times, and the last right row is carried forward. ready delays right rows, as a bar stamped at its opening is known only when it closes. block ('day', 'month'): a key's line is cut into blocks of that length, each a task's work, and the last right row before a block comes from a row for each block; the inputs are read twice then."""
     known = F.col(ts) if ready is None else F.col(ts) + F.expr(f"INTERVAL {ready}")
     a = left.select(key, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(F.col(ts).alias("_at"), *columns)).schema[0].dataType).alias("_r"))
     b = right.select(key, known.alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(known.alias("_at"), *columns).alias("_r"))
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    line = a.unionByName(b).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    line = a.unionByName(b)
+    if block is not None:
+        line = line.withColumn("_b", F.date_trunc(block, F.col("_t").cast("timestamp")))
+    keys = [key] if block is None else [key, "_b"]
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    if block is not None:
+        before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        last = line.groupBy(*keys).agg(F.max_by("_r", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+        carried = last.select(F.col(key).alias("_k"), F.col("_b").alias("_d"), F.last("_last", ignorenulls=True).over(before).alias("_carry"))  # a row for each block
+        met = met.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_d"))).withColumn("_m", F.coalesce("_m", "_carry"))
+    line = met
     near = F.col("_m._at") >= F.col("_t") - F.expr(f"INTERVAL {tolerance}")
     return line.select("_l.*", *(F.when(near, F.col(f"_m.{c}")).alias(f"{prefix}{c}") for c in columns))
 

@@ -214,9 +214,9 @@ EMPTY_SQL = f"""WITH {bars_sql("15 minutes")}, e AS (SELECT series, min(ts) AS a
 SELECT series, ts, {s9("close")} AS close FROM j QUALIFY max(CASE WHEN close IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY ts) = 1"""
 
 
-def as_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_of_query(spark: SparkSession, sf_dir: str, block: str | None = None) -> DataFrame:
     fast, slow = bars(spark, sf_dir, "1 hour"), bars(spark, sf_dir, "1 day")
-    return align.as_of(fast, slow, ["close", "high"], "7 DAYS", "d_").select("series", "ts", r9("close").alias("close"), r9("d_close").alias("d_close"), r9("d_high").alias("d_high"))
+    return align.as_of(fast, slow, ["close", "high"], "7 DAYS", "d_", block=block).select("series", "ts", r9("close").alias("close"), r9("d_close").alias("d_close"), r9("d_high").alias("d_high"))
 
 
 AS_OF_SQL = f"""WITH {bars_sql("1 hour", "f")}, {bars_sql("1 day", "s")}
@@ -369,6 +369,7 @@ QUERIES: dict[str, Query] = {
     "grid_ffill": (grid_fill, GRID_SQL),
     "weekend_drop": (empty_times, EMPTY_SQL),
     "asof_multi_tf": (as_of_query, AS_OF_SQL),
+    "asof_blocked": (lambda s, d: as_of_query(s, d, "day"), AS_OF_SQL),
     "asof_closed_bars": (as_of_ready, AS_OF_READY_SQL),
     "common_timestamps": (common, COMMON_SQL),
     "common_range": (common_range, COMMON_RANGE_SQL),

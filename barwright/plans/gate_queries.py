@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.operators import backtest, resampling, robustness, stats
-from barwright.plans.analysis_queries import PEARSON, long_sql, p_sql, screened
+from barwright.operators import backtest, forward, resampling, robustness
+from barwright.plans.analysis_queries import NAMES, PEARSON, long_sql, p_sql, returns, screened, wide
 from barwright.plans.bar_queries import BARS, Query, bars, r9, s9
-from barwright.plans.model_queries import LOOP, REPLICATES, draws_sql, mean_sql, result, s6, six
+from barwright.plans.forward_queries import ALPHA, FALLBACK, LASSO, MOST, STEP_DAYS, TEST_DAYS, THRESHOLD, TRAIN_DAYS, WALK_MODELS, daily_features
+from barwright.plans.model_queries import BOOTSTRAP, LOOP, PERMUTATION, REPLICATES, draws_sql, mean_sql, result, s6, six
+from barwright.sources import bars as B
 
 DRAWS = 10_000
 
@@ -60,7 +62,35 @@ w AS (SELECT series, metric, b, v, max(CASE WHEN b < 0 THEN v END) OVER (PARTITI
 SELECT series AS pair, metric, {s6("max(real)")} AS real, {s6("avg(v)")} AS mean, {s6("avg(CAST(round(v, 9) >= round(real, 9) AS INTEGER))")} AS p_value FROM w WHERE b >= 0 GROUP BY 1, 2"""
 
 
+# ---- the same, and walk-forward models, from CSV
+
+
+def bootstrap_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = B.scratch(spark)
+    B.write_csv(returns(spark, sf_dir).select("series", F.col("ts").cast("timestamp").alias("ts"), (F.col("r") / 10).alias("r")), path)
+    return six(resampling.bootstrap(B.returns_from_csv(spark, path, keys=("series",)), "r", ["ts"], keys=["series"]))
+
+
+def permutation_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = B.scratch(spark)
+    B.write_csv(wide(spark, sf_dir).select("series", F.col("ts").cast("timestamp").alias("ts"), (F.col("target") / 100).alias("y_true"), F.col("z").alias("y_pred")), path)
+    return six(resampling.permutation(B.predictions_from_csv(spark, path, keys=("series",)), "y_pred", "y_true", ["ts"], keys=["series"]))
+
+
+def walk_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [f"{B.scratch(spark)}.csv" for _ in range(2)]
+    df = daily_features(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    B.write_csv(df.select("series", "ts", *NAMES), paths[0])
+    B.write_csv(df.select("series", "ts", "target"), paths[1])
+    both = B.features_with_target(spark, *paths, keys=("series",))
+    models = forward.walk_forward_models(both, NAMES, "target", TRAIN_DAYS, TEST_DAYS, STEP_DAYS, ["series"], ALPHA, LASSO, MOST, THRESHOLD, FALLBACK)[1]
+    return models.select("series", F.col("window").cast("bigint").alias("window"), "feature", F.col("votes").cast("bigint").alias("votes"), F.col("selected").cast("int").alias("selected"), *(F.round(c, 8).alias(c) for c in ("mean", "sd", "coef", "offset")))
+
+
 QUERIES: dict[str, Query] = {
+    "bootstrap_from_csv": (bootstrap_from_csv, BOOTSTRAP),
+    "permutation_from_csv": (permutation_from_csv, PERMUTATION),
+    "walk_forward_from_csv": (walk_from_csv, WALK_MODELS),
     "four_gates": (gates, GATES),
     "trade_bootstrap": (trade_bootstrap, TRADE_BOOTSTRAP),
     "trade_permutation": (trade_permutation, TRADE_PERMUTATION),

@@ -52,6 +52,33 @@ def read_features(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.select(*columns) if columns else df
 
 
+def read_numbers_csv(spark: SparkSession, path: str, columns: list[str], time: str = "ts") -> DataFrame:
+    """Times and numbers of CSV files with a header, by name, as ts and those columns; `series` is text if it is asked for. Rows without one of the numbers are left out, as a resample needs whole rows."""
+    names = spark.read.option("header", True).csv(path).columns  # reads the first line
+    if missing := [c for c in [time, *columns] if c not in names]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    kinds = {c: "TIMESTAMP" if c == time else "STRING" if c in TEXTS else "DOUBLE" if c in columns else "STRING" for c in names}
+    raw = spark.read.schema(", ".join(f"`{c}` {k}" for c, k in kinds.items())).option("header", True).csv(path)
+    numbers = [c for c in columns if c not in TEXTS]
+    return nulls_for_nans(raw.select(F.col(time).alias("ts"), *columns)).na.drop("any", subset=numbers)
+
+
+def returns_from_csv(spark: SparkSession, path: str, column: str = "r", keys: tuple[str, ...] = (), time: str = "ts") -> DataFrame:
+    """keys, ts and r for resampling.bootstrap."""
+    return read_numbers_csv(spark, path, [*keys, column], time).select(*keys, "ts", F.col(column).alias("r"))
+
+
+def predictions_from_csv(spark: SparkSession, path: str, predicted: str = "y_pred", actual: str = "y_true", keys: tuple[str, ...] = (), time: str = "ts") -> DataFrame:
+    """keys, ts, y_true and y_pred for resampling.permutation."""
+    return read_numbers_csv(spark, path, [*keys, actual, predicted], time).select(*keys, "ts", F.col(actual).alias("y_true"), F.col(predicted).alias("y_pred"))
+
+
+def features_with_target(spark: SparkSession, features: str, target: str, y: str = "target", keys: tuple[str, ...] = ()) -> DataFrame:
+    """A feature table and a target table, Parquet or CSV, side by side at the times that both have: what walk-forward validation starts from."""
+    a, b = (df.withColumnRenamed("time", "ts") for df in (read_features(spark, features), read_features(spark, target)))
+    return a.join(b.select(*keys, "ts", y), [*keys, "ts"])
+
+
 def read_macro_csv(spark: SparkSession, path: str) -> DataFrame:
     """Macro observations (series_id, category, frequency, date, value); '.' stands for none."""
     schema = "series_id STRING, category STRING, frequency STRING, date DATE, value STRING"

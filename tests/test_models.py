@@ -282,3 +282,20 @@ def test_betweenness_of_known_graphs(spark):
     assert star["00"] == pytest.approx(10 * 2 / 30) and sum(star.values()) == star["00"]
     assert {r.betweenness for r in networks.betweenness(pairs(set(), 2)).collect()} == {0.0}
     assert math.isclose(networks.network_summary(pairs({(0, 1)}, 3)).first().density, 1 / 3)
+
+
+# ---- importances
+
+
+def test_importances_of_planted_features(spark, table):
+    """Trees find the features that y is made of; a permutation costs a linear model twice the variance that it explains by the feature."""
+    df = spark.createDataFrame(table.assign(series="s", ts=pd.Timestamp("2024-01-01") + pd.to_timedelta(table.id, "h")))
+    x = learning.assembled(df, list("abcd"), "y")
+    for kind in ("forest", "boosting"):
+        found = {r.feature: r.importance for r in learning.importances(spark, learning.trees(x, kind, size=10, depth=4), list("abcd")).collect()}
+        assert sum(found.values()) == pytest.approx(1) and found["a"] > 0.5 > found["c"] > found["d"]
+    model, _ = learning.linear(x, x, "ols")
+    got = {r.feature: r.importance for r in learning.permutation_importance(model, x, list("abcd"), 10).collect()}
+    w = np.linalg.lstsq(np.c_[table[list("abcd")], np.ones(800)], table.y, rcond=None)[0]
+    for f, c in zip("abcd", w):
+        assert got[f] == pytest.approx(2 * c * c * table[f].var(), rel=0.1, abs=0.01)
