@@ -1,6 +1,6 @@
 """Byte-level BPE by recursive queries: each partition's new pieces are contracted in DuckDB, which also decodes.
 
-`encode_decode` gives ids and decoded bytes of every whole text. A null or empty text has no ids and decodes to nothing. Each row stands alone, so that repeated rows and extra columns are of no consequence, columns of the names that are added take no part, and an empty table gives no rows. Of pairs with one rank the leftmost goes first. A text of any length is encoded whole; one unbroken word takes as many steps as it has different merges, each over the whole word."""
+`encode_decode` gives ids and decoded bytes of every whole text. A null or empty text has no ids and decodes to nothing. Each row stands alone, so that repeated rows and extra columns are of no consequence, columns of the names that are added take no part, and an empty table gives no rows. Of pairs with one rank the leftmost goes first. A text of any length is encoded whole; one unbroken word of more than SHORT bytes takes as many steps as it has different merges, each over the whole word."""
 
 from __future__ import annotations
 
@@ -19,6 +19,20 @@ from barwright.llm.tokens import PieceCache
 
 #: Characters whose new pieces are contracted by one query, as a query takes a while to start and to go round.
 BATCH_CHARS = 1_000_000
+#: Words of more bytes are contracted by STEP.
+SHORT = 64
+#: A step contracts, in every word, the leftmost pair of least rank, as the library does. Only words with such a pair go round again, and nothing is sorted: a word is a row with its ids, its pairs meet the merges, and the least of rank and place is one aggregate a word.
+SHORT_STEP = """
+WITH RECURSIVE s(w, ids) USING KEY (w) AS (
+  SELECT w, ids FROM words
+  UNION ALL
+  SELECT s.w, list_concat(list_concat(ids[:(best & 65535) - 1], [CAST(best >> 16 AS INTEGER)]), ids[(best & 65535) + 2:])
+  FROM s JOIN (
+    SELECT w, min((CAST(rank AS BIGINT) << 16) | i) AS best
+    FROM (SELECT w, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, generate_subscripts(ids[2:], 1) AS i FROM s) JOIN merges USING (l, r)
+    GROUP BY w) b ON b.w = s.w)
+SELECT w, ids FROM s ORDER BY w
+"""
 #: A step contracts, in every word, all occurrences of its pair of least rank, from the left and without overlap (run: how many occurrences stand right before a place): the ids are those of one pair at a time, the leftmost first, whatever the word's length. For a contraction makes no lesser pair that another occurrence is needed for: a token of lower rank that spans both would have been contracted from its own bytes by then. That holds where pairs of no greater rank make every token from its own bytes, which Engine.check makes sure of.
 STEP = """
 WITH RECURSIVE s(w, pos, id) USING KEY (w, pos) AS (
@@ -85,6 +99,26 @@ class Engine:
         self._put("start", pa.table({"w": np.repeat(numbers, size).astype(np.int32), "pos": pos.astype(np.int32), "id": self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]}))
 
     def contracted(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        short = [i for i, x in enumerate(words) if len(x) <= SHORT]
+        long = [i for i, x in enumerate(words) if len(x) > SHORT]
+        for which, by in ((short, self._by_lists), (long, self._by_places)):
+            for i, ids in zip(which, by([words[i] for i in which]), strict=True):
+                out[i] = ids
+        return out
+
+    def _by_lists(self, words: list[bytes]) -> list[list[int]]:
+        if not words:
+            return []
+        at = np.cumsum([0, *map(len, words)]).astype(np.int32)
+        ids = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        self._put("words", pa.table({"w": np.arange(len(words), dtype=np.int32), "ids": pa.ListArray.from_arrays(at, ids)}))
+        found = self.db.sql(SHORT_STEP).to_arrow_table().column("ids").combine_chunks()
+        cuts = found.offsets.tolist()
+        flat = found.values.tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _by_places(self, words: list[bytes]) -> list[list[int]]:
         if not words:
             return []
         self._start(words, np.arange(len(words)))

@@ -491,6 +491,19 @@ def test_long_pieces_contract_alike():
     assert bpe.engine(path).encode(pieces) == [enc.encode_ordinary(p) for p in pieces]
 
 
+def test_words_of_common_length_are_contracted_without_sorting_places(monkeypatch):
+    path, g = str(P.path("byte_bpe_50k.tiktoken")), random.Random(5)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    every = [" " + "".join(g.choice(s) for _ in range(g.randint(1, n))) for s in ("a", "ab", "ththeinerés", "=-") for n in (12, 31, 63) for _ in range(40)]
+    edge = ["a" * n for n in (bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1)]
+    pieces = [p for t in every + edge for p in regex.findall(P.PATTERN, t)]
+    with monkeypatch.context() as m:
+        long, seen = bpe.Engine._by_places, []
+        m.setattr(bpe.Engine, "_by_places", lambda self, words: seen.extend(words) or long(self, words))
+        assert bpe.engine(path).encode(pieces) == [enc.encode_ordinary(p) for p in pieces]
+    assert seen and min(map(len, seen)) > bpe.SHORT
+
+
 def test_vocabularies_that_their_merges_do_not_make_are_refused(tmp_path):
     odd = {bytes([b]): b for b in range(256)} | {b"aba": 256, b"ab": 257}
     (tmp_path / "odd.tiktoken").write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in odd.items()))
