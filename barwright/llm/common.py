@@ -51,6 +51,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, what: str, key: str) -> tuple[DataFrame, str]:
+    """As `stored`, in as many buckets by key as there are shuffle partitions, so that joins on the key don't move these rows; and the name of the table, to be dropped from the catalogue after its last use, which leaves the files."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    name = f"{what.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/barwright/{name}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet")
+    writer.option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]], chars: int = CHUNK_CHARS) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow: make() runs once a task and gives what turns a batch, of about so many characters, into rows."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.llm import textcodes
-from barwright.llm.common import fresh, give_back, per_batch, sifted, stored, table, texts_of
+from barwright.llm.common import fresh, give_back, per_batch, sifted, stored, stored_by, table, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -116,7 +116,7 @@ def grouped(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def deeper(big: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """rep, path one shingle further, of the buckets that are too large."""
+    """rep, path one shingle further, of the buckets that are too large. Sets that are in none of these stay where they are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,8 @@ def deeper(big: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(paths))], names=["rep", "path"])
 
     on = big.groupBy("rep").agg(F.collect_list("path").alias("on"))
-    return members.join(on, "rep").select("rep", "tokens", "on").mapInArrow(run, "rep bigint, path bigint")
+    some, _ = sifted(members, "rep", big.select(F.col("rep").alias("id")))
+    return some.join(on, "rep").select("rep", "tokens", "on").mapInArrow(run, "rep bigint, path bigint")
 
 
 # ---- comparison inside a bucket
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     by_rep = classes.groupBy("rep").agg(F.sum("size").alias("size"), F.max("n").alias("n"))
     level = stored(grouped(classes.select("rep", F.explode("paths").alias("path")), limit), "buckets-1")
     reps = level.select("rep").distinct()
-    members = stored(with_sets(classes.select("rep", "hi", "lo").join(reps, "rep", "left_semi"), docs, size), "sets")
+    members, name = stored_by(with_sets(classes.select("rep", "hi", "lo").join(reps, "rep", "left_semi"), docs, size), "sets", "rep")
     final = level.where(F.col("count") <= limit)
     for d in range(2, depth + 1):
         big = level.where(F.col("count") > limit)
@@ -309,6 +310,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     rows = rows.withColumn("g", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))).withColumn("within", F.col("block") == F.col("other")).select("g", "block", "within", "path", "rep", "size", "keys", "tokens")
     compared_sets = groups.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     found = stored(compare_buckets(rows, threshold, max(parts, -(-compared_sets // TASK_SETS))), "links")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
     known = classes.select("hi", "lo", "rep", "size").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "rep", "size", "links", "root")

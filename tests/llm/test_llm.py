@@ -17,7 +17,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from barwright.llm import bitsliced, bpe, forest, langid, packing, passages, secrets, setjoin, textcodes, tokens, toxicity
+from barwright.llm import bitsliced, bpe, common, forest, langid, packing, passages, secrets, setjoin, textcodes, tokens, toxicity
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, score DOUBLE, rank INT, spans STRING, n BIGINT, `_id` INT"
 WORDS = [a + b + c for a in ("ba", "ke", "lo", "mi", "nu") for b in ("ra", "te", "so", "vi", "du") for c in ("n", "s", "l", "")]
@@ -470,6 +470,62 @@ def test_redaction_keeps_clean_texts(spark, docs, texts):
     assert secrets.masked('a token = "abcdefghijkl0123" b') == 'a <assign>" b'
 
 
+def moved_bytes(spark, run):
+    """Bytes that run shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_sets_outside_split_buckets_do_not_move(spark):
+    g = np.random.default_rng(3)
+    rows = [(i, bytearray(textcodes.to_move(g.integers(0, 1 << 62, 2000).astype(np.uint64)).tobytes())) for i in range(200)]
+    members = setjoin.stored(spark.createDataFrame(rows, "rep bigint, tokens binary"), "test-sets")
+    big = spark.createDataFrame([(i, 77) for i in range(0, 200, 20)], "rep bigint, path bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        assert moved_bytes(spark, lambda: found.extend(setjoin.deeper(big, members, 0.8).collect())) < 400_000  # all are 2.4 million
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["rep"] for r in found} <= set(range(0, 200, 20)) and found
+    for rep in {r["rep"] for r in found}:
+        t = textcodes.moved(bytes(rows[rep][1]))
+        want = setjoin.chosen(t, np.array(len(t)), np.uint64(77), 0.8 / setjoin.DEEPER)[1].view(np.int64)
+        assert sorted(r["path"] for r in found if r["rep"] == rep) == sorted(want.tolist())
+
+
+def test_sets_stored_by_key_are_joined_where_they_are(spark):
+    g = np.random.default_rng(4)
+    rows = [(i, bytearray(g.bytes(12_000))) for i in range(200)]
+    members, name = common.stored_by(spark.createDataFrame(rows, "rep bigint, tokens binary"), "test-sets", "rep")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        keys = spark.range(0, 200, 2).withColumnRenamed("id", "rep")
+        assert moved_bytes(spark, lambda: found.extend(members.join(keys, "rep").collect())) < 400_000  # all are 2.4 million
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE {name}")
+    assert sorted((r["rep"], bytes(r["tokens"])) for r in found) == [(i, bytes(t)) for i, t in rows[::2]]
+
+
+def test_near_duplicates_leave_no_table(spark):
+    df = spark.createDataFrame([(i, "one two three four five six seven") for i in range(3)] + [(3, "one two three four five six seven eight"), (4, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in setjoin.near_duplicates(df, threshold=0.7).collect()}
+    assert got[1] == got[2] == 0 and got[4] == 4
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sets_")]
+
+
 # ---- 6
 
 
