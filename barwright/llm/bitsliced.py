@@ -22,9 +22,9 @@ BLOCK_QUERIES = 256
 SENT_COMPONENTS = 4_000_000
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and v (array of double) of the vectors that take part, one for each id."""
-    v = F.col(vec_col).cast("array<double>")
+def usable(vectors: DataFrame, id_col: str, vec_col: str, kind: str = "double") -> DataFrame:
+    """id and v (array of kind) of the vectors that take part, one for each id."""
+    v = F.col(vec_col).cast(f"array<{kind}>")
     fine = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.where(fine).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 

@@ -1,9 +1,11 @@
 """Operators against second computations of their results, row by row in plain Python, and on ties, repeated ids and clashing columns."""
 
 import base64
+import heapq
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -166,6 +168,64 @@ def test_forest_is_frugal_on_structured_vectors():
     assert np.mean(found) >= 0.9 and np.mean(seen) <= 0.25
 
 
+def test_forest_in_many_rounds_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(forest, "ASKED_COMPONENTS", 12)  # three queries at once
+    monkeypatch.setattr(forest, "HELD_BYTES", 100)  # six rows
+    v, df = integer_vectors(spark)
+    got = defaultdict(list)
+    for r in forest.nearest(df, lambda i: i % 10 == 0, 20, target=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {i: best(v, i, 20) for i in range(0, 250, 10)}
+
+
+def test_more_copies_of_a_vector_than_neighbours(spark):
+    v = np.repeat([[1.0, 0.0], [0.8, 0.6], [-0.0, 1.0]], [60, 5, 1], axis=0)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(66, [0.0, 1.0])], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    v, got = np.vstack([v, [0.0, 1.0]]), defaultdict(list)
+    for r in forest.nearest(df, lambda i: i % 6 == 0, 8, target=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {i: best(v, i, 8) for i in range(0, 67, 6)}
+
+
+def test_a_round_does_not_hold_all_scores(monkeypatch):
+    """3,000 queries that look into all leaves of 20,000 rows: scores alone would be 480 MB, entries of each leaf 700 MB."""
+    monkeypatch.setattr(forest, "FOUND", 50_000)
+    g = np.random.default_rng(3)
+    v, q = g.normal(size=(20_000, 16)).astype(np.float32), g.normal(size=(3_000, 16))
+    v[::1_000] *= 1e6  # a few rows that are much longer
+    leaf = np.stack([g.integers(0, 256, 20_000), g.integers(256, 512, 20_000)])
+    tracemalloc.start()
+    try:
+        asking = forest.Round(q, np.full((3_000, 64), 255, dtype=np.uint8), np.full(3_000, -np.inf), 21)
+        for a in range(0, 20_000, 7_000):
+            asking.meet(v[a : a + 7_000], np.arange(20_000)[a : a + 7_000], leaf[:, a : a + 7_000])
+        asking.settle()
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    for i in range(0, 3_000, 97):
+        s = np.einsum("ij,j->i", v.astype(np.float64), q[i])
+        assert asking.cid[i].tolist() == np.argsort(-s, kind="stable")[:21].tolist()
+
+
+def test_leaves_come_as_from_one_priority_queue():
+    g = np.random.default_rng(8)
+    v = g.normal(size=(4_000, 8))
+    f = forest.fit(v, 40_000, 10)
+    for q, found in zip(v[:20], f.search(v[:20], f.trees << f.levels).tolist(), strict=True):
+        queue, away = [(0.0, tree, 0, 0) for tree in range(f.trees)], {}
+        while queue:
+            least, tree, level, node = heapq.heappop(queue)
+            while level < f.levels:
+                at = (1 << level) - 1 + node
+                margin = float(np.append(q, 0) @ f.normals[tree, at] - f.cuts[tree, at])
+                level += 1
+                heapq.heappush(queue, (max(least, abs(margin)), tree, level, 2 * node + (not margin > 0)))
+                node = 2 * node + (margin > 0)
+            away[(tree << f.levels) + node] = least
+        assert sorted(found) == sorted(away) and np.allclose([away[x] for x in found], list(away.values()), atol=1e-6)
+
+
 # ---- 3 and 10: how good plans are, and files
 
 
